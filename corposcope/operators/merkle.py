@@ -1,7 +1,7 @@
 """Merkle trees over key ranges: process only new or changed records.
 
-A record is (partition, key, value).  Keys hash into a fixed 16-ary tree of
-``LEVELS`` levels per partition; a node's digest is the wrapping sum of the
+A record is (partition, key, value).  Keys hash into a fixed tree of ``LEVELS``
+levels per partition; a node's digest is the wrapping sum of the
 record digests below it, so it is order-free and merges map-side.  Two trees
 are compared level by level and only children of differing nodes are visited;
 records are read only from leaves that differ.  The tree of the published state
@@ -16,58 +16,49 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEVELS = 3  #: 16**3 leaves for each partition
+from corposcope.session import staged
 
-
-def _key_hash(key) -> "F.Column":
-    return F.xxhash64(key)
+LEVELS, BITS = 2, 6  #: 64 children a node, 64**2 leaves for each partition
 
 
 def records(df: DataFrame, partition: str, key: str, value: str) -> DataFrame:
     """(part, key, value, h): ``h`` is the position of the key in the tree."""
     return df.select(F.col(partition).alias("part"), F.col(key).alias("key"),
-                     F.col(value).alias("value")).withColumn("h", _key_hash(F.col("key")))
+                     F.col(value).alias("value")).withColumn("h", F.xxhash64("key"))
 
 
 def node(level: int) -> "F.Column":
-    """Node number at a level: the top ``4*level`` bits of the key hash."""
-    return F.shiftrightunsigned(F.col("h"), 64 - 4 * level) if level else F.lit(0).cast("long")
+    """Node number at a level: the top bits of the key hash."""
+    return F.shiftrightunsigned(F.col("h"), 64 - BITS * level)
 
 
 def leaves(recs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Leaf digests: (part, leaf, digest, n). Partial sums combine before the shuffle."""
-    one = F.xxhash64("key", "value").cast("decimal(38,0)")
+    one = F.xxhash64("key", "value").cast("decimal(20,0)")
     return (recs.groupBy("part", node(levels).alias("leaf"))
                 .agg(F.sum(one).alias("digest"), F.count(F.lit(1)).alias("n")))
 
 
-def level_of(leaf_table: DataFrame, level: int, levels: int = LEVELS) -> DataFrame:
-    """Inner nodes from the leaf digests (the corpus is not read again)."""
-    up = F.shiftrightunsigned(F.col("leaf"), 4 * (levels - level)) if level < levels else F.col("leaf")
-    return (leaf_table.groupBy("part", up.alias("node"))
-                      .agg(F.sum("digest").alias("digest"), F.sum("n").alias("n")))
-
-
 def differing_leaves(current: DataFrame, saved: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(part, leaf) of leaves whose digests differ, found by descending from the roots.
 
-    Leaf tables are small (at most 16**levels rows a partition); each level only
-    keeps children of nodes that differed above, so equal subtrees drop out at once.
+    The two leaf tables (at most 64**levels rows a partition) are paired once and
+    fixed in shared storage.  Each level sums digests up to that level and keeps
+    only what lies below differing nodes, so equal subtrees drop out at once.
     """
-    alive = None
-    for level in range(levels + 1):
-        a, b = level_of(current, level, levels), level_of(saved, level, levels)
-        if alive is not None:
-            up = F.shiftrightunsigned(F.col("node"), 4)
-            cut = alive.select("part", F.col("node").alias("parent"))
-            a = a.withColumn("parent", up).join(cut, ["part", "parent"], "left_semi").drop("parent")
-            b = b.withColumn("parent", up).join(cut, ["part", "parent"], "left_semi").drop("parent")
-        both = (a.select("part", "node", F.col("digest").alias("da"), F.col("n").alias("na"))
-                 .join(b.select("part", "node", F.col("digest").alias("db"), F.col("n").alias("nb")),
-                       ["part", "node"], "full_outer"))
-        alive = both.where(~(F.col("da").eqNullSafe(F.col("db")) & F.col("na").eqNullSafe(F.col("nb")))
-                           ).select("part", "node")
-    return alive.withColumnRenamed("node", "leaf")
+    pair = staged(
+        current.select("part", "leaf", F.col("digest").alias("da"), F.col("n").alias("na"))
+        .join(saved.select("part", "leaf", F.col("digest").alias("db"), F.col("n").alias("nb")),
+              ["part", "leaf"], "full_outer"), "merkle")
+    differ = lambda c: ~(F.col(f"{c}a").eqNullSafe(F.col(f"{c}b")))
+    for level in range(levels):
+        up = F.shiftrightunsigned(F.col("leaf"), BITS * (levels - level)) if level else F.lit(0)
+        below = pair.withColumn("node", up)
+        bad = (below.groupBy("part", "node")
+                    .agg(*[F.sum(c).alias(c) for c in ("da", "na", "db", "nb")])
+                    .where(differ("d") | differ("n")).select("part", "node"))
+        pair = below.join(bad, ["part", "node"], "left_semi").drop("node")
+    return pair.where(differ("d") | differ("n")).select("part", "leaf")
 
 
 def changed_records(current: DataFrame, saved: DataFrame, levels: int = LEVELS) -> DataFrame:

@@ -73,21 +73,19 @@ def pending_paths(files: DataFrame, scan: DataFrame, diffs: DataFrame, runs: Dat
     Empty change lists, missing runs and nulls are allowed anywhere; an empty
     index gives only 'index' rows, an empty walk log only 'delete' rows.
     """
-    seen = current_state(scan)
-    disk = seen.where("hash is not null")
-    index = indexed_state(files)
-    changed = merkle.changed_records(merkle.records(disk, "root", "path", "hash"),
+    seen, index = current_state(scan), indexed_state(files)
+    # A path seen without a readable hash is a record with a null value: it is not
+    # 'removed', and it has nothing to index.
+    changed = merkle.changed_records(merkle.records(seen, "root", "path", "hash"),
                                      merkle.records(index, "root", "path", "hash"))
-    stale = changed.where("status in ('added', 'changed')").select(
-        F.col("part").alias("root"), F.col("key").alias("path"))
-    gone = changed.where("status = 'removed'").select(F.col("part").alias("root"), F.col("key").alias("path"))
     cursor = cursors(runs, diffs)
     told = mentions(diffs, cursor)
-    replay_index = stale.join(told.where("last = 'changed'"), ["root", "path"], "left_semi")
-    replay_delete = index.select("root", "path").join(told.where("last = 'deleted'"), ["root", "path"], "left_semi")
-    full_index = stale.join(cursor, "root", "left_anti")
-    full_delete = (gone.join(cursor, "root", "left_anti")
-                       .join(seen.select("root", "path"), ["root", "path"], "left_anti"))
-    index_rows = replay_index.unionByName(full_index).select("path", F.lit("index").alias("todo"))
-    delete_rows = replay_delete.unionByName(full_delete).select("path", F.lit("delete").alias("todo"))
-    return index_rows.unionByName(delete_rows)
+    state = (changed.select(F.col("part").alias("root"), F.col("key").alias("path"), "status", "value")
+                    .join(cursor.select("root", F.lit(True).alias("replay")), "root", "left")
+                    .join(told, ["root", "path"], "left"))
+    replay, full = F.col("replay"), F.col("replay").isNull()
+    todo = (F.when(F.col("value").isNotNull() & (full | (replay & (F.col("last") == "changed"))), "index")
+             .when((F.col("status") == "removed") & full, "delete"))
+    told_gone = (index.join(told.where("last = 'deleted'"), ["root", "path"], "left_semi")
+                      .select("path", F.lit("delete").alias("todo")))
+    return state.select("path", todo.alias("todo")).where("todo is not null").unionByName(told_gone)
