@@ -1,0 +1,83 @@
+"""Queries of the training-data operators and, where SQL can express them, their SQL."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corposcope.llm import outrank, termfreq
+from corposcope.session import table
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    t = termfreq.term_frequencies(table(spark, d, "trigrams").select("trigram", "file_ids"), "trigram", "file_ids")
+    return t.where("mark is not null").select(F.col("term").alias("trigram"), "mark")
+
+
+def p3_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    t = termfreq.term_frequencies(table(spark, d, "trigrams").select("trigram", "file_ids"), "trigram", "file_ids")
+    return t.select(F.col("term").alias("trigram"), "occurrences", "records", "mark")
+
+
+def _flows(spark: SparkSession, d: str) -> DataFrame:
+    return outrank.net_flows(table(spark, d, "search_results").select("query_id", "backend", "file_id", "score"),
+                             table(spark, d, "searches").select("query_id", "intent"),
+                             table(spark, d, "search_config"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return outrank.undisputed(_flows(spark, d))
+
+
+def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return outrank.ranking(_flows(spark, d))
+
+
+QUERIES = {"p3_found": p3_found, "p3_frequencies": p3_frequencies, "p5_found": p5_found, "p5_ranking": p5_ranking}
+
+_DF = """
+with x as (select trigram, unnest(file_ids) as id from trigrams),
+n as (select count(distinct id) as n from x),
+f as (select trigram, count(id)::bigint as occurrences, count(distinct id)::bigint as records
+      from x where trigram is not null and id is not null group by 1),
+m as (select f.*, case when records <= 2 then 'rare' when records >= 0.2::double * n then 'common' end as mark from f, n)
+"""
+
+_HITS = """
+with h as (select r.query_id, backend, file_id, max(case when backend = 'fts' then -score else score end) as s
+           from search_results r join searches q on q.query_id = r.query_id
+           where score is not null and not isnan(score) group by 1, 2, 3),
+wt as (select q.query_id, unnest(['fts', 'grep', 'trigram']) as backend,
+              unnest([c.fts_weight, c.grep_weight, c.trigram_weight]) as w
+       from searches q join search_config c on c.intent = case when q.intent in (select intent from search_config) then q.intent else 'default' end)
+"""
+
+ORACLE = {
+    "p3_found": _DF + "select trigram, mark from m where mark is not null",
+    "p3_frequencies": _DF + "select * from m",
+    "p5_found": _HITS + """,
+need as (select query_id, backend from wt where w > 0),
+best as (select h.query_id, h.backend, arg_max(file_id, s) as file_id, max(s) as s from h join need using (query_id, backend) group by 1, 2),
+lone as (select b.query_id, b.backend, b.file_id from best b
+         where (select count(*) from h where h.query_id = b.query_id and h.backend = b.backend and h.s = b.s) = 1)
+select query_id, file_id from lone group by 1, 2
+having count(*) = (select count(*) from need where need.query_id = lone.query_id)
+""",
+    "p5_ranking": _HITS + """,
+files_of as (select distinct query_id, file_id from h),
+full_h as (select f.query_id, b.backend, f.file_id, coalesce(h.s, '-infinity'::double) as s
+           from files_of f join (select distinct query_id, backend from h) b using (query_id)
+           left join h on h.query_id = f.query_id and h.backend = b.backend and h.file_id = f.file_id),
+r as (select *, 2 * (rank() over w - 1) + count(*) over (partition by query_id, backend, s) as r,
+             count(*) over (partition by query_id, backend) as n
+      from full_h window w as (partition by query_id, backend order by s)),
+f as (select a.query_id, a.backend, a.file_id, case when any_value(a.n) > 1 then
+             sum(greatest(-greatest(1, round(0.5 * a.n)), least(greatest(1, round(0.5 * a.n)), a.r - b.r)))::double
+             / (greatest(1, round(0.5 * any_value(a.n))) * (any_value(a.n) - 1)) else 0 end as flow
+      from r a join r b using (query_id, backend) group by 1, 2, 3),
+g as (select x.query_id, x.file_id,
+             round((sum(w * coalesce(flow, 0)) / (select sum(w) from wt where wt.query_id = x.query_id))::double, 9) as flow
+      from files_of x join wt using (query_id)
+      left join f on f.query_id = x.query_id and f.backend = wt.backend and f.file_id = x.file_id group by 1, 2)
+select query_id, file_id, flow, row_number() over (partition by query_id order by flow desc, file_id)::bigint as rank from g
+""",
+}
