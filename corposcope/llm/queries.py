@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corposcope.llm import outrank, termfreq
+from corposcope.llm import neardup, outrank, termfreq
 from corposcope.session import table
 
 
@@ -32,7 +32,20 @@ def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
     return outrank.ranking(_flows(spark, d))
 
 
-QUERIES = {"p3_found": p3_found, "p3_frequencies": p3_frequencies, "p5_found": p5_found, "p5_ranking": p5_ranking}
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.classes_and_links(table(spark, d, "files").select("file_id", "content"), "file_id", "content")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.all_pairs(*_near(spark, d))
+
+
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.linked_documents(*_near(spark, d))
+
+
+QUERIES = {"p3_found": p3_found, "p3_frequencies": p3_frequencies, "p5_found": p5_found, "p5_ranking": p5_ranking,
+           "p6_found": p6_found, "p6_classes": p6_classes}
 
 _DF = """
 with x as (select trigram, unnest(file_ids) as id from trigrams),
