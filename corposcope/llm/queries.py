@@ -4,10 +4,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corposcope.llm import neardup, outrank, termfreq
+from corposcope.llm import handwritten, neardup, outrank, termfreq
 from corposcope.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.judged(table(spark, d, "files")).select("file_id")
+
+
+def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.judged(table(spark, d, "files")).groupBy("reason").agg(F.count(F.lit(1)).alias("files"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     t = termfreq.term_frequencies(table(spark, d, "trigrams").select("trigram", "file_ids"), "trigram", "file_ids")
     return t.where("mark is not null").select(F.col("term").alias("trigram"), "mark")
@@ -44,7 +52,7 @@ def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.linked_documents(*_near(spark, d))
 
 
-QUERIES = {"p3_found": p3_found, "p3_frequencies": p3_frequencies, "p5_found": p5_found, "p5_ranking": p5_ranking,
+QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p5_found": p5_found, "p5_ranking": p5_ranking,
            "p6_found": p6_found, "p6_classes": p6_classes}
 
 _DF = """
