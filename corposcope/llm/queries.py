@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corposcope.llm import handwritten, neardup, outrank, termfreq
+from corposcope.llm import handwritten, neardup, outrank, secrets, termfreq
 from corposcope.session import table
 
 
@@ -16,6 +16,16 @@ def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.judged(table(spark, d, "files")).groupBy("reason").agg(F.count(F.lit(1)).alias("files"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.credentials(table(spark, d, "files")).select("file_id", "line_no").distinct()
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Credentials that a second pass still finds in the redacted files: none."""
+    clean = secrets.redact(table(spark, d, "files").select("file_id", "path", "content"))
+    return secrets.credentials(clean).groupBy("kind").agg(F.count(F.lit(1)).alias("left"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     t = termfreq.term_frequencies(table(spark, d, "trigrams").select("trigram", "file_ids"), "trigram", "file_ids")
     return t.where("mark is not null").select(F.col("term").alias("trigram"), "mark")
@@ -52,7 +62,8 @@ def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.linked_documents(*_near(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p5_found": p5_found, "p5_ranking": p5_ranking,
+QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_redacted": p2_redacted,
+           "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p5_found": p5_found, "p5_ranking": p5_ranking,
            "p6_found": p6_found, "p6_classes": p6_classes}
 
 _DF = """
