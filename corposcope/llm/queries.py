@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corposcope.llm import handwritten, neardup, outrank, secrets, termfreq
+from corposcope.llm import handwritten, langid, neardup, outrank, secrets, termfreq
 from corposcope.session import table
 
 
@@ -62,9 +62,29 @@ def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.linked_documents(*_near(spark, d))
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text", "lang")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = _documents(spark, d)
+    return langid.mislabelled(docs, langid.fit(docs))
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = _documents(spark, d)
+    return langid.identify(docs, langid.fit(docs)).select("doc_id", "lang", "share", "confidence")
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = _documents(spark, d)
+    return langid.segments(docs, langid.fit(docs))
+
+
 QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_redacted": p2_redacted,
            "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p5_found": p5_found, "p5_ranking": p5_ranking,
-           "p6_found": p6_found, "p6_classes": p6_classes}
+           "p6_found": p6_found, "p6_classes": p6_classes,
+           "p9_found": p9_found, "p9_documents": p9_documents, "p9_segments": p9_segments}
 
 _DF = """
 with x as (select trigram, unnest(file_ids) as id from trigrams),
