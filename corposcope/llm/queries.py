@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corposcope.llm import handwritten, langid, neardup, outrank, secrets, termfreq
+from corposcope.llm import handwritten, langid, leakage, neardup, outrank, secrets, termfreq
 from corposcope.session import table
 
 
@@ -81,9 +81,22 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.segments(docs, langid.fit(docs))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).where("verbatim_windows > 0").select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)
+
+
 QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_redacted": p2_redacted,
            "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p5_found": p5_found, "p5_ranking": p5_ranking,
            "p6_found": p6_found, "p6_classes": p6_classes,
+           "p7_found": p7_found, "p7_leaks": p7_leaks,
            "p9_found": p9_found, "p9_documents": p9_documents, "p9_segments": p9_segments}
 
 _DF = """
@@ -104,6 +117,13 @@ wt as (select q.query_id, unnest(['fts', 'grep', 'trigram']) as backend,
 """
 
 ORACLE = {
+    "p7_found": r"""
+with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as t from documents where text is not null),
+     i as (select item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') as t from eval_items where item_text is not null),
+     dw as (select doc_id, array_to_string(t[k:k + 12], ' ') as g from (select doc_id, t, unnest(range(1, len(t) - 11)) as k from w)),
+     iw as (select item_id, array_to_string(t[k:k + 12], ' ') as g from (select item_id, t, unnest(range(1, len(t) - 11)) as k from i))
+select distinct doc_id, item_id from dw join iw using (g)
+""",
     "p3_found": _DF + "select trigram, mark from m where mark is not null",
     "p3_frequencies": _DF + "select * from m",
     "p5_found": _HITS + """,
