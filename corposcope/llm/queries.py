@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corposcope.llm import handwritten, langid, leakage, neardup, outrank, secrets, termfreq
+from corposcope.llm import handwritten, langid, leakage, mixing, neardup, outrank, secrets, termfreq
 from corposcope.session import table
 
 
@@ -62,6 +62,27 @@ def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.linked_documents(*_near(spark, d))
 
 
+def _mix(spark: SparkSession, d: str):
+    return mixing.prepare(table(spark, d, "documents").select("doc_id", "source", "text"), table(spark, d, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(*_mix(spark, d)).where("out_of_reach").select("source")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(*_mix(spark, d))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(*_mix(spark, d))
+
+
+def p8_actual_shares(spark: SparkSession, d: str) -> DataFrame:
+    counted, found = _mix(spark, d)
+    return mixing.actual_shares(mixing.mixture(counted, found), found.sources)
+
+
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text", "lang")
 
@@ -97,6 +118,7 @@ QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found,
            "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p5_found": p5_found, "p5_ranking": p5_ranking,
            "p6_found": p6_found, "p6_classes": p6_classes,
            "p7_found": p7_found, "p7_leaks": p7_leaks,
+           "p8_found": p8_found, "p8_report": p8_report, "p8_mixture": p8_mixture, "p8_actual_shares": p8_actual_shares,
            "p9_found": p9_found, "p9_documents": p9_documents, "p9_segments": p9_segments}
 
 _DF = """
