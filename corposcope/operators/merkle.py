@@ -115,6 +115,11 @@ class Store:
         version = f"v-{uuid.uuid4().hex}"
         output.write.parquet(f"{self.path}/{version}/output")
         leaf_table.write.parquet(f"{self.path}/{version}/tree")
+        self.point(version)
+        return version
+
+    def point(self, version: str) -> None:
+        """Make a complete version current: one atomic rename over the pointer."""
         jvm, fs = self._fs()
         new = jvm.org.apache.hadoop.fs.Path(f"{self.path}/.next-{version}")
         out = fs.create(new, True)
@@ -124,4 +129,3 @@ class Store:
         opts = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         opts[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         ctx.rename(new, jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT"), opts)
-        return version
