@@ -18,11 +18,14 @@ FIELD_WEIGHTS = {"path": 5.0, "filename": 10.0, "content": 1.0}
 SCALE = 15.0
 
 
+def token_columns() -> list[Column]:
+    """t_path, t_filename, t_content: token arrays of each field."""
+    return [tokens(F.col("path")).alias("t_path"), tokens(filename(F.col("path"))).alias("t_filename"),
+            tokens(F.coalesce("content", F.lit(""))).alias("t_content")]
+
+
 def tokenized(corpus: DataFrame) -> DataFrame:
-    """(file_id, path, t_path, t_filename, t_content): token arrays of each field."""
-    return corpus.select("file_id", "path", tokens(F.col("path")).alias("t_path"),
-                         tokens(filename(F.col("path"))).alias("t_filename"),
-                         tokens(F.coalesce("content", F.lit(""))).alias("t_content"))
+    return corpus.select("file_id", "path", *token_columns())
 
 
 def postings(corpus: DataFrame) -> DataFrame:
@@ -51,33 +54,38 @@ def _frequency(words: str, term: str, prefix: bool) -> Column:
     return F.size(F.filter(words, (lambda x: F.startswith(x, F.lit(term))) if prefix else (lambda x: x == term)))
 
 
-def counted(corpus: DataFrame, terms: list[tuple[str, bool]], fields=tuple(FIELD_WEIGHTS), weights=FIELD_WEIGHTS) -> DataFrame:
-    """(file_id, path, length, f0, f1, ...): weighted frequency of each query term."""
-    t = tokenized(corpus)
-    cols = [sum((F.lit(weights[f]) * _frequency(f"t_{f}", term, p) for f in fields), F.lit(0.0)).alias(f"f{i}")
-            for i, (term, p) in enumerate(terms)]
-    length = sum((F.size(f"t_{f}") for f in FIELD_WEIGHTS), F.lit(0)).alias("length")
-    return t.select("file_id", "path", length, *cols)
+def frequencies(terms: list[tuple[str, bool]], fields=tuple(FIELD_WEIGHTS), weights=FIELD_WEIGHTS) -> dict[str, Column]:
+    """length and f0, f1, ... (weighted frequency of each query term) over the columns of ``tokenized``."""
+    out = {"length": sum((F.size(f"t_{f}") for f in FIELD_WEIGHTS), F.lit(0))}
+    for i, (term, prefix) in enumerate(terms):
+        out[f"f{i}"] = sum((F.lit(weights[f]) * _frequency(f"t_{f}", term, prefix) for f in fields), F.lit(0.0))
+    return out
 
 
-def bm25(corpus: DataFrame, terms: list[tuple[str, bool]], fields=tuple(FIELD_WEIGHTS), weights=FIELD_WEIGHTS) -> DataFrame:
-    """(file_id, path, bm25) of the files that hold every term (published BM25, k1=1.2, b=0.75).
-
-    A prefix counts as one term; the idf is floored at 1e-6; without terms there are no rows.
-    """
-    n_terms = len(terms)
-    c = staged(counted(corpus, terms or [("", False)], fields, weights), "fts")
-    stats = c.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg"),
-                  *[F.count(F.when(F.col(f"f{i}") > 0, 1)).alias(f"df{i}") for i in range(n_terms)]).first()
+def statistics(n_terms: int) -> list[Column]:
+    """Corpus numbers for ``bm25_score``: n, avg and df0, df1, ..."""
+    return [F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg"), *[F.count(F.when(F.col(f"f{i}") > 0, 1)).alias(f"df{i}") for i in range(n_terms)]]
+
+
+def bm25_score(n_terms: int, stats) -> Column:
+    """Published BM25 (k1=1.2, b=0.75) of rows with every term, else null; the idf is floored at 1e-6."""
     n, avg = float(stats["n"]), float(stats["avg"] or 1.0) or 1.0
-    score = F.lit(0.0)
-    keep = F.lit(bool(terms))
+    score, keep = F.lit(0.0), F.lit(n_terms > 0)
     for i in range(n_terms):
         f, df = F.col(f"f{i}"), F.lit(float(stats[f"df{i}"]))
         idf = F.greatest(F.log((F.lit(n) - df + 0.5) / (df + 0.5)), F.lit(1e-6))
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / avg))
         keep = keep & (f > 0)
-    return c.where(keep).select("file_id", "path", score.alias("bm25"))
+    return F.when(keep, score)
+
+
+def bm25(corpus: DataFrame, terms: list[tuple[str, bool]], fields=tuple(FIELD_WEIGHTS), weights=FIELD_WEIGHTS) -> DataFrame:
+    """(file_id, path, bm25) of the files that hold every term; a prefix counts as one term, no terms give no rows."""
+    cols = frequencies(terms, fields, weights)
+    narrow = tokenized(corpus).select("file_id", "path", *[c.alias(k) for k, c in cols.items()]).dropDuplicates(["file_id"])
+    narrow = staged(narrow, "fts")
+    stats = narrow.agg(*statistics(len(terms))).first()
+    return narrow.select("file_id", "path", bm25_score(len(terms), stats).alias("bm25")).where("bm25 is not null")
 
 
 def search(corpus: DataFrame, query: str) -> DataFrame:

@@ -9,6 +9,7 @@ from corposcope.functions.text import clamp
 DEFAULT = {"fts": 0.4, "grep": 0.4, "ngram": 0.2}
 WEIGHTS = {"regex": {"fts": 0.0, "grep": 0.7, "ngram": 0.3}, "natural_language": {"fts": 0.6, "grep": 0.2, "ngram": 0.2}}
 BONUS = 0.1
+SNIPPETS = "array<struct<line_no:int,line:string,match_start:int,match_end:int>>"
 #: Line starts that mark a definition. Fixed values.
 DEFINITION_STARTS = ("fn ", "pub fn ", "struct ", "class ", "def ", "function ")
 
@@ -19,14 +20,13 @@ def weights(intent: str) -> dict[str, float]:
 
 def evidence(fts: DataFrame | None, grep: DataFrame | None) -> DataFrame:
     """(file_id, path, fts, grep, snippets): both result sets as one, by union and one aggregation."""
-    snippets = "array<struct<line_no:int,line:string,match_start:int,match_end:int>>"
     parts = []
     if fts is not None:
         parts.append(fts.select("file_id", "path", F.col("fts_score").alias("fts"), F.lit(None).cast("double").alias("grep"),
-                                F.lit(None).cast(snippets).alias("snippets")))
+                                F.lit(None).cast(SNIPPETS).alias("snippets")))
     if grep is not None:
         parts.append(grep.select("file_id", "path", F.lit(None).cast("double").alias("fts"), F.col("grep_score").alias("grep"),
-                                 F.col("snippets").cast(snippets).alias("snippets")))
+                                 F.col("snippets").cast(SNIPPETS).alias("snippets")))
     every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return every.groupBy("file_id").agg(F.min("path").alias("path"), F.max("fts").alias("fts"), F.max("grep").alias("grep"),
                                         F.first("snippets", ignorenulls=True).alias("snippets"))
@@ -56,7 +56,7 @@ def boosted(rows: DataFrame) -> DataFrame:
     """Adds 0.03 for a match in the first five lines, else 0.02 for a match on a definition line."""
     start = lambda s: F.ltrim(s["line"])
     any_of = lambda s: sum((F.startswith(start(s), F.lit(k)).cast("int") for k in DEFINITION_STARTS), F.lit(0)) > 0
-    snippets = F.coalesce("snippets", F.array().cast("array<struct<line_no:int,line:string,match_start:int,match_end:int>>"))
+    snippets = F.coalesce("snippets", F.array().cast(SNIPPETS))
     boost = (F.when(F.exists(snippets, lambda s: s["line_no"] <= 5), 0.03)
               .when(F.exists(snippets, any_of), 0.02).otherwise(0.0))
     return rows.withColumn("boost", boost).withColumn("score", clamp(F.col("score") + F.col("boost")))

@@ -1,13 +1,13 @@
 """Regular-expression scan over lines and its file scores. Every match counts; nothing is sampled."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corposcope.functions.regexq import check_pattern
 from corposcope.functions.text import clamp
 from corposcope.session import staged
-from corposcope.sources.corpus import lines
+from corposcope.sources.corpus import line_array, lines
 
 SNIPPETS = 3
 
@@ -25,6 +25,27 @@ def matches(corpus: DataFrame, pattern: str) -> DataFrame:
                        (start + F.length(found)).alias("match_end"))
 
 
+def hit_array(content: Column, pattern: str) -> Column:
+    """Matching lines of a text as an array of (line_no, line, match_start, match_end), without leaving the row.
+
+    Lines are only made for texts that match somewhere.
+    """
+    check_pattern(pattern)
+    numbered = F.transform(line_array(content), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
+    found = F.filter(numbered, lambda s: s["line"].rlike(pattern))
+    start = lambda s: F.regexp_instr(s["line"], F.lit(pattern)) - 1
+    hits = F.transform(found, lambda s: F.struct(
+        s["line_no"].alias("line_no"), F.regexp_replace(s["line"], r"\s+$", "").alias("line"), start(s).alias("match_start"),
+        (start(s) + F.length(F.regexp_extract(s["line"], f"({pattern})", 1))).alias("match_end")))
+    return F.when(content.rlike("(?m)" + pattern), hits)
+
+
+def scores(count: Column, max_line: Column, most_count: float, most_density: float) -> Column:
+    """0.6 for many matches, 0.4 for density, each relative to the largest of all files."""
+    density = count / max_line / F.lit(max(most_density, 2.220446049250313e-16))
+    return clamp(F.lit(0.6) * F.log1p(count) / F.log1p(F.lit(most_count)) + F.lit(0.4) * density)
+
+
 def file_stats(hits: DataFrame) -> DataFrame:
     """(file_id, path, count, max_line, snippets): map-side combined; at most three snippets a file are kept."""
     first = F.slice(F.array_sort(F.collect_list(F.struct("line_no", "line", "match_start", "match_end"))), 1, SNIPPETS)
@@ -33,17 +54,17 @@ def file_stats(hits: DataFrame) -> DataFrame:
 
 
 def scored(stats: DataFrame) -> DataFrame:
-    """Adds ``grep_score``: 0.6 for many matches, 0.4 for density, both relative to the largest."""
+    """Adds ``grep_score``."""
     stats = staged(stats, "grep")  # one pass over the text; the two maxima are two numbers
-    density = F.col("count") / F.col("max_line")
-    most = stats.agg(F.max("count").alias("c"), F.max(density).alias("d")).first()
-    c, d = float(most["c"] or 1), max(float(most["d"] or 1), 2.220446049250313e-16)
-    score = F.lit(0.6) * F.log1p("count") / F.log1p(F.lit(c)) + F.lit(0.4) * density / F.lit(d)
-    return stats.withColumn("grep_score", clamp(score))
+    most = stats.agg(F.max("count").alias("c"), F.max(F.col("count") / F.col("max_line")).alias("d")).first()
+    return stats.withColumn("grep_score", scores(F.col("count"), F.col("max_line"), float(most["c"] or 1), float(most["d"] or 1)))
 
 
 def grep(corpus: DataFrame, pattern: str) -> DataFrame:
-    return scored(file_stats(matches(corpus, pattern)))
+    """(file_id, path, count, max_line, snippets, grep_score): one pass over the text and no shuffle of lines."""
+    hits = corpus.select("file_id", "path", hit_array(F.col("content"), pattern).alias("h")).where("size(h) > 0")
+    return scored(hits.select("file_id", "path", F.size("h").cast("long").alias("count"), F.element_at("h", -1)["line_no"].alias("max_line"),
+                              F.slice("h", 1, SNIPPETS).alias("snippets")).dropDuplicates(["file_id"]))
 
 
 def top(scores: DataFrame, column: str, k: int) -> DataFrame:

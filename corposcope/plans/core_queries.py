@@ -226,12 +226,12 @@ def grep_file_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_HITS} select file_id, round(s, 6) as score from grepped")
 def grep_score(spark: SparkSession, d: str) -> DataFrame:
-    return grep.scored(grep.file_stats(_hits(spark, d))).select("file_id", F.round("grep_score", 6).alias("score"))
+    return grep.grep(sources.deliveries(spark, d), PATTERN).select("file_id", F.round("grep_score", 6).alias("score"))
 
 
 @query(f"with {_HITS} select file_id, path, round(s, 6) as score from grepped order by score desc, path limit {TOP}")
 def grep_topk(spark: SparkSession, d: str) -> DataFrame:
-    s = grep.scored(grep.file_stats(_hits(spark, d))).select("file_id", "path", F.round("grep_score", 6).alias("score"))
+    s = grep.grep(sources.deliveries(spark, d), PATTERN).select("file_id", "path", F.round("grep_score", 6).alias("score"))
     return grep.top(s, "score", TOP)
 
 
@@ -261,17 +261,17 @@ def fts_term_df(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_TOKENS}{_bm25(TERMS, ('content',), False)} select file_id, round(bm25, 6) as score from bm")
 def fts_bm25(spark: SparkSession, d: str) -> DataFrame:
     plain = {k: 1.0 for k in fts.FIELD_WEIGHTS}
-    return fts.bm25(sources.files(spark, d), TERMS, ("content",), plain).select("file_id", F.round("bm25", 6).alias("score"))
+    return fts.bm25(sources.deliveries(spark, d), TERMS, ("content",), plain).select("file_id", F.round("bm25", 6).alias("score"))
 
 
 @query(f"with {_TOKENS}{_bm25(TERMS)} select file_id, round(bm25, 6) as score from bm")
 def fts_bm25_weighted(spark: SparkSession, d: str) -> DataFrame:
-    return fts.bm25(sources.files(spark, d), TERMS).select("file_id", F.round("bm25", 6).alias("score"))
+    return fts.bm25(sources.deliveries(spark, d), TERMS).select("file_id", F.round("bm25", 6).alias("score"))
 
 
 @query(f"with {_TOKENS}{_bm25(PREFIXES)} select file_id, round(bm25, 6) as score from bm")
 def fts_prefix_and(spark: SparkSession, d: str) -> DataFrame:
-    return fts.bm25(sources.files(spark, d), PREFIXES).select("file_id", F.round("bm25", 6).alias("score"))
+    return fts.bm25(sources.deliveries(spark, d), PREFIXES).select("file_id", F.round("bm25", 6).alias("score"))
 
 
 @query(f"with {_TOKENS}, g as (select file_id, unnest(list_transform(range(1, len(tc) - 1), lambda i: array_to_string(tc[i:i + 2], ' '))) as g from toks) select file_id, count(*) as hits from g where g = '{PHRASE}' group by 1")
@@ -281,12 +281,12 @@ def fts_phrase(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_TOKENS}{_bm25([('harbor', True)], ('filename',))} select file_id, round(least(bm25 / 15, 1), 6) as score from bm")
 def fts_field_filter(spark: SparkSession, d: str) -> DataFrame:
-    return fts.filename_search(sources.files(spark, d), "harbor").select("file_id", F.round("fts_score", 6).alias("score"))
+    return fts.filename_search(sources.deliveries(spark, d), "harbor").select("file_id", F.round("fts_score", 6).alias("score"))
 
 
 @query(f"with {_TOKENS}{_bm25([('harbor', True), ('magnet', True)])} select file_id, path, round(least(bm25 / 15, 1), 6) as score from bm order by score desc, path limit {TOP}")
 def fts_topk(spark: SparkSession, d: str) -> DataFrame:
-    s = fts.search(sources.files(spark, d), NL_QUERY).select("file_id", "path", F.round("fts_score", 6).alias("score"))
+    s = fts.search(sources.deliveries(spark, d), NL_QUERY).select("file_id", "path", F.round("fts_score", 6).alias("score"))
     return grep.top(s, "score", TOP)
 
 
@@ -373,39 +373,39 @@ def _flat(df: DataFrame) -> DataFrame:
 
 @query(_EX + " select file_id, round(fts, 6) as fts, round(grep, 6) as grep from ev")
 def fusion_full_outer(spark: SparkSession, d: str) -> DataFrame:
-    return plans.scored(security.visible(sources.files(spark, d)), EXACT_QUERY).select("file_id", F.round("fts", 6).alias("fts"), F.round("grep", 6).alias("grep"))
+    return plans.scored(security.visible(sources.deliveries(spark, d)), EXACT_QUERY).select("file_id", F.round("fts", 6).alias("fts"), F.round("grep", 6).alias("grep"))
 
 
 @query(_EX + " select file_id, round(base, 6) as base, sources from sc")
 def fusion_weighted(spark: SparkSession, d: str) -> DataFrame:
-    return plans.scored(security.visible(sources.files(spark, d)), EXACT_QUERY).select("file_id", F.round("base", 6).alias("base"), "sources")
+    return plans.scored(security.visible(sources.deliveries(spark, d)), EXACT_QUERY).select("file_id", F.round("base", 6).alias("base"), "sources")
 
 
 @query(_EX + " select file_id, round(score, 6) as score, n::int as n_sources from sc")
 def fusion_bonus(spark: SparkSession, d: str) -> DataFrame:
-    return plans.scored(security.visible(sources.files(spark, d)), EXACT_QUERY).select("file_id", F.round("score", 6).alias("score"), "n_sources")
+    return plans.scored(security.visible(sources.deliveries(spark, d)), EXACT_QUERY).select("file_id", F.round("score", 6).alias("score"), "n_sources")
 
 
 @query(_EX + " select t.file_id, coalesce(boost, 0) as boost from top t left join bo using (file_id)")
 def position_boost(spark: SparkSession, d: str) -> DataFrame:
-    s = plans.scored(security.visible(sources.files(spark, d)), EXACT_QUERY)
+    s = plans.scored(security.visible(sources.deliveries(spark, d)), EXACT_QUERY)
     return fusion.ranked(s, TOP).select("file_id", "boost")
 
 
 @query(_EX + _FINAL)
 def search_combined(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(plans.search(sources.files(spark, d), EXACT_QUERY, TOP))
+    return _flat(plans.search(sources.deliveries(spark, d), EXACT_QUERY, TOP))
 
 
 @query(_search_sql(REGEX_QUERY, None, fusion.weights("regex"), "impl ").replace(_holds_sql("impl "), " and ".join(
     f"contains(content, '{g.decode()}')" for g in ngram_index.pattern_ngrams(REGEX_QUERY))) + _FINAL)
 def search_regex(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(plans.search(sources.files(spark, d), REGEX_QUERY, TOP))
+    return _flat(plans.search(sources.deliveries(spark, d), REGEX_QUERY, TOP))
 
 
 @query(_NL + _FINAL)
 def search_nl(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(plans.search(sources.files(spark, d), NL_QUERY, TOP))
+    return _flat(plans.search(sources.deliveries(spark, d), NL_QUERY, TOP))
 
 
 @query(f"""with {_TOKENS},

@@ -64,6 +64,18 @@ def walk(spark: SparkSession, root: str, *, include_hidden: bool = False, max_by
     return rows.select("path", text.alias("content")).where("content is not null")
 
 
+def deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of the index as delivered; an id may come several times with the same path and content."""
+    return table(spark, d, "files").where("file_id is not null").select("file_id", "path", "content")
+
+
+def line_array(content: Column) -> Column:
+    """Lines of a text as an array, split as in ``lines``."""
+    parts = F.split(content, "\n")
+    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.transform(parts, lambda x: F.when(F.endswith(x, F.lit("\r")), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x))
+
+
 def lines(corpus: DataFrame, keep: Column | None = None) -> DataFrame:
     """(file_id, path, line_no, line): lines from 1; one trailing carriage return is removed, and no empty
     line follows a final line end. ``keep`` filters lines before anything else is computed."""
