@@ -380,12 +380,16 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         for r in named.where(F.col("y") == y).select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(per_language).collect():
             picked.setdefault(r["i"], y)
     if not picked:
+        if documents.isEmpty():
+            return Tagger()
         raise ValueError("no document has a label of a known language")
     rows = (documents.where(F.col(id_col).isin(list(picked))).groupBy(F.col(id_col).alias("i"))
                      .agg(F.min(text_col).alias("t")).orderBy("i").collect())
     texts = pa.array([r["t"] or "" for r in rows], pa.string())
     flat, off = utf8(texts)
     prose = Prose(flat, off)
+    if not prose.start.size:
+        raise ValueError("no labelled document holds prose")
     k, prev, nxt = prose.windows()
     y = np.array([LANGS.index(picked[r["i"]]) for r in rows])[prose.doc]
     _, first = np.unique(k + y.astype(np.uint64), return_index=True)
@@ -422,7 +426,7 @@ def mislabelled(documents: DataFrame, net: Tagger, *, fifth: float = 0.2) -> Dat
         given: list = []
         left = None
         for out in core(halves(batches)):
-            if left is None or len(left) == 0:
+            while left is None or len(left) == 0:  # empty batches give no rows
                 left = given.pop(0)
             yield pa.RecordBatch.from_arrays([out.column(0), left.slice(0, out.num_rows), out.column(1), *[out.column(5 + j) for j in range(len(LANGS))]],
                                              ["doc_id", "given", "main", *LANGS])

@@ -17,7 +17,8 @@ Edge cases: null or empty texts have no tokens; a target for a source without
 documents is out of reach unless it is zero; a null target counts as zero and a
 null cap as one; sources without a target are treated like missing ones; without
 labelled documents posteriors are uniform; repeated rows are separate documents;
-an empty corpus gives targets with zero tokens, none of them out of reach.
+an empty corpus gives targets with zero tokens, none of them out of reach; without
+targets every rate is zero.
 """
 from __future__ import annotations
 
@@ -72,6 +73,8 @@ class Classifier:
     heat: float = 1.0
 
     def posterior(self, text: str | None) -> np.ndarray:
+        if not self.sources:
+            return np.zeros(0)
         score = self.prior.copy()
         if self.weight is not None:
             score = score + self.heat * (self.weight @ _features(text))
@@ -146,6 +149,8 @@ def soft_rates(member: np.ndarray, cap: np.ndarray, history: list[np.ndarray]) -
 def _soft_totals(soft: DataFrame, cap: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
     """Expected tokens that soft documents add to each source: one aggregation."""
     size = cap.size
+    if not size:
+        return np.zeros(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(size)
@@ -235,8 +240,9 @@ def mixture(counted: DataFrame, found: Fit) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            member = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, cap.size)
-            x = soft_rates(member, cap, history) if len(member) else np.zeros(0)
+            x = np.zeros(batch.num_rows)
+            if batch.num_rows and cap.size:
+                x = soft_rates(batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, cap.size), cap, history)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(x)],
                                              ["doc_id", "source", "tokens", "rate"])
 

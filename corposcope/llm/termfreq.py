@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def build_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(1)
         values = lists.flatten()
-        parent = pa.compute.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+        parent = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
         keep = np.asarray(values.is_valid())
         flat = values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[keep]
         parent = parent[keep]

@@ -11,6 +11,8 @@ CHUNK = 2_000_000  #: bytes handled at once; a longer document is a chunk of its
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls read as empty."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     if column.null_count:
         column = column.fill_null("")
     column = column.cast(pa.large_string())
