@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corposcope.functions.regexq import parse_query
 from corposcope.functions.text import clamp, filename, fold, tokens
-from corposcope.session import staged
+from corposcope.session import spread, staged
 
 K1, B = 1.2, 0.75
 FIELD_WEIGHTS = {"path": 5.0, "filename": 10.0, "content": 1.0}
@@ -82,7 +82,7 @@ def bm25_score(n_terms: int, stats) -> Column:
 def bm25(corpus: DataFrame, terms: list[tuple[str, bool]], fields=tuple(FIELD_WEIGHTS), weights=FIELD_WEIGHTS) -> DataFrame:
     """(file_id, path, bm25) of the files that hold every term; a prefix counts as one term, no terms give no rows."""
     cols = frequencies(terms, fields, weights)
-    narrow = tokenized(corpus).select("file_id", "path", *[c.alias(k) for k, c in cols.items()]).dropDuplicates(["file_id"])
+    narrow = tokenized(spread(corpus.select("file_id", "path", "content"))).select("file_id", "path", *[c.alias(k) for k, c in cols.items()]).dropDuplicates(["file_id"])
     narrow = staged(narrow, "fts")
     stats = narrow.agg(*statistics(len(terms))).first()
     return narrow.select("file_id", "path", bm25_score(len(terms), stats).alias("bm25")).where("bm25 is not null")

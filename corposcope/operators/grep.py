@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corposcope.functions.regexq import check_pattern
 from corposcope.functions.text import clamp
-from corposcope.session import staged
+from corposcope.session import spread, staged
 from corposcope.sources.corpus import line_array, lines
 
 SNIPPETS = 3
@@ -62,7 +62,7 @@ def scored(stats: DataFrame) -> DataFrame:
 
 def grep(corpus: DataFrame, pattern: str) -> DataFrame:
     """(file_id, path, count, max_line, snippets, grep_score): one pass over the text and no shuffle of lines."""
-    hits = corpus.select("file_id", "path", hit_array(F.col("content"), pattern).alias("h")).where("size(h) > 0")
+    hits = spread(corpus.select("file_id", "path", "content")).select("file_id", "path", hit_array(F.col("content"), pattern).alias("h")).where("size(h) > 0")
     return scored(hits.select("file_id", "path", F.size("h").cast("long").alias("count"), F.element_at("h", -1)["line_no"].alias("max_line"),
                               F.slice("h", 1, SNIPPETS).alias("snippets")).dropDuplicates(["file_id"]))
 

@@ -25,6 +25,8 @@ RULES = (
     ("go", "iface", r"^type ([A-Za-z_]\w*).* interface"),
 )
 BRACES = ("rs", "go", "js")
+#: First words of the lines that a rule can match.
+_HEADS = r"^(?:pub|async|unsafe|fn|struct|enum|impl|trait|mod|def|class|export|function|const|func|type)\b"
 
 
 def language(path: Column) -> Column:
@@ -44,7 +46,8 @@ def symbols(corpus: DataFrame) -> DataFrame:
     for lang, k, rx in reversed(RULES):
         hit = (F.col("lang") == lang) & F.col("body").rlike(rx)
         kind, name = F.when(hit, k).otherwise(kind), F.when(hit, F.regexp_extract("body", rx, 1)).otherwise(name)
-    x = _lines(corpus).withColumns({"kind": kind, "name": name}).where("kind is not null")
+    heads = _lines(corpus).where(F.col("body").rlike(_HEADS))
+    x = heads.withColumns({"kind": kind, "name": name}).where("kind is not null")
     return x.select("file_id", "path", "lang", "kind", "name", "line_no", F.floor(F.col("indent") / 4).cast("int").alias("level"), "indent")
 
 

@@ -48,11 +48,10 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame, *, least: int | None = None) -> DataFrame:
-    """Round-robin a CPU-heavy input that the scan packed into fewer tasks than cores."""
-    want = least or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an input of fewer scan tasks than cores, for work that costs more than moving the rows.
 
-
-def stable_hash(*cols) -> "F.Column":
-    return F.xxhash64(*cols)
+    Only inputs of a few blocks have so few tasks; a large input is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
