@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corposcope.llm.textarrays import chunks, mix, run_hashes, utf8
+from corposcope.session import spread
 
 LANGS = ("en", "de", "fr", "es")
 PER_LANGUAGE = 400  #: labelled documents of each language that train the network
@@ -401,7 +402,7 @@ def identify(documents: DataFrame, net: Tagger, id_col: str = "doc_id", text_col
     """(doc_id, lang, share, confidence, prose_chars, en, de, fr, es): one row per input row."""
     schema = ("doc_id long, lang string, share double, confidence double, prose_chars long, "
               + ", ".join(f"{x} double" for x in LANGS))
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_document_rows(net), schema)
+    return spread(documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(_document_rows(net), schema)
 
 
 def segments(documents: DataFrame, net: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,7 +411,7 @@ def segments(documents: DataFrame, net: Tagger, id_col: str = "doc_id", text_col
     ``begin`` and ``finish`` are byte positions in the UTF-8 text.
     """
     schema = "doc_id long, segment int, begin long, finish long, lang string, confidence double, prose_chars long"
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_segment_rows(net), schema)
+    return spread(documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(_segment_rows(net), schema)
 
 
 def mislabelled(documents: DataFrame, net: Tagger, *, fifth: float = 0.2) -> DataFrame:
@@ -432,7 +433,7 @@ def mislabelled(documents: DataFrame, net: Tagger, *, fifth: float = 0.2) -> Dat
                                              ["doc_id", "given", "main", *LANGS])
             left = left.slice(out.num_rows)
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", label(F.col("lang")).alias("given")).mapInArrow(run, schema)
+    rows = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", label(F.col("lang")).alias("given"))).mapInArrow(run, schema)
     held = F.filter(F.array(*[F.when(F.col(x) >= fifth, F.lit(x)) for x in LANGS]), lambda x: x.isNotNull())
     return (rows.withColumn("held", held)
                 .where(F.col("given").isNull() | (F.size("held") > 1) | (F.col("given") != F.col("main")))

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corposcope.llm.textarrays import CHUNK, chunks, run_hashes, utf8, windows
+from corposcope.session import spread
 
 WIDTH = 13
 BLOCK_CHARS = 8_000_000
@@ -183,7 +184,7 @@ def leaks(documents: DataFrame, items: DataFrame, *, width: int = WIDTH, templat
     template = _hashes(template_words(items, template_share))
     chars = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
     blocks = max(1, ceil(chars / BLOCK_CHARS))
-    docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = spread(documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     schema = "doc_id long, item_id long, verbatim_windows long, template_run long"
     found = None
     for k in range(blocks):

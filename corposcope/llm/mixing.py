@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corposcope.session import staged
+from corposcope.session import spread, staged
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokenisation of the published byte-level vocabulary. Fixed value.
@@ -118,7 +118,7 @@ def measured(documents: DataFrame, known: dict[str, int], classifier: Classifier
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([count(t) if t else 0 for t in texts], pa.int64()),
                  pa.array(soft, pa.list_(pa.float64()))], ["doc_id", "source", "tokens", "member"])
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).mapInArrow(
         run, "doc_id long, source string, tokens long, member array<double>")
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corposcope.llm.textarrays import chunks, mix, run_hashes, utf8, windows
-from corposcope.session import staged
+from corposcope.session import spread, staged
 
 WIDTH = 5
 POSITIONS, GROUP = 96, 3
@@ -162,7 +162,7 @@ def classes_and_links(files: DataFrame, id_col: str, text_col: str, *, threshold
     similarity)`` holds every pair of classes that reaches the threshold, a < b."""
     rows = files.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("file_id"),
                                                          F.col(text_col).alias("content"))
-    signed = staged(rows.mapInArrow(signatures, SIG_DDL), "sig")
+    signed = staged(spread(rows).mapInArrow(signatures, SIG_DDL), "sig")
     classes = signed.groupBy("ck1", "ck2").agg(F.min("file_id").alias("rep"))
     members = (signed.select("file_id", "ck1", "ck2").distinct().join(classes, ["ck1", "ck2"])
                      .select("file_id", "rep"))
