@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corposcope.errors import FileNotIndexed, StaleIndex, ToolError
-from corposcope.functions import ngram
 from corposcope.operators import docops, outline, refs, security
 from corposcope.operators.indexing import IndexStore
 from corposcope.plans import search as plans
@@ -94,5 +93,3 @@ class Engine:
 
         return compact(self.store.read("ngrams"))
 
-
-__all__ = ["Engine", "ngram"]

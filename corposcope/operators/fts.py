@@ -49,8 +49,10 @@ def term_df(corpus: DataFrame) -> DataFrame:
     return tokenized(corpus).select(F.explode(all_tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _frequency(words: str, term: str, prefix: bool) -> Column:
-    """How many elements of an array column are the term, or start with it."""
+def _frequency(words: str, term: str | tuple, prefix: bool) -> Column:
+    """How many elements of an array column are the term (or one of several), or start with it."""
+    if isinstance(term, tuple):
+        return F.size(F.filter(words, lambda x: x.isin(*term)))
     return F.size(F.filter(words, (lambda x: F.startswith(x, F.lit(term))) if prefix else (lambda x: x == term)))
 
 
@@ -95,6 +97,35 @@ def search(corpus: DataFrame, query: str) -> DataFrame:
     return found.select("file_id", "path", clamp(F.col("bm25") / SCALE).alias("fts_score"))
 
 
+def stemmed(terms: list[tuple[str, bool]], vocabulary: DataFrame) -> list[tuple[tuple, bool]]:
+    """Query terms as the words of ``vocabulary(term)`` that share (or, for prefixes, start with) their stem.
+
+    Stems are computed once for each distinct word, in Arrow batches; only words of
+    the asked stems reach the driver.
+    """
+    import pyarrow as pa
+
+    from corposcope.functions.stem import stem
+
+    asked = [(stem(t), p) for t, p in terms]
+
+    def run(batches):
+        for b in batches:
+            words = b.column(0).to_pylist()
+            kept = [(w, i) for w in words for i, (s, p) in enumerate(asked) if (stem(w).startswith(s) if p else stem(w) == s)]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.string()), pa.array([k[1] for k in kept], pa.int32())], ["term", "i"])
+
+    found = vocabulary.select("term").distinct().mapInArrow(run, "term string, i int").collect()
+    return [(tuple(sorted({r["term"] for r in found if r["i"] == i}) or [t]), False) for i, (t, _) in enumerate(terms)]
+
+
+def stemmed_search(corpus: DataFrame, query: str, vocabulary: DataFrame) -> DataFrame:
+    """``search`` on stems; ``vocabulary`` is the term column of stored postings or of ``term_df``."""
+    field, terms = parse_query(query)
+    found = bm25(corpus, stemmed(terms, vocabulary), (field,) if field else tuple(FIELD_WEIGHTS))
+    return found.select("file_id", "path", clamp(F.col("bm25") / SCALE).alias("fts_score"))
+
+
 def phrase(corpus: DataFrame, words: str) -> DataFrame:
     """(file_id, path, hits): files whose content has the words next to each other, quotes ignored."""
     _, terms = parse_query(words.replace('"', " "))

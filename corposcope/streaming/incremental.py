@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from corposcope.operators.indexing import IndexStore
 
@@ -34,3 +34,22 @@ def run(stream: DataFrame, store: IndexStore, checkpoint: str) -> StreamingQuery
     """Start indexing a stream of file versions; offsets and state live in ``checkpoint``."""
     return (stream.writeStream.foreachBatch(lambda batch, _: apply_batch(store, batch))
                   .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+class Progress(StreamingQueryListener):
+    """Calls ``on_batch(batch id, input rows)`` after each micro-batch; register with spark.streams.addListener."""
+
+    def __init__(self, on_batch):
+        self.on_batch = on_batch
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        self.on_batch(event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
