@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,14 +62,18 @@ def differing_leaves(current: DataFrame, saved: DataFrame, levels: int = LEVELS)
     return pair.where(differ("d") | differ("n")).select("part", "leaf")
 
 
-def changed_records(current: DataFrame, saved: DataFrame, levels: int = LEVELS) -> DataFrame:
+def changed_records(current: DataFrame, saved: DataFrame, levels: int = LEVELS, *,
+                    current_tree: DataFrame | None = None, saved_tree: DataFrame | None = None) -> DataFrame:
     """(part, key, status, value): 'added', 'changed' or 'removed' records.
 
+    Leaf tables that exist already can be given, so that state is only read in leaves that differ.
+
     Both inputs are ``records()`` with one row per (part, key).  Null values are
     compared null-safe; null keys are records too.  Rows are joined only inside
     differing leaves.
     """
-    leaf = differing_leaves(leaves(current, levels), leaves(saved, levels), levels)
+    leaf = differing_leaves(leaves(current, levels) if current_tree is None else current_tree,
+                            leaves(saved, levels) if saved_tree is None else saved_tree, levels)
     pick = lambda r: r.withColumn("leaf", node(levels)).join(leaf, ["part", "leaf"], "left_semi")
     a = pick(current).select("part", F.col("key").alias("ka"), F.col("value").alias("va"),
                              F.lit(True).alias("ina"))
@@ -111,10 +116,12 @@ class Store:
         v = self.current()
         return self.spark.read.parquet(f"{self.path}/{v}/{what}") if v else None
 
-    def publish(self, output: DataFrame, leaf_table: DataFrame) -> str:
+    def publish(self, output: DataFrame, leaf_table: DataFrame, recs: DataFrame | None = None) -> str:
         version = f"v-{uuid.uuid4().hex}"
         output.write.parquet(f"{self.path}/{version}/output")
         leaf_table.write.parquet(f"{self.path}/{version}/tree")
+        if recs is not None:
+            recs.write.parquet(f"{self.path}/{version}/records")
         self.point(version)
         return version
 
@@ -129,3 +136,27 @@ class Store:
         opts = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         opts[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         ctx.rename(new, jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT"), opts)
+
+
+def incremental_run(store: Store, current: DataFrame, process: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One run over ``records()``: only records added or changed since the last published run reach ``process``.
+
+    ``process`` gets (part, key, status, value) and returns rows with ``part`` and
+    ``key``.  Rows of changed and removed records are replaced in the published
+    output; output, records and tree become current together, so a run that fails
+    anywhere leaves the last state, and the next run finds the same records again.
+    Returns the changes of this run.
+    """
+    tree = staged(leaves(current), "tree")
+    saved, saved_tree = store.read("records"), store.read("tree")
+    if saved is None:
+        saved, saved_tree = current.limit(0), tree.limit(0)
+    changed = staged(changed_records(current, saved, current_tree=tree, saved_tree=saved_tree), "changed")
+    fresh = process(changed.where("status != 'removed'"))
+    old = store.read("output")
+    if old is not None:
+        c = changed.select(F.col("part").alias("__p"), F.col("key").alias("__k"))
+        kept = old.join(c, F.col("part").eqNullSafe(F.col("__p")) & F.col("key").eqNullSafe(F.col("__k")), "left_anti")
+        fresh = kept.unionByName(fresh)
+    store.publish(fresh, tree, current)
+    return changed

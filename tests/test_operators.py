@@ -224,6 +224,34 @@ def test_store_survives_a_crash(spark, tmp_path):
     assert store.current() == second != first and store.read("output").count() == 2 and store.read("tree").count() == 1
 
 
+def test_incremental_runs(spark, tmp_path):
+    store = merkle.Store(spark, "file://" + str(tmp_path / "inc"))
+    frame = lambda rows: merkle.records(spark.createDataFrame(rows, "root string, path string, hash long"), "root", "path", "hash")
+    calls = []
+
+    def process(rows):
+        calls.append({r["key"] for r in rows.collect()})
+        return rows.select("part", "key", (F.col("value") * 10).alias("out"))
+
+    state = lambda: {(r["key"], r["out"]) for r in store.read("output").collect()}
+    first = [("r", f"p{i}", i) for i in range(300)]
+    merkle.incremental_run(store, frame(first), process)
+    assert len(calls[-1]) == 300 and state() == {(f"p{i}", 10 * i) for i in range(300)}
+    second = [("r", f"p{i}", i + 1000 * (i == 5)) for i in range(1, 300)] + [("q", None, 7)]
+
+    def broken(rows):
+        raise RuntimeError("the run dies")
+
+    with pytest.raises(RuntimeError):
+        merkle.incremental_run(store, frame(second), broken)
+    assert state() == {(f"p{i}", 10 * i) for i in range(300)}
+    merkle.incremental_run(store, frame(second), process)
+    assert calls[-1] == {"p5", None}
+    assert state() == {(k, 10 * v) for _, k, v in second}
+    merkle.incremental_run(store, frame(second), process)
+    assert calls[-1] == set() and state() == {(k, 10 * v) for _, k, v in second}
+
+
 def _pending(spark, files, scan, diffs, runs):
     f = spark.createDataFrame(files, "path string, hash long, extra string, root string")
     s = spark.createDataFrame(scan, "root string, path string, hash long, seen_at timestamp")
