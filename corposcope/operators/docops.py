@@ -15,7 +15,7 @@ MAX_CELLS = 25_000_000
 
 def _joined(rows: DataFrame, text: str) -> DataFrame:
     """One row per file: the lines joined in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", F.col(text).alias("t"))))
+    ordered = F.array_sort(F.collect_set(F.struct("line_no", F.col(text).alias("t"))))
     return rows.groupBy("file_id", "path").agg(F.array_join(F.transform(ordered, lambda s: s["t"]), "\n").alias("content"),
                                                F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
 

@@ -29,7 +29,7 @@ def tokenized(corpus: DataFrame) -> DataFrame:
 
 
 def postings(corpus: DataFrame) -> DataFrame:
-    """(term, file_id, field, tf): the inverted index, counted before the shuffle by file."""
+    """(term, file_id, field, tf): the inverted index of a corpus with one row per file, counted before the shuffle."""
     t = tokenized(corpus)
     every = None
     for field in FIELD_WEIGHTS:
@@ -46,7 +46,8 @@ def doc_lengths(corpus: DataFrame) -> DataFrame:
 def term_df(corpus: DataFrame) -> DataFrame:
     """(term, df): number of files with the term in any field."""
     all_tokens = F.array_distinct(F.concat("t_path", "t_filename", "t_content"))
-    return tokenized(corpus).select(F.explode(all_tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    pairs = tokenized(corpus).select("file_id", F.explode(all_tokens).alias("term")).distinct()
+    return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def _frequency(words: str, term: str | tuple, prefix: bool) -> Column:

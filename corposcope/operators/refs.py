@@ -28,7 +28,7 @@ def reference_kind(line: Column, symbol: str, definitions=DEFINITIONS) -> Column
 def references(corpus: DataFrame, symbol: str, *, per_file: int | None = 3) -> DataFrame:
     """(path, line_no, content, ref_type): the first ``per_file`` lines of each file, or all with None."""
     word = rf"\b{re.escape(symbol)}\b"
-    hits = lines(corpus.where(F.contains("content", F.lit(symbol))), F.col("line").rlike(word))
+    hits = lines(corpus.where(F.contains("content", F.lit(symbol))), F.col("line").rlike(word)).dropDuplicates(["file_id", "line_no"])
     if per_file is not None:
         first = Window.partitionBy("file_id").orderBy("line_no")
         hits = hits.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_file)

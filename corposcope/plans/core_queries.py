@@ -79,7 +79,7 @@ def _bm25(terms, fields=("path", "filename", "content"), weighted: bool = True,
 
 @query(f"with {_CORPUS} select file_id, path, length(content) as n_chars from corpus")
 def corpus_files(spark: SparkSession, d: str) -> DataFrame:
-    return sources.files(spark, d).select("file_id", "path", F.length("content").cast("long").alias("n_chars"))
+    return sources.deliveries(spark, d).select("file_id", "path", F.length("content").cast("long").alias("n_chars")).dropDuplicates(["file_id"])
 
 
 @query(f"with {_LINES} select file_id, line_no, line from lines")
@@ -206,7 +206,7 @@ def regex_gate(spark: SparkSession, d: str) -> DataFrame:
 # ---- grep --------------------------------------------------------------------------------------------------------
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return grep.matches(sources.files(spark, d), PATTERN)
+    return grep.matches(sources.deliveries(spark, d), PATTERN).dropDuplicates(["file_id", "line_no"])
 
 
 @query(f"with {_HITS} select file_id, line_no, line from hits")
@@ -250,12 +250,12 @@ def fts_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_TOKENS} select file_id, (len(tp) + len(tf) + len(tc))::int as length from toks")
 def fts_doc_len(spark: SparkSession, d: str) -> DataFrame:
-    return fts.doc_lengths(sources.files(spark, d))
+    return fts.doc_lengths(sources.deliveries(spark, d)).dropDuplicates(["file_id"])
 
 
 @query(f"with {_TOKENS}, x as (select file_id, unnest(list_distinct(list_concat(tp, tf, tc))) as term from toks) select term, count(*) as df from x group by 1")
 def fts_term_df(spark: SparkSession, d: str) -> DataFrame:
-    return fts.term_df(sources.files(spark, d))
+    return fts.term_df(sources.deliveries(spark, d))
 
 
 @query(f"with {_TOKENS}{_bm25(TERMS, ('content',), False)} select file_id, round(bm25, 6) as score from bm")
@@ -276,7 +276,7 @@ def fts_prefix_and(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_TOKENS}, g as (select file_id, unnest(list_transform(range(1, len(tc) - 1), lambda i: array_to_string(tc[i:i + 2], ' '))) as g from toks) select file_id, count(*) as hits from g where g = '{PHRASE}' group by 1")
 def fts_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return fts.phrase(sources.files(spark, d), f'"{PHRASE}"').select("file_id", F.col("hits").cast("long").alias("hits"))
+    return fts.phrase(sources.deliveries(spark, d), f'"{PHRASE}"').select("file_id", F.col("hits").cast("long").alias("hits")).dropDuplicates(["file_id"])
 
 
 @query(f"with {_TOKENS}{_bm25([('harbor', True)], ('filename',))} select file_id, round(least(bm25 / 15, 1), 6) as score from bm")
@@ -448,18 +448,18 @@ _AT = f"select *, greatest(0, least(greatest(instr(t, '{SYMBOL}') - 1, 0) + {len
 
 @query(f"with {_REFS} select path, line_no, ref_type from rc")
 def refs_classify(spark: SparkSession, d: str) -> DataFrame:
-    return refs.references(sources.files(spark, d), SYMBOL, per_file=None).select("path", F.col("line_no").cast("long").alias("line_no"), "ref_type")
+    return refs.references(sources.deliveries(spark, d), SYMBOL, per_file=None).select("path", F.col("line_no").cast("long").alias("line_no"), "ref_type")
 
 
 @query(f"with {_REFS}, a as ({_AT}) select path, line_no, {_TRIM} as content, ref_type from a where k <= 3 order by path, line_no limit 50")
 def refs_topn(spark: SparkSession, d: str) -> DataFrame:
-    r = refs.references(sources.files(spark, d), SYMBOL)
+    r = refs.references(sources.deliveries(spark, d), SYMBOL)
     return r.orderBy("path", "line_no").limit(50).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 @query(f"with {_REFS}, a as ({_AT}) select path, line_no, {_TRIM} as content from a")
 def ref_trim(spark: SparkSession, d: str) -> DataFrame:
-    return refs.references(sources.files(spark, d), SYMBOL, per_file=None).select("path", F.col("line_no").cast("long").alias("line_no"), "content")
+    return refs.references(sources.deliveries(spark, d), SYMBOL, per_file=None).select("path", F.col("line_no").cast("long").alias("line_no"), "content")
 
 
 def _outline_sql() -> str:
@@ -474,7 +474,7 @@ select file_id, kind, name, line_no, level from s where kind is not null"""
 
 @query(_outline_sql())
 def outline_symbols(spark: SparkSession, d: str) -> DataFrame:
-    return outline.symbols(sources.files(spark, d)).select("file_id", "kind", "name", F.col("line_no").cast("long").alias("line_no"), "level")
+    return outline.symbols(sources.deliveries(spark, d)).select("file_id", "kind", "name", F.col("line_no").cast("long").alias("line_no"), "level").dropDuplicates(["file_id", "line_no"])
 
 
 @query()
@@ -499,7 +499,7 @@ def outline_indent_end(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_LINES} select file_id, string_agg(line, chr(10) order by line_no) as content, min(line_no) as first_line, max(line_no) as last_line from lines where line_no between 5 and 12 group by 1")
 def get_range(spark: SparkSession, d: str) -> DataFrame:
-    return docops.get_range(sources.files(spark, d), 5, 12).select("file_id", "content", *[F.col(c).cast("long").alias(c) for c in ("first_line", "last_line")])
+    return docops.get_range(sources.deliveries(spark, d), 5, 12).select("file_id", "content", *[F.col(c).cast("long").alias(c) for c in ("first_line", "last_line")])
 
 
 @query(f"""with {_LINES}, n as (select *, max(line_no) over (partition by file_id) as last from lines)
@@ -548,7 +548,7 @@ def diff_stats(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_CORPUS} select file_id, strlen(content)::bigint as bytes, (strlen(content) + 2) // 4 as tokens from corpus")
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     n = F.octet_length("content").cast("long")
-    return sources.files(spark, d).select("file_id", n.alias("bytes"), tx.token_estimate(n).alias("tokens"))
+    return sources.deliveries(spark, d).select("file_id", n.alias("bytes"), tx.token_estimate(n).alias("tokens")).dropDuplicates(["file_id"])
 
 
 @query("""select backend, round(avg(score), 6) as mean, round(quantile_cont(score, 0.5), 6) as median, round(stddev_pop(score), 6) as std_dev,
