@@ -190,6 +190,27 @@ def test_outranking(spark):
     assert outrank.ranking(outrank.net_flows(df.limit(0), searches, config)).count() == 0
 
 
+def test_hot_searches_and_batches(spark, monkeypatch):
+    rng = random.Random(8)
+    hits = [(q, b, rng.randrange(30), rng.choice([1.0, 2.0, rng.random()])) for q in range(6) for b in outrank.BACKENDS for _ in range(5 + 12 * (q % 3))]
+    df = spark.createDataFrame(hits, "query_id long, backend string, file_id long, score double").repartition(3)
+    searches = spark.createDataFrame([(q, None) for q in range(5)], "query_id long, intent string")
+    config = spark.createDataFrame([("default", 0.6, 0.0, 0.2)], "intent string, fts_weight double, grep_weight double, trigram_weight double")
+    usual = {tuple(r) for r in outrank.net_flows(df, searches, config).collect()}
+    assert len(usual) and {r[0] for r in usual} == set(range(5))
+    monkeypatch.setattr(outrank, "HOT", 40)
+    assert {tuple(r) for r in outrank.net_flows(df, searches, config).collect()} == usual
+    # Batches that cut searches anywhere give the same rows.
+    monkeypatch.setattr(outrank, "BUFFER", 7)
+    rows = sorted([(q, outrank.BACKENDS.index(b), f, -s if b == "fts" else s, None, None, None) for q, b, f, s in hits] + [(q, 3, 0, 0.0, 0.6, 0.0, 0.2) for q in range(5)],
+                  key=lambda r: (r[0], rng.random()))
+    types = [pa.int64(), pa.int8(), pa.int64(), *[pa.float64()] * 4]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], list("abcdefg"))
+    for size in (1, 3, 50, 1000):
+        out = outrank._group_runner(0.25)(batch(rows[i:i + size]) for i in range(0, len(rows), size))
+        assert {tuple(v.as_py() for v in r) for b in out for r in zip(*b.columns)} == usual
+
+
 def test_undisputed(spark):
     rows = [(1, "fts", 1, -9.0), (1, "fts", 2, -1.0), (1, "grep", 1, 5.0), (1, "trigram", 1, 0.9), (1, "trigram", 2, 0.1),
             (2, "fts", 1, -9.0), (2, "fts", 2, -9.0), (2, "grep", 1, 5.0), (2, "trigram", 1, 0.9),  # tie in fts
