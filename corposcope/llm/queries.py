@@ -138,7 +138,25 @@ wt as (select q.query_id, unnest(['fts', 'grep', 'trigram']) as backend,
        from searches q join search_config c on c.intent = case when q.intent in (select intent from search_config) then q.intent else 'default' end)
 """
 
+_NEAR = r"""
+with f as (select file_id, coalesce(min(content), '') as c from files where file_id is not null group by 1),
+t as (select file_id, regexp_extract_all(c, '[A-Za-z0-9_]+') as w from f),
+g as (select distinct file_id, array_to_string(w[k:k + 4], ' ') as s from (select file_id, w, unnest(range(1, len(w) - 3)) as k from t)),
+n as (select file_id, count(*) as n from g group by 1),
+c as (select a.file_id as a, b.file_id as b, count(*) as c from g a join g b on a.s = b.s and a.file_id < b.file_id group by 1, 2),
+p as (select a, b from c join n x on x.file_id = a join n y on y.file_id = b where c.c >= 0.7::double * (x.n + y.n - c.c)
+      union select a.file_id, b.file_id from f a join f b on a.c = b.c and a.file_id < b.file_id)
+"""
+
 ORACLE = {
+    "p6_found": _NEAR + "select a as file_id_a, b as file_id_b from p",
+    "p6_classes": _NEAR + """,
+r as (select file_id, min(file_id) over (partition by c) as class_id from f),
+l as (select distinct x.class_id as a, y.class_id as b from p join r x on x.file_id = p.a join r y on y.file_id = p.b where x.class_id <> y.class_id),
+e as (select a as class_id, b as other from l union select b, a from l),
+d as (select class_id, count(*) as links from e group by 1)
+select file_id, r.class_id, coalesce(links, 0) as links from r left join d using (class_id)
+""",
     "p7_found": r"""
 with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as t from documents where text is not null),
      i as (select item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') as t from eval_items where item_text is not null),
