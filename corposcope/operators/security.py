@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import posixpath
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,9 +63,15 @@ def sensitive_reason(path: Column) -> Column:
     return out
 
 
+def sensitive_pattern() -> str:
+    """All rules as one regular expression on the path, for filters that need no reason."""
+    form = {"exact": "(?:^|/){}$", "prefix": "(?:^|/){}[^/]*$", "suffix": "{}$", "contains": "{}[^/]*$", "path": "{}"}
+    return "|".join(form[how].format(re.sub(r"([^A-Za-z0-9_/-])", r"\\\1", pattern)) for how, pattern, _ in SENSITIVE)
+
+
 def visible(df, path: str = "path"):
     """Rows of files that may be shown; filtered before any limit."""
-    return df.where(sensitive_reason(F.col(path)).isNull())
+    return df.where(~F.col(path).rlike(sensitive_pattern()))
 
 
 def path_verdict(path: Column) -> Column:

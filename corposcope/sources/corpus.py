@@ -69,19 +69,21 @@ def deliveries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "files").where("file_id is not null").select("file_id", "path", "content")
 
 
+def _split(content: Column) -> Column:
+    """Raw lines, split once; a final line end starts no further line, and an empty text has none."""
+    body = F.when(F.endswith(content, F.lit("\n")), F.substring(content, F.lit(1), F.length(content) - 1)).otherwise(content)
+    return F.when(content != "", F.split(body, "\n"))
+
+
 def line_array(content: Column) -> Column:
     """Lines of a text as an array, split as in ``lines``."""
-    parts = F.split(content, "\n")
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.transform(parts, lambda x: F.when(F.endswith(x, F.lit("\r")), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x))
+    return F.transform(_split(content), lambda x: F.when(F.endswith(x, F.lit("\r")), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x))
 
 
 def lines(corpus: DataFrame, keep: Column | None = None) -> DataFrame:
     """(file_id, path, line_no, line): lines from 1; one trailing carriage return is removed, and no empty
     line follows a final line end. ``keep`` filters lines before anything else is computed."""
-    parts = F.split("content", "\n")
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    x = corpus.select("file_id", "path", F.posexplode(parts).alias("pos", "raw"))
+    x = corpus.select("file_id", "path", F.posexplode(_split(F.col("content"))).alias("pos", "raw"))
     line = F.when(F.endswith("raw", F.lit("\r")), F.expr("substring(raw, 1, length(raw) - 1)")).otherwise(F.col("raw"))
     x = x.select("file_id", "path", (F.col("pos") + 1).alias("line_no"), line.alias("line"))
     return x.where(keep) if keep is not None else x

@@ -126,6 +126,12 @@ def test_diffs_in_spark(spark):
     assert cut["truncated"] and cut["additions"] == 1
 
 
+def test_sensitive_forms_agree(spark):
+    names = [n for _, p, _ in security.SENSITIVE for n in (p, "x" + p, p + "x", f"a/{p}", f"a/x{p}", f"a/{p}/b", f"{p}.bak")] + ["a.secret.b/c", "x.rs", "", ".envx", "a/b.env"]
+    df = spark.createDataFrame([(n,) for n in names], "path string")
+    assert sorted(r[0] for r in security.visible(df).collect()) == sorted(r[0] for r in df.where(security.sensitive_reason(F.col("path")).isNull()).collect())
+
+
 def test_paths(tmp_path, spark):
     root = str(tmp_path)
     (tmp_path / "src").mkdir()
