@@ -6,6 +6,8 @@ recomputing what came before.  Nothing here uses executor-local checkpoints.
 """
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,17 +34,29 @@ def shared_dir(spark: SparkSession) -> str:
     made = getattr(shared_dir, "_made", None)
     if made is None:
         made = shared_dir._made = tempfile.mkdtemp(prefix="corposcope-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
     return "file://" + made
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to shared storage and read it back: lineage is cut, values are fixed."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage/{tag}-{uuid.uuid4().hex}"
+    path = f"{_stage_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def purge(spark: SparkSession) -> None:
+    """Delete the staged tables of this application; results that are still lazy must have been written before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_stage_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _stage_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stage-{spark.sparkContext.applicationId}"
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

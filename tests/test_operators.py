@@ -199,6 +199,19 @@ def test_running_sums_over_hot_groups(spark):
     assert running_sums(df.limit(0), ["g"], [F.col("x").asc()], {"s": "v"}).count() == 0
 
 
+def test_staged_tables(spark):
+    import os
+
+    from corposcope import session
+
+    df = session.staged(spark.range(5), "t")
+    assert df.count() == 5 and df.schema == spark.range(5).schema
+    folder = session._stage_dir(spark).removeprefix("file://")
+    assert os.path.isdir(folder)
+    session.purge(spark)
+    assert not os.path.exists(folder)
+
+
 def test_merkle_changes(spark):
     old = [("r1", f"p{i}", i) for i in range(2000)] + [("r2", "a", None), ("r2", None, 3)]
     new = [("r1", f"p{i}", i + (i == 7)) for i in range(1, 2000)] + [("r1", "new", 5), ("r2", "a", None), ("r2", None, 4)]
