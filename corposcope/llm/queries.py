@@ -21,9 +21,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
-    """Credentials that a second pass still finds in the redacted files: none."""
-    clean = secrets.redact(table(spark, d, "files").select("file_id", "path", "content"))
-    return secrets.credentials(clean).groupBy("kind").agg(F.count(F.lit(1)).alias("left"))
+    """(file_id, redactions, left): credentials of each file, and those that a second pass finds after redaction."""
+    files = table(spark, d, "files").select("file_id", "path", "content")
+    count = lambda f, name: secrets.credentials(f).groupBy("file_id").agg(F.count(F.lit(1)).alias(name))
+    return (count(files, "redactions").join(count(secrets.redact(files), "left"), "file_id", "full_outer")
+            .select("file_id", F.coalesce("redactions", F.lit(0)).alias("redactions"), F.coalesce("left", F.lit(0)).alias("left")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
