@@ -11,8 +11,11 @@ Each file is searched once as bytes for
 * passwords mentioned in comments about logins or rotation.
 
 Placeholders, empty values, look-ups, declarations, public keys, certificates,
-checksums and ids are not credentials.  For configuration formats the key path
-(section, parents) is taken from the lines above.  A finding has the byte range of
+checksums and ids are not credentials.  Configuration formats are parsed into key
+paths with byte ranges (``configpaths``) and the key test is applied to every part of
+a path, so a value below a sensitive parent counts too; a part that describes the
+credential (its name, file, user, age) does not.  Patterns run over these files as
+well, for comments and embedded text.  A finding has the byte range of
 the value only, and redaction splices a fixed word into the original bytes there,
 so quotes, line ends, indentation and all other bytes stay as they were.
 
@@ -24,12 +27,14 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corposcope.llm import configpaths
 from corposcope.session import spread
 
 #: Last words of key names that hold credentials. Fixed values.
@@ -116,9 +121,56 @@ _KEY_AT = re.compile(rb"pass|pwd|pw|secret|token|credential|api[_-]?key|(?:acces
 _TALK_AT = re.compile(rb"login|credential|rotate|old (?:one|password|token|key)|passw|passphrase|\\bpw\\b|creds")
 
 
-def findings(raw: bytes, config: bool) -> list[tuple[int, int, str, int]]:
+#: Parts below a sensitive part that only hold its value, and those that describe it. Fixed values.
+_NEUTRAL = re.compile(rb"\d+|value|val|text|string|data|content|raw|plain(?:text)?|literal|current|previous|default|key|live|prod(?:uction)?|primary|secondary", re.I)
+_DESCRIBES = re.compile(
+    rb"(?:.*[_.-]|.*(?-i:(?<=[a-z])(?=[A-Z])))?(?:names?|refs?|path|file(?:name)?|dir(?:ectory)?|ids?|type|kind|alg(?:orithm)?|issuer?|audience|expir\w*|ttl|age|lifetime|timeout|"
+    rb"interval|length|size|min|max|count|limit|ur[il]|endpoint|host(?:name)?|port|user(?:name)?|login|email|account|owner|desc(?:ription)?|comment|note|title|label|labels|"
+    rb"help|hint|message|format|pattern|regex|charset|policy|scopes?|roles?|version|provider|store|backend|manager|source|from|env|variable|var|enabled|required|"
+    rb"created\w*|updated\w*|rotat\w*|at|date|time|header|prefix|suffix|field|column|param|hash|checksum|digest|fingerprint|sha\d*|md5|e?tag|rev(?:ision)?|commit|uuid|guid|region|zone|bucket|namespace|"
+    rb"image|command|script|module|class|public\w*|mount\w*|metadata|annotations)", re.I)
+_SENSITIVE = re.compile(rb"(" + _STEM + rb")s?$", re.I)
+
+
+def _stem_of(name: bytes) -> bytes | None:
+    """The credential word a key part ends with."""
+    m = _SENSITIVE.search(name)
+    if not m or re.search(rb"public", name, re.I) or not _ends_word(name, _key_start(name, m.start(1)), m.start(1), m.group(1)):
+        return None
+    return m.group(1)
+
+
+def _of_path(raw: bytes, e: configpaths.Entry) -> bool:
+    """Whether the value of an entry is a credential by its whole key path."""
+    v = raw[e.begin:e.end]
+    if len(v) < 6 or re.search(rb"\s", v) or _PLACEHOLDER.match(v):
+        return False
+    for i in range(len(e.path) - 1, -1, -1):
+        stem = _stem_of(e.path[i])
+        if not stem and i and e.path[i].lower() in (b"key", b"keys", b"keyid", b"key_id"):
+            stem = _stem_of(e.path[i - 1] + b"_" + e.path[i])
+        if stem:
+            near = all(_NEUTRAL.fullmatch(x) for x in e.path[i + 1:])
+            if not near and b"://" in v:  # the password in it is found by its own rule
+                return False
+            if _plain_id(v) and not (near and e.quoted and re.search(rb"pass|pwd", stem, re.I)):
+                return False
+            return _strong(v) or near and e.quoted and _irregular(v)
+        if _DESCRIBES.fullmatch(e.path[i]):
+            return False
+    return False
+
+
+def config_entries(raw: bytes, path: str | None) -> list[configpaths.Entry]:
+    """Entries of a configuration file; none of other files."""
+    form = configpaths.form_of(path)
+    return configpaths.entries(raw, form) if form else []
+
+
+def findings(raw: bytes, config: bool, entries: Sequence[configpaths.Entry] = ()) -> list[tuple[int, int, str, int]]:
     """(begin, end, kind, key position) of every credential value, in order, without overlaps.
 
+    ``entries`` are the parsed values of a configuration file, tested by key path.
     Literal anchors are looked for first; the fuller patterns run only at anchors.
     """
     out: list[tuple[int, int, str, int]] = []
@@ -189,7 +241,8 @@ def findings(raw: bytes, config: bool) -> list[tuple[int, int, str, int]]:
         if _strong(v) and not _plain_id(v) and not _PLACEHOLDER.match(v):
             if re.search(rb"[^\w/.:-]", v) or (len(v) >= 12 and re.search(rb"[A-Z]", v) and re.search(rb"[a-z]", v)):
                 out.append((m.start("v"), m.end("v"), "comment", m.start()))
-    out.sort()
+    out += [(e.begin, e.end, "keyed_value", e.begin) for e in entries if _of_path(raw, e)]
+    out.sort(key=lambda f: (f[0], -f[1]))
     kept: list[tuple[int, int, str, int]] = []
     for f in out:
         if not kept or f[0] >= kept[-1][1]:
@@ -263,8 +316,13 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             raw = text.as_buffer().to_pybytes()
             ext = _extension(path)
-            for a, b, kind, key_at in findings(raw, ext in _CONFIG):
-                values = (fid, raw.count(b"\n", 0, a) + 1, kind, key_path(raw, key_at, ext), a, b)
+            entries = config_entries(raw, path)
+            begins = [e.begin for e in entries]
+            for a, b, kind, key_at in findings(raw, ext in _CONFIG, entries):
+                k = bisect_right(begins, a) - 1
+                named = (b".".join(entries[k].path).decode("utf-8", "replace") if k >= 0 and a < entries[k].end
+                         else key_path(raw, key_at, ext))
+                values = (fid, raw.count(b"\n", 0, a) + 1, kind, named, a, b)
                 for k, v in zip(out, values):
                     out[k].append(v)
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
@@ -292,7 +350,7 @@ def redact(files: DataFrame) -> DataFrame:
                     texts.append(None)
                     continue
                 raw = text.as_buffer().to_pybytes()
-                found = findings(raw, _extension(path) in _CONFIG)
+                found = findings(raw, _extension(path) in _CONFIG, config_entries(raw, path))
                 texts.append((redacted(raw, pieces(raw, found)) if found else raw).decode("utf-8", "surrogateescape"))
             cols = list(batch.columns)
             cols[at] = pa.array(texts, batch.schema.field(at).type)

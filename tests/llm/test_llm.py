@@ -102,6 +102,30 @@ def test_redaction_keeps_all_other_bytes(parts, noise):
     assert b"".join(back) + clean == raw
 
 
+CONFIGURATION = [  # (path, text, {key path: value} of the credentials)
+    ("a.json", '{"password": {"value": "Xk29!dk2"}, "compass": {"value": "Xk29!dk3"}}', {"password.value": "Xk29!dk2"}),
+    ("a.json", '{"password": {"pattern": "Ab1!xyz"}, "publicKey": "Xk29!dk2", "api": {"key": "k9Xk29dk2"}}', {"api.key": "k9Xk29dk2"}),
+    ("a.yaml", "db_password:\n  value: Xk29!dk2\n", {"db_password.value": "Xk29!dk2"}),
+    ("a.yml", "tokens:\n  - a1b2c3d4e5\n  - name: n1-abc\n    value: Xk29!dk2\nother:\n  - a1b2c3d4e6\n", {"tokens.0": "a1b2c3d4e5", "tokens.1.value": "Xk29!dk2"}),
+    ("a.yaml", "x: {password: {value: Xk29!dk2}}\nsecret:\n  storage: Yk29!dk2\n  file: ./x9/y\n  ttl: 3600s\n", {"x.password.value": "Xk29!dk2", "secret.storage": "Yk29!dk2"}),
+    ("a.toml", "[db.password]\nvalue = 'Xk29!dk2'\n[x]\ntokens = [\n  'a1b2c3d4e5', # c\n]\n", {"db.password.value": "Xk29!dk2", "x.tokens.0": "a1b2c3d4e5"}),
+    ("a.ini", "[password]\nvalue = Xk29!dk2 ; note\n", {"password.value": "Xk29!dk2"}), ("a.properties", "db.secret \\\n  Xk29!dk2\n", {"db.secret": "Xk29!dk2"}),
+    (".env.local", "A=1\nexport DB_PASSWORD='Xk29!,dk2'\n", {"DB_PASSWORD": "Xk29!,dk2"}), ("a.yaml.example", "secret:\n  current: ${S}\n", {}),
+    ("a.xml", '<c><password>Xk29!dk2</password><add key="DbPassword" value="Yk29!dk2"/></c>', {"c.password": "Xk29!dk2", "c.add.DbPassword.value": "Yk29!dk2"}),
+    ("a.xml", "<p><property><name>db.password</name><value>Xk29!dk2</value></property></p>", {"p.property.db.password.value": "Xk29!dk2"})]
+
+
+@pytest.mark.parametrize("path,text,values", CONFIGURATION)
+def test_credentials_by_key_path(path, text, values):
+    raw = text.encode()
+    entries = secrets.config_entries(raw, path)
+    found = secrets.findings(raw, True, entries)
+    paths = {e.begin: b".".join(e.path).decode() for e in entries}
+    assert {paths[a]: raw[a:b].decode() for a, b, *_ in found} == values
+    clean = secrets.redacted(raw, secrets.pieces(raw, found))
+    assert secrets.findings(clean, True, secrets.config_entries(clean, path)) == [] and len(clean) == len(raw) + sum(len(secrets.WORD) - b + a for a, b, *_ in found)
+
+
 def test_credentials_in_spark(spark):
     rows = [(1, "/a/x.yaml", "db:\n  pool:\n    password: s3cret!pw\n", "c"), (1, "/a/x.yaml", "db:\n  pool:\n    password: s3cret!pw\n", "c"), (2, None, 'pwd = "ab12cd!"', "c"),
             (3, "/a/n.py", None, "c"), (None, "/a/z.py", 'pwd = "ab12cd!"', "c"), (4, "/a/long.py", "x = 1\n" * 200000 + 'pwd = "ab12cd!"\n', "c")]
