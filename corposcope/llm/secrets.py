@@ -115,10 +115,11 @@ def _ends_word(raw: bytes, key_at: int, at: int, stem: bytes) -> bool:
     return stem[:1].isupper() and not (raw[at - 1:at].isupper()) or stem.lower() not in (b"pass", b"pw", b"pwd", b"token", b"secret", b"credential")
 
 
-_ISSUED_AT = re.compile(rb"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|[sr]k_live_|npm_|pypi-|xox|AIza|SG\\.|hf_|dop_v1_|shp[asc]|sk-|eyJ")
+_ISSUED_AT = re.compile(rb"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|[sr]k_live_|npm_|pypi-|xox|AIza|SG\.|hf_|dop_v1_|shp[ascp]|sk-|eyJ")
 _KEY_AT = re.compile(rb"pass|pwd|pw|secret|token|credential|api[_-]?key|(?:access|secret|private|session|encryption|aes|hmac|signing|auth|master|"
                      rb"account|shared|client|service|deploy|license|webhook|storage|cipher|jwt)[_-]?key")
-_TALK_AT = re.compile(rb"login|credential|rotate|old (?:one|password|token|key)|passw|passphrase|\\bpw\\b|creds")
+_TALK_AT = re.compile(rb"login|credential|rotate|old (?:one|password|token|key)|passw|passphrase|\bpass\b|\bpw\b|creds")
+_FLAG_AT = re.compile(rb"-(?:pass|token|secret|api-key|auth)|[ \t]-p")
 
 
 #: Parts below a sensitive part that only hold its value, and those that describe it. Fixed values.
@@ -188,17 +189,17 @@ def findings(raw: bytes, config: bool, entries: Sequence[configpaths.Entry] = ()
         scheme = at
         while scheme > 0 and (raw[scheme - 1:scheme].isalnum() or raw[scheme - 1] in b"+.-"):
             scheme -= 1
-        m = _URL.match(raw, scheme)
+        m = next(filter(None, (_URL.match(raw, x) for x in range(max(scheme, at - 21), at))), None)
         if m and not _PLACEHOLDER.match(m.group("v")) and not re.fullmatch(rb"[A-Z_]+|pass\w*|pw|\w?", m.group("v")):
             out.append((m.start("v"), m.end("v"), "url_password", m.start()))
         at = raw.find(b"://", at + 3)
-    for rx, kind, hint in ((_CONN, "connection_string", (b"pwd", b"password")), (_FLAG, "command_line", (b" -p", b"--"))):
-        if any(h in low for h in hint) and (kind != "command_line" or b"--" not in low or re.search(rb"--?(?:pass|token|secret|api-key|auth)|login| -p", low)):
+    for rx, kind, near in ((_CONN, "connection_string", b"pwd" in low or b"password" in low), (_FLAG, "command_line", _FLAG_AT.search(low))):
+        if near:
             for m in rx.finditer(raw):
                 v = m.group("v")
                 if _strong(v) and not _PLACEHOLDER.match(v) and not (kind == "command_line" and _plain_id(v)):
                     out.append((m.start("v"), m.end("v"), kind, m.start()))
-    if b"Basic " in raw or b"Bearer " in raw:
+    if b"Basic" in raw or b"Bearer" in raw:
         for m in _AUTH.finditer(raw):
             v = m.group("v")
             if m.group("k") == b"Basic":
@@ -242,7 +243,7 @@ def findings(raw: bytes, config: bool, entries: Sequence[configpaths.Entry] = ()
             if re.search(rb"[^\w/.:-]", v) or (len(v) >= 12 and re.search(rb"[A-Z]", v) and re.search(rb"[a-z]", v)):
                 out.append((m.start("v"), m.end("v"), "comment", m.start()))
     out += [(e.begin, e.end, "keyed_value", e.begin) for e in entries if _of_path(raw, e)]
-    out.sort(key=lambda f: (f[0], -f[1]))
+    out.sort(key=lambda f: (f[0], -f[1], f[2], f[3]))
     kept: list[tuple[int, int, str, int]] = []
     for f in out:
         if not kept or f[0] >= kept[-1][1]:
