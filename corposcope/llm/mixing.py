@@ -9,9 +9,10 @@ steps: a step needs one number per source, so an iteration is one aggregation.
 Documents of one source share one rate, because all of them get the same gradient;
 they are summed once and only documents with a soft membership are visited again.
 
-Sources that stay short at their cap are out of reach: they keep their cap, the
-others' targets are raised in proportion until the mixture is as large as the
-corpus, and the fit is repeated.
+Sources whose own tokens, taken as often as the cap allows, are below their target
+are out of reach, whatever soft documents add.  Sources that stay short at their cap
+keep it, the others' targets are raised in proportion until the mixture is as large
+as the corpus, and the fit is repeated.
 
 Edge cases: null or empty texts have no tokens; a target for a source without
 documents is out of reach unless it is zero; a null target counts as zero and a
@@ -185,7 +186,7 @@ def fit(counted: DataFrame, sources: list[str], share: np.ndarray, cap: np.ndarr
     goal = share * total
     rate, history = np.minimum(1.0, cap), []
     extra = _soft_totals(soft, cap, history) if loose else np.zeros(len(sources))
-    short = np.zeros(len(sources), bool)
+    short = tokens * cap < share * total
     for _ in range(2):  # the second pass has the raised goals of the sources in reach
         for _ in range(steps):
             # Preconditioned by each source's own tokens: a step moves a source by a fixed part of its miss.
@@ -194,9 +195,9 @@ def fit(counted: DataFrame, sources: list[str], share: np.ndarray, cap: np.ndarr
             if loose:
                 history.append(g * np.minimum(1.0, loose / scale))
                 extra = _soft_totals(soft, cap, history)
-        short = (tokens * cap < share * total) & (rate >= cap - 1e-9)
         while True:  # water-filling: sources in reach take over what the short ones lack
-            stuck = short | (rate >= cap - 1e-9) & (tokens * cap + extra < goal)
+            full = rate >= cap - 1e-9
+            stuck = full & (short | (tokens * cap + extra < goal))
             free = ~stuck & (share > 0)
             if not free.any():
                 break

@@ -369,6 +369,20 @@ def test_mixing(spark):
     assert mixing.mixture(*mixing.prepare(df, targets.limit(0))).agg(F.sum("repeats")).first()[0] == 0
 
 
+@pytest.mark.parametrize("loose,cap", [(10, 1), (60, 1), (150, 1), (150, 2)])
+def test_out_of_reach_beside_unlabelled(spark, loose, cap):
+    docs = [("beta", 50), ("gamma", 50), (None, loose)]
+    total, own = 100 + 40 + loose, 40
+    share = own * cap / 0.8 / total  # own tokens at the cap are 0.8 of the goal
+    rows = [(i, s, "same words here") for i, s in enumerate([s for s, n in [("alpha", own), *docs] for _ in range(n)])]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    rest = (1 - share) / 2
+    targets = spark.createDataFrame([("alpha", share, cap), ("beta", rest, 9), ("gamma", rest, 9)], "source string, target_share double, max_repeats int")
+    report = mixing.report(*mixing.prepare(df, targets)).collect()
+    assert {r["source"] for r in report if r["out_of_reach"]} == {"alpha"}
+    assert all(r["rate"] <= r["max_repeats"] + 1e-9 for r in report) and sum(r["expected_share"] for r in report) == pytest.approx(1.0)
+
+
 def test_classifier_on_held_out():
     rng = random.Random(3)
     vocab = {s: [f"{s}{'xyz'[i % 3]}{'abcdefgh'[i // 3]}" for i in range(24)] for s in ("ka", "lo", "mu")}
