@@ -61,8 +61,11 @@ _FLAG = re.compile(rb"(?:(?<![\w-])--?(?:password|passwd|pass|token|secret|api-k
 _PEM = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
                   rb"(?:\\n|\\r|[\s\"'`+,\\()*#;.]|//|--)*(?P<v>[A-Za-z0-9+/=]{24,}"
                   rb"(?:(?:\\n|\\r|[\s\"'`+,\\()*#;.]|//)+[A-Za-z0-9+/=]{16,})*)")
-_TALK = re.compile(rb"(?:\blogin\b|\bcredentials?\b|\brotate\b|\bold (?:one|password|token|key)\b|\bpass(?:word|phrase|wd)?\b|\bpw\b|\bcreds\b)"
-                   rb"[^\r\n]*?(?:[:=/]|\bis\b|\bwas\b)[ \t]+[\"'`]?(?P<v>[^\s\"'`,;()<>]{6,64})[\"'`]?[ \t]*[.)]?(?:\*/)?[ \t]*\r?$", re.I | re.M)
+_TALK_WORD, _TALK_TAIL = (
+    rb"(?:\blogin\b|\bcredentials?\b|\brotate\b|\bold (?:one|password|token|key)\b|\bpass(?:word|phrase|wd)?\b|\bpw\b|\bcreds\b)",
+    rb"(?:[:=/]|\bis\b|\bwas\b)[ \t]+[\"'`]?(?P<v>[^\s\"'`,;()<>]{6,64})[\"'`]?[ \t]*[.)]?(?:\*/)?[ \t]*\r?$")
+_TALK = re.compile(_TALK_WORD + rb"[^\r\n]*?" + _TALK_TAIL, re.I | re.M)
+_WORD, _TAIL = re.compile(_TALK_WORD, re.I), re.compile(_TALK_TAIL, re.I | re.M)
 _PLACEHOLDER = re.compile(
     rb"^(?:[x*.\-_#0]+|<.*>|\[.*\]|\$.*|%[({].*|%[sdv]|@.*@|\{.*\}|#\{.*|.*\$\{.*|.*\{\{.*|"
     rb"(?:an?|my|the|your|some|any|new|old|test|fake|mock|dummy|sample|example|placeholder|insert|replace|change|redacted|hidden|todo|tbd|fixme|none|null|nil|"
@@ -168,6 +171,16 @@ def config_entries(raw: bytes, path: str | None) -> list[configpaths.Entry]:
     return configpaths.entries(raw, form) if form else []
 
 
+def _talk(raw: bytes, begin: int, end: int) -> tuple[int, int, int] | None:
+    """Key position, begin and end of the value where ``_TALK`` matches a line, in time linear in its length.
+
+    What follows the first key word holds what follows any later one, so only that word is tried.
+    """
+    word = _WORD.search(raw, max(begin, raw.rfind(b"\r", begin, max(begin, end - 2)) + 1), end)
+    m = word and _TAIL.search(raw, word.end(), end)
+    return (word.start(), *m.span("v")) if m else None
+
+
 def findings(raw: bytes, config: bool, entries: Sequence[configpaths.Entry] = ()) -> list[tuple[int, int, str, int]]:
     """(begin, end, kind, key position) of every credential value, in order, without overlaps.
 
@@ -233,15 +246,15 @@ def findings(raw: bytes, config: bool, entries: Sequence[configpaths.Entry] = ()
             continue
         begin = raw.rfind(b"\n", 0, at.start()) + 1
         done = raw.find(b"\n", at.start()) + 1 or len(raw)
-        if done - begin > 2000 or not _COMMENT_LINE.match(raw[begin:begin + 40]):
+        if not _COMMENT_LINE.match(raw[begin:done]):
             continue
-        m = _TALK.search(raw, begin, done)
+        m = _talk(raw, begin, done)
         if not m:
             continue
-        v = m.group("v")
+        v = raw[m[1]:m[2]]
         if _strong(v) and not _plain_id(v) and not _PLACEHOLDER.match(v):
             if re.search(rb"[^\w/.:-]", v) or (len(v) >= 12 and re.search(rb"[A-Z]", v) and re.search(rb"[a-z]", v)):
-                out.append((m.start("v"), m.end("v"), "comment", m.start()))
+                out.append((m[1], m[2], "comment", m[0]))
     out += [(e.begin, e.end, "keyed_value", e.begin) for e in entries if _of_path(raw, e)]
     out.sort(key=lambda f: (f[0], -f[1], f[2], f[3]))
     kept: list[tuple[int, int, str, int]] = []

@@ -147,6 +147,20 @@ def test_anchors_lose_nothing(kind, text):
     assert len(whole) == 1 and {(a, b) for a, b, k, _ in secrets.findings(raw, False) if k == kind} == whole
 
 
+def test_comments_of_any_length():
+    for text in ("# " + "word " * 500 + "the password is Xk29!dk2", " " * 60 + "// the password is Xk29!dk2", "# " + "login is x " * 40000 + "pw: Xk29!dk2"):
+        raw = b"x\n" + text.encode() + b"\r\ny\n"
+        assert [raw[a:b] for a, b, k, _ in secrets.findings(raw, False) if k == "comment"] == [b"Xk29!dk2"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([b"login", b"pw", b"passes", b"pass", b" is ", b": ", b"/ ", b" ", b"\t", b"Xk29!dk2", b"\"", b".", b")", b"\r", b"*/", b"x"]), max_size=12))
+def test_comment_rule_equals_its_pattern(parts):
+    raw = b"".join(parts) + b"\n"
+    m = secrets._TALK.search(raw)
+    assert secrets._talk(raw, 0, len(raw)) == ((m.start(), *m.span("v")) if m else None)
+
+
 def test_credentials_in_spark(spark):
     rows = [(1, "/a/x.yaml", "db:\n  pool:\n    password: s3cret!pw\n", "c"), (1, "/a/x.yaml", "db:\n  pool:\n    password: s3cret!pw\n", "c"), (2, None, 'pwd = "ab12cd!"', "c"),
             (3, "/a/n.py", None, "c"), (None, "/a/z.py", 'pwd = "ab12cd!"', "c"), (4, "/a/long.py", "x = 1\n" * 200000 + 'pwd = "ab12cd!"\n', "c")]
