@@ -5,8 +5,8 @@ only template words (those of at least ``template_share`` of the items) stay.  E
 window of ``width`` canonical words of the items is hashed, and every window of
 every document is looked up among these hashes.  A hit is then judged by its
 slots: equal words mean a verbatim passage; different words that replace the item's
-words one to one along the whole aligned run mean the same question with new
-parameters.  Verbatim passages cannot be missed, since equal words have equal
+words one to one along a stretch of the aligned run mean the same question with new
+parameters; the longest such stretch counts.  Verbatim passages cannot be missed, since equal words have equal
 canonical forms.
 
 The item windows of one block (at most ``BLOCK_CHARS`` characters of item text) go
@@ -128,6 +128,23 @@ def _consistent(doc: np.ndarray, item: np.ndarray) -> bool:
     return np.unique(pairs[0]).size == pairs.shape[1] == np.unique(pairs[1]).size
 
 
+def _longest_consistent(doc: np.ndarray, item: np.ndarray) -> int:
+    """Length of the longest stretch in which words of the document replace those of the item one to one."""
+    if _consistent(doc, item):
+        return doc.size
+    best = left = 0
+    by_item: dict[int, tuple[int, int]] = {}  # word -> its last position and the word opposite
+    by_doc: dict[int, tuple[int, int]] = {}
+    for k, (d, i) in enumerate(zip(doc.tolist(), item.tolist())):
+        for seen, own, other in ((by_item, i, d), (by_doc, d, i)):
+            at, opposite = seen.get(own, (-1, other))
+            if opposite != other:
+                left = max(left, at + 1)
+            seen[own] = (k, other)
+        best = max(best, k + 1 - left)
+    return best
+
+
 def _finder(index: Index, least_run: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,9 +171,10 @@ def _finder(index: Index, least_run: int):
                     if size < least_run:
                         continue
                     q = index.at[e[x]]
-                    if _consistent(w.hash[p[x]:p[x] + size], index.words[q:q + size]):
+                    run_words = _longest_consistent(w.hash[p[x]:p[x] + size], index.words[q:q + size])
+                    if run_words >= least_run:
                         row = rows.setdefault((int(d[x]), int(i[x])), [0, 0])
-                        row[1] = max(row[1], int(size))
+                        row[1] = max(row[1], int(run_words))
                 if rows:
                     keys = list(rows)
                     yield pa.RecordBatch.from_arrays(
@@ -174,7 +192,7 @@ def template_words(items: DataFrame, share: float) -> list[str]:
             .where(F.col("c") >= max(2, share * n)).orderBy("w").collect()]
 
 
-def leaks(documents: DataFrame, items: DataFrame, *, width: int = WIDTH, template_share: float = 0.05, least_run: int = 20) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, *, width: int = WIDTH, template_share: float = 0.05, least_run: int = WIDTH) -> DataFrame:
     """(doc_id, item_id, verbatim_windows, template_run) of every document and item that share a passage.
 
     ``verbatim_windows`` counts windows of ``width`` equal words; ``template_run`` is

@@ -347,6 +347,25 @@ def test_leaks(spark):
     assert leakage.leaks(df.limit(0), items).count() == 0 and leakage.leaks(df, items.limit(0)).count() == 0
 
 
+def test_short_and_interrupted_template_runs(spark):
+    words = ITEMS[0][1].split()
+    moved = ITEMS[0][1].replace("red_box", "new_jar").replace("17", "18").replace("salt", "clay").replace("iron", "lead").replace("f_one", "k_nine").replace("up", "east")
+    short = " ".join(moved.split()[:15])  # 16 words, below the former minimum of 20
+    torn = moved.replace("mention new_jar once", "mention old_lid once")  # the end breaks the one-to-one slots
+    df = spark.createDataFrame([(1, short), (2, torn), (3, " ".join(words[:9]))], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, item_text string, suite string")
+    rows = {(r["doc_id"], r["item_id"]): (r["verbatim_windows"], r["template_run"]) for r in leakage.leaks(df, items).collect()}
+    assert rows[(1, 0)] == (0, 16) and rows[(2, 0)][0] == 0 and rows[(2, 0)][1] >= 30 and all(k[0] != 3 for k in rows)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3)), min_size=1, max_size=12))
+def test_longest_consistent_stretch(pairs):
+    d, i = (np.array(x, np.uint64) for x in zip(*pairs))
+    n = len(pairs)
+    assert leakage._longest_consistent(d, i) == max(b - a for a in range(n) for b in range(a + 1, n + 1) if leakage._consistent(d[a:b], i[a:b]))
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, x) for i, x, _ in ITEMS], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, item_text string, suite string")
