@@ -46,6 +46,17 @@ def test_handwritten(spark):
     assert _judge(spark, rows[:0]) == {}
 
 
+def test_evidence_anywhere_in_the_text():
+    judge = lambda name, text: handwritten._text_evidence(name, text.encode())
+    assert judge("x.py", "# Code generated by toolx from " + "a.idl, " * 60 + "b.idl\n" + CODE) == ("header", False)
+    assert judge("x.py", "# Originally part of harbor, " + "see notes, " * 60 + "end\n" + CODE) == (None, True)
+    assert judge("x.py", "# " + "prose about files " * 40 + "generated by toolx\n" + CODE) == (None, False)
+    packages = "".join(f'  "k{i}": "v{i}",\n' for i in range(40))
+    assert judge("deps.json", "{\n" + packages + '  "lockfileVersion": 3\n}\n') == ("lock", False)
+    assert judge("deps.yaml", packages.replace('"', "").replace(",", "").replace("  ", "") + "lockfileVersion: '6.0'\n") == ("lock", False)
+    assert judge("notes.json", "{\n" + packages + '  "note": "the lockfileVersion: 3 line is checked"\n}\n') == (None, False)
+
+
 def test_merkle_marks_copied_directories(spark):
     a = [(i, f"/ws/a/third_party/zip/src/m{i}.py", CODE + f"# {i}", 1, "", "", "") for i in range(3)]
     b = [(10 + i, f"/ws/b/lib/zip2/src/m{i}.py", CODE + f"# {i}", 1, "", "", "") for i in range(3)]
