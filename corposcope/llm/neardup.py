@@ -42,7 +42,7 @@ _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 95]] = True
 _A = (mix(np.arange(1, POSITIONS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = mix(np.arange(1001, POSITIONS + 1001, dtype=np.uint64)).astype(np.uint32)
 SIG_DDL = "file_id long, ck1 long, ck2 long, runs int, sig binary, keys array<long>"
-SET_DDL = "doc long, sig binary, runs binary"
+SET_DDL = "doc binary, sig binary, runs binary"
 
 
 def minimum_matches(threshold: float, positions: int = POSITIONS, miss: float = 1e-9) -> int:
@@ -120,16 +120,20 @@ def _ranges(texts: pa.Array) -> list[tuple[int, int]]:
 
 
 def run_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, sig, content) -> (doc, sig, distinct token runs as sorted 64-bit hashes)."""
+    """(doc, sig, content) -> (doc, sig, distinct token runs as sorted 64-bit hashes); texts of another class drop out."""
+    import xxhash
+
     for batch in batches:
         texts = batch.column(2)
         for a, b in _ranges(texts):
             flat, off = utf8(texts.slice(a, b - a))
+            raw = memoryview(flat)
             doc, h = _runs(*_separated(flat, off))
             ends = np.searchsorted(doc, np.arange(b - a + 1))
-            sets = [np.unique(h[ends[i]:ends[i + 1]]).tobytes() for i in range(b - a)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
-                                              pa.array(sets, pa.binary())], ["doc", "sig", "runs"])
+            own = [i for i, key in enumerate(batch.column(0).slice(a, b - a).to_pylist()) if xxhash.xxh3_128_digest(raw[off[i]:off[i + 1]]) == key]
+            sets = [np.unique(h[ends[i]:ends[i + 1]]).tobytes() for i in own]
+            at = pa.array([a + i for i in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sets, pa.binary())], ["doc", "sig", "runs"])
 
 
 def _verifier(threshold: float, least: int):
@@ -150,7 +154,7 @@ def _verifier(threshold: float, least: int):
                     either = len(x) + len(y) - both
                     if both >= threshold * either:
                         out[0].append(a), out[1].append(b), out[2].append(both / either)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()),
                                               pa.array(out[2], pa.float64())], ["a", "b", "similarity"])
 
     return verify
@@ -158,21 +162,22 @@ def _verifier(threshold: float, least: int):
 
 def classes_and_links(files: DataFrame, id_col: str, text_col: str, *, threshold: float = 0.7
                       ) -> tuple[DataFrame, DataFrame]:
-    """(members, links): ``members(file_id, rep)`` maps every id to the class of its text, ``links(a, b,
-    similarity)`` holds every pair of classes that reaches the threshold, a < b."""
+    """(members, links): ``members(file_id, doc, rep)`` maps every id to the class of each of its texts, by content
+    key and smallest id; ``links(a, b, similarity)`` holds every pair of content keys that reaches the threshold, a < b."""
     rows = files.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("file_id"),
                                                          F.col(text_col).alias("content"))
     signed = staged(spread(rows).mapInArrow(signatures, SIG_DDL), "sig")
+    key = F.concat(*(F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("ck1", "ck2"))).alias("doc")
     classes = signed.groupBy("ck1", "ck2").agg(F.min("file_id").alias("rep"))
     members = (signed.select("file_id", "ck1", "ck2").distinct().join(classes, ["ck1", "ck2"])
-                     .select("file_id", "rep"))
-    one = signed.groupBy("ck1", "ck2").agg(F.min(F.struct("file_id", "sig", "keys")).alias("c"))
-    posts = one.select(F.explode("c.keys").alias("key"), F.col("c.file_id").alias("rep"))
+                     .select("file_id", key, "rep"))
+    one = signed.groupBy("ck1", "ck2").agg(F.min(F.struct("file_id", "sig", "keys")).alias("c")).select(key, "c")
+    posts = one.select(F.explode("c.keys").alias("key"), "doc")
     sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     # Keys met once cannot link anything and drop out before the self-join.
     shared = staged(posts.join(sizes, "key"), "posts")
-    pairs = (shared.select("key", "size", F.col("rep").alias("a"))
-                   .join(shared.select("key", F.col("rep").alias("b")), "key").where("a < b")
+    pairs = (shared.select("key", "size", F.col("doc").alias("a"))
+                   .join(shared.select("key", F.col("doc").alias("b")), "key").where("a < b")
                    .groupBy("a", "b").agg(F.count(F.lit(1)).alias("tally"),
                                           F.min(F.struct("key", "size")).alias("own")))
     cut = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("own.size") / BLOCK)).cast("int")
@@ -181,25 +186,24 @@ def classes_and_links(files: DataFrame, id_col: str, text_col: str, *, threshold
     mentioned = pairs.select("own", "ba", "bb", F.col("a").alias("doc")).union(
         pairs.select("own", "ba", "bb", F.col("b").alias("doc"))).distinct()
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    texts = (rows.withColumnRenamed("file_id", "doc").join(wanted, "doc", "left_semi")
-                 .groupBy("doc").agg(F.min("content").alias("content"))
-                 .join(one.select(F.col("c.file_id").alias("doc"), F.col("c.sig").alias("sig")), "doc")
+    reps = staged(one.select("doc", F.col("c.file_id").alias("file_id"), F.col("c.sig").alias("sig")).join(wanted, "doc", "left_semi"), "reps")
+    texts = (rows.join(reps.select("file_id").distinct(), "file_id", "left_semi").join(reps, "file_id").groupBy("file_id", "doc", "content").agg(F.min("sig").alias("sig"))
                  .select("doc", "sig", "content"))
     sets = staged(texts.mapInArrow(run_sets, SET_DDL), "sets")
     kinds = (mentioned.join(sets, "doc")
              .select("own", "ba", "bb", F.lit(0).alias("kind"), F.col("doc").alias("a"),
-                     F.lit(None).cast("long").alias("b"), "sig", "runs")
+                     F.lit(None).cast("binary").alias("b"), "sig", "runs")
              .union(pairs.select("own", "ba", "bb", F.lit(1), "a", "b", F.lit(None).cast("binary"),
                                  F.lit(None).cast("binary"))))
     links = (kinds.repartition("own", "ba", "bb").sortWithinPartitions("own", "ba", "bb", "kind")
-                  .mapInArrow(_verifier(threshold, minimum_matches(threshold)), "a long, b long, similarity double"))
+                  .mapInArrow(_verifier(threshold, minimum_matches(threshold)), "a binary, b binary, similarity double"))
     return members, links
 
 
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """(file_id_a, file_id_b): links and copies expanded to pairs of ids, a < b."""
-    x = members.select(F.col("rep").alias("a"), F.col("file_id").alias("fa"))
-    y = members.select(F.col("rep").alias("b"), F.col("file_id").alias("fb"))
+    x = members.select(F.col("doc").alias("a"), F.col("file_id").alias("fa"))
+    y = members.select(F.col("doc").alias("b"), F.col("file_id").alias("fb"))
     linked = links.select("a", "b").join(x, "a").join(y, "b").select("fa", "fb")
     copies = x.join(y, F.col("a") == F.col("b")).where("fa < fb").select("fa", "fb")
     either = linked.where("fa != fb").unionByName(copies)
@@ -208,7 +212,7 @@ def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def linked_documents(members: DataFrame, links: DataFrame) -> DataFrame:
     """(file_id, class_id, links): one row per id, with the number of other classes its class links to."""
-    ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep")))
-    degree = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    return (members.join(degree, "rep", "left")
+    ends = links.select(F.col("a").alias("doc")).union(links.select(F.col("b").alias("doc")))
+    degree = ends.groupBy("doc").agg(F.count(F.lit(1)).alias("links"))
+    return (members.join(degree, "doc", "left")
                    .select("file_id", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")))

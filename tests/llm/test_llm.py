@@ -325,6 +325,14 @@ def test_near_duplicates(spark):
     assert neardup.all_pairs(m, x).count() == 0
 
 
+def test_several_texts_under_one_id(spark):
+    x, y = ([f"{c}{i}" for i in range(60)] for c in "xy")
+    rows = [(1, " ".join(x)), (1, " ".join(y)), (2, " ".join(x + ["z"])), (3, " ".join(y + ["z"])), (4, " ".join(y))]
+    members, links = neardup.classes_and_links(spark.createDataFrame(rows, "file_id long, content string"), "file_id", "content")
+    assert {(r[0], r[1]) for r in neardup.all_pairs(members, links).collect()} == {(1, 2), (1, 3), (1, 4), (3, 4)}
+    assert {(r["file_id"], r["class_id"], r["links"]) for r in neardup.linked_documents(members, links).collect()} == {(1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 1, 1)}
+
+
 def test_blocks_of_a_hot_bucket(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
     base = [f"t{i}" for i in range(120)]
