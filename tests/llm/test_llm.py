@@ -333,15 +333,39 @@ def test_several_texts_under_one_id(spark):
     assert {(r["file_id"], r["class_id"], r["links"]) for r in neardup.linked_documents(members, links).collect()} == {(1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 1, 1)}
 
 
-def test_blocks_of_a_hot_bucket(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 4)
+@pytest.mark.parametrize("block,tally", [(4, 7), (256, 100_000)])
+def test_blocks_of_a_hot_bucket(spark, monkeypatch, block, tally):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "TALLY", tally)
     base = [f"t{i}" for i in range(120)]
     df = spark.createDataFrame([(i, " ".join(base[:60] + [f"x{i}"] + base[60:])) for i in range(30)], "file_id long, content string")
     assert neardup.all_pairs(*neardup.classes_and_links(df, "file_id", "content")).count() == 30 * 29 // 2
 
 
+def test_a_family_leaves_the_index_once(spark):
+    base = [f"t{i}" for i in range(300)]
+    rows = [(i, " ".join(base[:i % 290] + [f"x{i}"] + base[i % 290:])) for i in range(600)]
+    df = spark.createDataFrame(rows, "file_id long, content string").mapInArrow(neardup.signatures, neardup.SIG_DDL)
+    classes = df.select(F.concat(*(F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("ck1", "ck2"))).alias("doc"), "runs", "sig")
+    pairs = neardup.candidates(classes, 0.7)
+    n = pairs.count()
+    assert n == pairs.select("a", "b").distinct().count() == 600 * 599 // 2
+
+
+def test_batches_may_cut_groups_anywhere():
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 3, (40, neardup.POSITIONS)).astype(np.uint8)
+    sig[5:12] = sig[4]
+    rows = sorted((k << 6 | k % neardup.KEYS, 0, 0, 0, bytes([i]) * 16, sig[i].tobytes()) for k in range(6) for i in rng.permutation(40)[:15].tolist())
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], list("abcdef"))
+    out = [{(r[3].as_py(), r[4].as_py()) for b in neardup._tally(40)(batch(rows[i:i + size]) for i in range(0, len(rows), size)) for r in zip(*b.columns)}
+           for size in (1, 4, 15, 31, 1000)]
+    assert out[0] and all(x == out[0] for x in out)
+
+
 def test_minimum_matches():
-    assert 30 < neardup.minimum_matches(0.7) < 60 and neardup.minimum_matches(1.0) == 96
+    assert 40 < neardup.minimum_matches(0.7) < 70 and neardup.minimum_matches(1.0) == neardup.POSITIONS
 
 
 # ---- 7 leakage ----
