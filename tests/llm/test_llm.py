@@ -57,11 +57,26 @@ def test_evidence_anywhere_in_the_text():
     assert judge("notes.json", "{\n" + packages + '  "note": "the lockfileVersion: 3 line is checked"\n}\n') == (None, False)
 
 
+def _tree(first, where, change=lambda i, text: text, n=4, word="m"):
+    return [(first + i, f"{where}/{word}{i}.py", change(i, CODE + f"x = '{word}{i}'\n"), 1, "", "", "") for i in range(n)]
+
+
 def test_merkle_marks_copied_directories(spark):
-    a = [(i, f"/ws/a/third_party/zip/src/m{i}.py", CODE + f"# {i}", 1, "", "", "") for i in range(3)]
-    b = [(10 + i, f"/ws/b/lib/zip2/src/m{i}.py", CODE + f"# {i}", 1, "", "", "") for i in range(3)]
-    c = [(20 + i, f"/ws/c/lib/own/src/n{i}.py", CODE + f"# own {i}", 1, "", "", "") for i in range(3)]
-    assert set(_judge(spark, a + b + c)) == {0, 1, 2, 10, 11, 12}
+    # The copy has other line ends, an added header, and one edited file; the names of its directory and files are others.
+    edit = lambda i, text: text.replace("harbor", "haven") if i == 2 else ("# licence note\n# kept here\n" + text).replace("\n", "\r\n")
+    rows = (_tree(0, "/ws/a/third_party/zip/src") + _tree(10, "/ws/b/lib/zip2/deep/src", edit) + _tree(20, "/ws/c/lib/own/src", word="n")
+            + _tree(30, "/ws/a/core/shared", word="k") + _tree(40, "/ws/b/core/shared", word="k"))  # shared, but nowhere third-party
+    got = _judge(spark, rows)
+    assert got == {**{i: "vendored" for i in (0, 1, 2, 3, 10, 11, 12, 13)}}
+    df = spark.createDataFrame(rows, "file_id long, path string, content string, size_bytes long, h string, rel string, own string")
+    assert {r["file_id"] for r in handwritten.judged(df, places=()).collect()} == {*range(4), *range(10, 14), *range(30, 34), *range(40, 44)}
+
+
+def test_merkle_nodes_are_built_from_their_children(spark):
+    rows = [("/ws/a", "x/y", 2, 1), ("/ws/a", "x/y", 2, 2), ("/ws/a", "x", 1, 3), ("/ws/b", "q/w/y", 3, 2), ("/ws/b", "q/w/y", 3, 1), ("/ws/b", "q/w", 2, 3), ("/ws/b", "q", 1, None)]
+    nodes = {(r["root"], r["dir"]): (r["node"], r["files"]) for r in handwritten.merkle_directories(spark.createDataFrame(rows, "root string, dir string, depth int, node long")).collect()}
+    assert nodes[("/ws/a", "x/y")] == nodes[("/ws/b", "q/w/y")] and nodes[("/ws/a", "x")] == nodes[("/ws/b", "q/w")] and nodes[("/ws/a", "x")][1] == 3
+    assert nodes[("/ws/a", "x")] != nodes[("/ws/a", "x/y")] and nodes[("/ws/b", "q")] == (None, 4) and len(nodes) == 5
 
 
 # ---- 2 credentials ----
