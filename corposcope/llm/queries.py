@@ -28,6 +28,21 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
             .select("file_id", F.coalesce("redactions", F.lit(0)).alias("redactions"), F.coalesce("left", F.lit(0)).alias("left")))
 
 
+#: Small configuration files of every format, with what their structure says.
+CONFIG_TEXTS = {
+    "/c/a.json": '{"db": {"host": "h",\n "password": "Xk29!dk2", "ports": [1, {"tls": true}]},\n "a.b": "x\\"y" /* note */}\n',
+    "/c/b.yaml": "# note\ndb:\n  host: h  # c\n  users:\n    - name: n\n      pass: 'it''s'\n    - name: m\n  text: |\n    one\n    two\nflow: {a: [x, y], b: \"c: d\"}\n---\nlast: 1\n",
+    "/c/c.toml": "top = 1\n[a]\nnote = \"\"\"\n[c]\nkey = 2\n\"\"\"\nafter = 'z'\n[a.\"b.c\"]\nlist = [\n 'p', # q\n 'r',\n]\nt = {u = 3}\n",
+    "/c/d.ini": "[s one]\nkey = v ; note\nother: w\n", "/c/e.properties": "a.b=c\nlong = x \\\n  y\n! note\n", "/c/.env": "export A='b c'\nB=d # e\n",
+    "/c/f.xml": '<c a="b"><!-- <x>no</x> --><password>Xk29!dk2</password>\n<add key="db.password" value="Yk29"/><p><name>n</name><value><![CDATA[<v>]]></value></p></c>',
+    "/c/g.tf": 'resource "db" "main" {\n  password = "Xk29!dk2"\n  tags = {\n    a = "b"\n  }\n}\n', "/c/h.py": "password = 'Xk29!dk2'\n", "/c/i.json": None}
+
+
+def p2_key_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Key paths and values of a configuration file of each format."""
+    return secrets.key_paths(spark.createDataFrame(list(CONFIG_TEXTS.items()), "path string, content string")).select("path", "key_path", "value")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     t = termfreq.term_frequencies(table(spark, d, "trigrams").select("trigram", "file_ids"), "trigram", "file_ids")
     return t.where("mark is not null").select(F.col("term").alias("trigram"), "mark")
@@ -116,7 +131,7 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
-QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_redacted": p2_redacted,
+QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_redacted": p2_redacted, "p2_key_paths": p2_key_paths,
            "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p5_found": p5_found, "p5_ranking": p5_ranking,
            "p6_found": p6_found, "p6_classes": p6_classes,
            "p7_found": p7_found, "p7_leaks": p7_leaks,
@@ -165,6 +180,16 @@ with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as t
      dw as (select doc_id, array_to_string(t[k:k + 12], ' ') as g from (select doc_id, t, unnest(range(1, len(t) - 11)) as k from w)),
      iw as (select item_id, array_to_string(t[k:k + 12], ' ') as g from (select item_id, t, unnest(range(1, len(t) - 11)) as k from i))
 select distinct doc_id, item_id from dw join iw using (g)
+""",
+    "p2_key_paths": r"""
+select * from (values
+ ('/c/a.json', 'db/host', 'h'), ('/c/a.json', 'db/password', 'Xk29!dk2'), ('/c/a.json', 'db/ports/0', '1'), ('/c/a.json', 'db/ports/1/tls', 'true'), ('/c/a.json', 'a.b', 'x\"y'),
+ ('/c/b.yaml', 'db/host', 'h'), ('/c/b.yaml', 'db/users/0/name', 'n'), ('/c/b.yaml', 'db/users/0/pass', 'it' || chr(39) || chr(39) || 's'), ('/c/b.yaml', 'db/users/1/name', 'm'),
+ ('/c/b.yaml', 'db/text', 'one' || chr(10) || '    two'), ('/c/b.yaml', 'flow/a/0', 'x'), ('/c/b.yaml', 'flow/a/1', 'y'), ('/c/b.yaml', 'flow/b', 'c: d'), ('/c/b.yaml', 'last', '1'),
+ ('/c/c.toml', 'top', '1'), ('/c/c.toml', 'a/note', '[c]' || chr(10) || 'key = 2'), ('/c/c.toml', 'a/after', 'z'), ('/c/c.toml', 'a/b.c/list/0', 'p'), ('/c/c.toml', 'a/b.c/list/1', 'r'), ('/c/c.toml', 'a/b.c/t/u', '3'),
+ ('/c/d.ini', 's one/key', 'v'), ('/c/d.ini', 's one/other', 'w'), ('/c/e.properties', 'a/b', 'c'), ('/c/e.properties', 'long', 'x \' || chr(10) || '  y'), ('/c/.env', 'A', 'b c'), ('/c/.env', 'B', 'd'),
+ ('/c/f.xml', 'c/a', 'b'), ('/c/f.xml', 'c/password', 'Xk29!dk2'), ('/c/f.xml', 'c/add/db/password/value', 'Yk29'), ('/c/f.xml', 'c/p/n/value', '<v>'),
+ ('/c/g.tf', 'resource/db/main/password', 'Xk29!dk2'), ('/c/g.tf', 'resource/db/main/tags/a', 'b')) as t(path, key_path, value)
 """,
     "p3_found": _DF + "select trigram, mark from m where mark is not null",
     "p3_frequencies": _DF + "select * from m",

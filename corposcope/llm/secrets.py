@@ -55,6 +55,7 @@ _ISSUED = re.compile(
     rb"|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,})")
 _URL = re.compile(rb"(?<![\w])[a-z][a-z0-9+.-]{1,20}://[^\s:/@\"'`<>]*:(?P<v>[^\s/@\"'`<>]+)@[\w\[]", re.I)
 _CONN = re.compile(rb";[ \t]*(?:pwd|password)[ \t]*=[ \t]*(?P<v>[^;\"'`\s]+)", re.I)
+_NETRC = re.compile(rb"\bmachine[ \t]+\S+\s+(?:login[ \t]+\S+\s+)?(?:account[ \t]+\S+\s+)?password[ \t]+(?P<v>[^\s\"'`]+)")
 _AUTH = re.compile(rb"\b(?P<k>Basic|Bearer)[ \t]+(?P<v>[A-Za-z0-9+/_~.-]{8,}=*)")
 _FLAG = re.compile(rb"(?:(?<![\w-])--?(?:password|passwd|pass|token|secret|api-key|auth)(?:=|[ \t]+)|"
                    rb"\blogin\b[^\r\n\"'`]*?[ \t]-p[ \t]*|\bsshpass[ \t]+-p[ \t]*|\bmysql\b[^\r\n]*?[ \t]-p)(?P<v>[^\s\"'`]+)", re.I)
@@ -63,7 +64,7 @@ _PEM = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
                   rb"(?:(?:\\n|\\r|[\s\"'`+,\\()*#;.]|//)+[A-Za-z0-9+/=]{16,})*)")
 _TALK_WORD, _TALK_TAIL = (
     rb"(?:\blogin\b|\bcredentials?\b|\brotate\b|\bold (?:one|password|token|key)\b|\bpass(?:word|phrase|wd)?\b|\bpw\b|\bcreds\b)",
-    rb"(?:[:=/]|\bis\b|\bwas\b)[ \t]+[\"'`]?(?P<v>[^\s\"'`,;()<>]{6,64})[\"'`]?[ \t]*[.)]?(?:\*/)?[ \t]*\r?$")
+    rb"(?:[:=/]|\bis\b|\bwas\b)[ \t]+[\"'`]?(?P<v>[^\s\"'`,;()<>]{6,})[\"'`]?[ \t]*[.)]?(?:\*/)?[ \t]*\r?$")
 _TALK = re.compile(_TALK_WORD + rb"[^\r\n]*?" + _TALK_TAIL, re.I | re.M)
 _WORD, _TAIL = re.compile(_TALK_WORD, re.I), re.compile(_TALK_TAIL, re.I | re.M)
 _PLACEHOLDER = re.compile(
@@ -71,11 +72,11 @@ _PLACEHOLDER = re.compile(
     rb"(?:an?|my|the|your|some|any|new|old|test|fake|mock|dummy|sample|example|placeholder|insert|replace|change|redacted|hidden|todo|tbd|fixme|none|null|nil|"
     rb"undefined|empty|unset|true|false|default|secret|password|passwd|token|key|value|string|env|vault|enter)"
     rb"(?:[-_. ]?(?:me|here|this|it|token|password|passwd|secret|key|value|api|auth|access|client|your|my|the|goes|in|with|real|a|be|set|foo|1|123))*|"
-    rb"(?:your|example|dummy|fake|sample|insert|placeholder)[-_. ].*|.*[-_. ](?:here|example|placeholder)|.*EXAMPLE.*|(?:env|vault|secret|ssm|file|kms|arn|op)[:/].*|"
+    rb"(?:your|example|dummy|fake|sample|insert|placeholder)[-_. ][a-z._ -]*(?:0|1|12|123|1234|x+)?|.*[-_. ](?:here|example|placeholder)|.*EXAMPLE.*|(?:env|vault|secret|ssm|file|kms|arn|op)[:/].*|"
     rb"(?:process\.env|os\.environ|os\.getenv|getenv|System\.getenv|env::var|std::env).*)$", re.I | re.S)
 _CONFIG = {"env", "yaml", "yml", "toml", "ini", "cfg", "conf", "properties", "local", "production", "example", "template",
            "sample", "sh", "bash", "zsh", "json", "dockerfile", "tf", "hcl", "xml", "development", "staging", "test"}
-_COMMENT_LINE = re.compile(rb"^[ \t]*(?://|#(?!define|include|if|endif)|/?\*|--[ \t]|;|<!--|%)")
+_COMMENT_LINE = re.compile(rb"[ \t]*(?://|#(?!define|include|if|endif)|/?\*|--[ \t]|;|<!--|%)")
 DDL = "file_id long, line_no long, kind string, key_path string, begin long, finish long"
 WORD = b"REDACTED"
 
@@ -165,6 +166,24 @@ def _of_path(raw: bytes, e: configpaths.Entry) -> bool:
     return False
 
 
+class LineStarts:
+    """Positions of the lines of a text, read once, when one is asked for."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.at = raw, None
+
+    def number(self, at: int) -> int:
+        """Line of a byte position, from 1."""
+        if self.at is None:
+            self.at = [0, *(m.end() for m in re.finditer(rb"\n", self.raw))]
+        return bisect_right(self.at, at)
+
+    def of(self, at: int) -> int:
+        """Start of the line of a byte position."""
+        n = self.number(at)
+        return self.at[n - 1]
+
+
 def config_entries(raw: bytes, path: str | None) -> list[configpaths.Entry]:
     """Entries of a configuration file; none of other files."""
     form = configpaths.form_of(path)
@@ -189,7 +208,7 @@ def findings(raw: bytes, config: bool, entries: Sequence[configpaths.Entry] = ()
     """
     out: list[tuple[int, int, str, int]] = []
     low = raw.lower()
-    line_of = lambda a: raw[raw.rfind(b"\n", 0, a) + 1:a]
+    begins = LineStarts(raw)
     if b"PRIVATE KEY" in raw:
         for m in _PEM.finditer(raw):
             out.append((m.start(), m.end("v"), "private_key", m.start()))
@@ -206,11 +225,12 @@ def findings(raw: bytes, config: bool, entries: Sequence[configpaths.Entry] = ()
         if m and not _PLACEHOLDER.match(m.group("v")) and not re.fullmatch(rb"[A-Z_]+|pass\w*|pw|\w?", m.group("v")):
             out.append((m.start("v"), m.end("v"), "url_password", m.start()))
         at = raw.find(b"://", at + 3)
-    for rx, kind, near in ((_CONN, "connection_string", b"pwd" in low or b"password" in low), (_FLAG, "command_line", _FLAG_AT.search(low))):
+    slot = b"pwd" in low or b"password" in low  # forms in which a place holds a password by their own definition
+    for rx, kind, near in ((_CONN, "connection_string", slot), (_NETRC, "netrc", slot and b"machine" in raw), (_FLAG, "command_line", _FLAG_AT.search(low))):
         if near:
             for m in rx.finditer(raw):
                 v = m.group("v")
-                if _strong(v) and not _PLACEHOLDER.match(v) and not (kind == "command_line" and _plain_id(v)):
+                if (_strong(v) or kind != "command_line" and _irregular(v)) and not _PLACEHOLDER.match(v) and not (kind == "command_line" and _plain_id(v)):
                     out.append((m.start("v"), m.end("v"), kind, m.start()))
     if b"Basic" in raw or b"Bearer" in raw:
         for m in _AUTH.finditer(raw):
@@ -235,7 +255,7 @@ def findings(raw: bytes, config: bool, entries: Sequence[configpaths.Entry] = ()
         v, a = (m.group("v"), m.start("v")) if quoted else (m.group("u"), m.start("u"))
         if _PLACEHOLDER.match(v) or re.search(rb"\s", v) or not (_strong(v) or quoted and _irregular(v)):
             continue
-        if not quoted and (_plain_id(v) or not (config or _COMMENT_LINE.match(line_of(m.start()) + b" "))):
+        if not quoted and (_plain_id(v) or not (config or _COMMENT_LINE.match(raw, begins.of(m.start())))):
             continue
         if quoted and _plain_id(v) and not re.search(rb"pass|pwd", m.group(1), re.I):
             continue
@@ -244,9 +264,9 @@ def findings(raw: bytes, config: bool, entries: Sequence[configpaths.Entry] = ()
     for at in _TALK_AT.finditer(low):
         if at.start() < done:
             continue
-        begin = raw.rfind(b"\n", 0, at.start()) + 1
+        begin = begins.of(at.start())
         done = raw.find(b"\n", at.start()) + 1 or len(raw)
-        if not _COMMENT_LINE.match(raw[begin:done]):
+        if not _COMMENT_LINE.match(raw, begin, done):
             continue
         m = _talk(raw, begin, done)
         if not m:
@@ -289,32 +309,7 @@ def redacted(raw: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join(out) + raw[at:]
 
 
-_YAML_KEY = re.compile(rb"^([ \t]*)(?:-[ \t]+)?[\"']?([\w.-]+)[\"']?[ \t]*:")
-_SECTION = re.compile(rb"^[ \t]*\[+([^\]\r\n]+)\]+", re.M)
-
-
-def key_path(raw: bytes, key_at: int, ext: str) -> str:
-    """Dotted path of the key at a byte position, from the structure of the format."""
-    end = re.compile(rb"[\w.-]*").match(raw, key_at).end()
-    name = raw[key_at:end].decode("utf-8", "replace")
-    if ext in ("toml", "ini", "cfg", "conf"):
-        last = None
-        for m in _SECTION.finditer(raw, 0, key_at):
-            last = m.group(1).decode("utf-8", "replace")
-        return f"{last}.{name}" if last else name
-    if ext in ("yaml", "yml", "json"):
-        lines = raw[:key_at].split(b"\n")
-        indent = len(lines[-1]) - len(lines[-1].lstrip())
-        parents: list[str] = []
-        for x in reversed(lines[:-1]):
-            m = _YAML_KEY.match(x)
-            if m and len(m.group(1)) < indent:
-                indent = len(m.group(1))
-                parents.append(m.group(2).decode("utf-8", "replace"))
-                if not indent:
-                    break
-        return ".".join([*reversed(parents), name])
-    return name
+_NAME = re.compile(rb"[\w.-]*")
 
 
 def _extension(path: str | None) -> str:
@@ -331,12 +326,12 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = text.as_buffer().to_pybytes()
             ext = _extension(path)
             entries = config_entries(raw, path)
-            begins = [e.begin for e in entries]
+            begins, lines = [e.begin for e in entries], LineStarts(raw)
             for a, b, kind, key_at in findings(raw, ext in _CONFIG, entries):
                 k = bisect_right(begins, a) - 1
                 named = (b".".join(entries[k].path).decode("utf-8", "replace") if k >= 0 and a < entries[k].end
-                         else key_path(raw, key_at, ext))
-                values = (fid, raw.count(b"\n", 0, a) + 1, kind, named, a, b)
+                         else _NAME.match(raw, key_at).group().decode("utf-8", "replace"))
+                values = (fid, lines.number(a), kind, named, a, b)
                 for k, v in zip(out, values):
                     out[k].append(v)
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
@@ -351,6 +346,23 @@ def credentials(files: DataFrame) -> DataFrame:
     return spread(rows).mapInArrow(scan, DDL).dropDuplicates(["file_id", "begin", "finish"])
 
 
+def key_paths(files: DataFrame) -> DataFrame:
+    """(path, key_path, value, begin, finish) of every scalar in configuration files; other files give no rows.
+
+    Parts of a key path are joined by slashes, since keys may hold dots.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(path, b"/".join(e.path).decode("utf-8", "replace"), raw[e.begin:e.end].decode("utf-8", "replace"), e.begin, e.end)
+                    for path, text in zip(batch.column(0).to_pylist(), batch.column(1)) if text.is_valid
+                    for raw in [text.as_buffer().to_pybytes()] for e in config_entries(raw, path)]
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 3 + [pa.int64()] * 2)],
+                                             ["path", "key_path", "value", "begin", "finish"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, key_path string, value string, begin long, finish long")
+
+
 def redact(files: DataFrame) -> DataFrame:
     """All columns of ``files``, with the credentials in ``content`` replaced. Rows are never dropped."""
     at, path_at = files.columns.index("content"), files.columns.index("path")

@@ -173,6 +173,28 @@ def test_anchors_lose_nothing(kind, text):
     assert len(whole) == 1 and {(a, b) for a, b, k, _ in secrets.findings(raw, False) if k == kind} == whole
 
 
+@pytest.mark.parametrize("text,value", [
+    ("# the password is " + "Xk29!dk2" * 20, "Xk29!dk2" * 20), ("machine h.x login a password U3vpWqGW4b0LIIZ\n", "U3vpWqGW4b0LIIZ"), ("machine h.x\n  login a\n  password U3vpWq\n", "U3vpWq"),
+    ("c: Server=h;User=u;Pwd=syfhRdVSJkh;", "syfhRdVSJkh"), ("C=Server=h;Pwd=Sample-ledger44;", "Sample-ledger44"), ("C=Server=h;Pwd=sample-password;", None), ("C=Server=h;Pwd=your_password_123;", None),
+    ("machine h.x login a password <yours>\n", None)])
+def test_values_in_defined_places(text, value):
+    raw = text.encode()
+    assert [raw[a:b].decode() for a, b, *_ in secrets.findings(raw, True)] == ([value] if value else [])
+
+
+def test_time_grows_with_the_text():
+    import time
+
+    def took(n):
+        raw = b"x = 1; " + b"".join(b'a%d: next_token(b), apiKey: "Xk29!dk2%d", ' % (i, i) for i in range(n))
+        began = time.perf_counter()
+        found = secrets.findings(raw, False, secrets.config_entries(raw, "/a.json"))
+        assert len(found) == n
+        return time.perf_counter() - began
+    took(100)
+    assert took(16000) < 40 * max(took(1000), 0.005)
+
+
 def test_comments_of_any_length():
     for text in ("# " + "word " * 500 + "the password is Xk29!dk2", " " * 60 + "// the password is Xk29!dk2", "# " + "login is x " * 40000 + "pw: Xk29!dk2"):
         raw = b"x\n" + text.encode() + b"\r\ny\n"
