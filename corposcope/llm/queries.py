@@ -190,6 +190,12 @@ select * from (values
  ('/c/d.ini', 's one/key', 'v'), ('/c/d.ini', 's one/other', 'w'), ('/c/e.properties', 'a/b', 'c'), ('/c/e.properties', 'long', 'x \' || chr(10) || '  y'), ('/c/.env', 'A', 'b c'), ('/c/.env', 'B', 'd'),
  ('/c/f.xml', 'c/a', 'b'), ('/c/f.xml', 'c/password', 'Xk29!dk2'), ('/c/f.xml', 'c/add/db/password/value', 'Yk29'), ('/c/f.xml', 'c/p/n/value', '<v>'),
  ('/c/g.tf', 'resource/db/main/password', 'Xk29!dk2'), ('/c/g.tf', 'resource/db/main/tags/a', 'b')) as t(path, key_path, value)
+""",
+    # Cases are clear with any tokenizer: words and single signs stand for tokens here.
+    "p8_found": r"""
+with d as (select source, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]'))::double as t from documents),
+s as (select source, sum(t) as t from d group by 1), n as (select sum(t) as n from d)
+select m.source from mix_targets m left join s on s.source = m.source, n where coalesce(s.t, 0) * max_repeats < target_share * n
 """,
     "p3_found": _DF + "select trigram, mark from m where mark is not null",
     "p3_frequencies": _DF + "select * from m",

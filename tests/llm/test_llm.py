@@ -501,11 +501,44 @@ def test_classifier_on_held_out():
     vocab = {s: [f"{s}{'xyz'[i % 3]}{'abcdefgh'[i // 3]}" for i in range(24)] for s in ("ka", "lo", "mu")}
     rows = [(s, " ".join(rng.choice(vocab[s]) for _ in range(30))) for _ in range(60) for s in vocab]
     c = mixing.train(rows[:120], list(vocab))
-    assert np.mean([c.posterior(t).argmax() == list(vocab).index(s) for s, t in rows[120:]]) > 0.95
+    got = c.posteriors(pa.array([t for _, t in rows[120:]], pa.string())).argmax(1)
+    assert np.mean(got == [list(vocab).index(s) for s, _ in rows[120:]]) > 0.95 and c.heat > 0 and c.held_out[c.heat] < c.held_out[0.0]
+    noise = mixing.train([(s, t) for (s, _), (_, t) in zip(rows, rng.sample(rows, len(rows)))], list(vocab))
+    assert noise.held_out[noise.heat] <= noise.held_out[0.0]  # never worse than the prior
+    assert mixing.Classifier([], np.zeros(0)).posteriors(pa.array(["x", None])).shape == (2, 0)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 500), st.integers(1, 6), st.floats(0, 1)), min_size=1, max_size=8), st.integers(0, 300), st.integers(0, 10**6))
+def test_descent_meets_every_goal_in_reach(parts, loose, seed):
+    tokens, cap, w = (np.array(x, float) for x in zip(*parts))
+    goal = w / max(w.sum(), 1e-9) * (tokens.sum() + loose)
+    moved, reached, steps = mixing.descend(tokens, cap, goal)
+    assert steps < mixing.STEPS and np.allclose(reached, np.minimum(goal, tokens * cap), atol=1e-3)
+    member = np.random.default_rng(seed).dirichlet(np.ones(tokens.size), 5)
+    soft = lambda m: (mixing.soft_rates(member, cap, m) * loose / 5) @ member
+    moved, reached, _ = mixing.descend(tokens, cap, goal, soft)
+    miss = reached - goal
+    assert (moved >= 1 - cap - 1e-9).all() and (moved <= 1 + 1e-9).all()
+    assert (np.abs(miss) <= np.abs(np.minimum(1, cap) * tokens + soft(np.maximum(0, 1 - cap)) - goal) + 1e-3 * goal.sum() + loose).all()
+
+
+def test_soft_documents_follow_their_posterior(spark):
+    rng = random.Random(7)
+    vocab = {s: [f"{s}{i}" for i in "abcdefghijkl"] for s in ("alpha", "beta")}
+    docs = [(i, s, " ".join(rng.choice(vocab[s]) for _ in range(40))) for i, s in enumerate(["alpha", "beta"] * 60)]
+    docs += [(500 + i, None, " ".join(rng.choice(vocab["beta"]) for _ in range(40))) for i in range(60)]  # look like beta
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("alpha", 0.5, 3), ("beta", 0.5, 3)], "source string, target_share double, max_repeats int")
+    counted, found = mixing.prepare(df, targets)
+    assert found.reached == pytest.approx([0.5, 0.5], abs=1e-4) and not found.short.any() and found.steps < mixing.STEPS
+    assert found.rate[0] == pytest.approx(0.5 * found.total / found.tokens[0], rel=0.02) and found.rate[1] < found.rate[0]  # the loose documents serve beta
+    rate = mixing.soft_rates(np.array([[0.0, 1.0]]), found.cap, found.moved)[0]
+    assert rate == pytest.approx(found.rate[1])
 
 
 def test_token_counts():
-    count = mixing.token_counter(mixing.TOKENIZER)
+    count = mixing.token_counter(mixing.read_vocabulary(mixing.TOKENIZER))
     assert count("hello world") == 2 and count("") == 0 and count("<|endoftext|>") > 1
 
 
