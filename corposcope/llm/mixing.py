@@ -248,8 +248,11 @@ def prepare(documents: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENI
         F.max(F.coalesce(F.col("max_repeats").cast("double"), F.lit(1.0))).alias("cap")).orderBy("source").collect()
     sources = [r["source"] for r in rows]
     share, cap = np.array([r["share"] for r in rows]), np.array([r["cap"] for r in rows])
-    labelled = documents.where(F.col("source").isin(sources)).select("source", "text", F.xxhash64("doc_id").alias("k"), "doc_id")
-    train_rows = labelled.orderBy("k", "doc_id", "source", "text").limit(sample).select("source", "text").collect()
+    labelled = documents.where(F.col("source").isin(sources)).select("source", "text", F.xxhash64("doc_id", "text").alias("k"))
+    # A threshold on the hash keeps a little more than the sample, so that no task sends more than its part of it.
+    part = min(1.0, 1.1 * sample / max(labelled.count(), 1))
+    some = labelled.where(F.col("k") <= F.lit(min(2**63 - 1, round((2 * part - 1) * 2.0**63)))).groupBy("source", "text").agg(F.min("k").alias("k"))
+    train_rows = some.orderBy("k", "source").limit(sample).collect()
     classifier = train([(r[0], r[1]) for r in train_rows], sources)
     counted = staged(measured(documents, {s: i for i, s in enumerate(sources)}, classifier, read_vocabulary(tokenizer)), "tokens")
     return counted, fit(counted, sources, share, cap)
