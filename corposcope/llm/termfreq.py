@@ -113,11 +113,22 @@ def build_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def merge_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union of containers that arrive sorted by (term, block); one container is open at a time."""
-    key, occ, bits = None, 0, None
+    key, occ, sparse, held, dense = None, 0, [], 0, None
     out: list[tuple] = []
 
+    def fold():
+        nonlocal sparse, held
+        sparse = [np.unique(np.concatenate(sparse))]
+        held = sparse[0].size
+
     def close():
-        low = np.flatnonzero(bits).astype(np.uint16)
+        if len(sparse) > 1:
+            fold()
+        low = sparse[0] if sparse else np.zeros(0, "<u2")
+        if dense is not None:
+            bits = np.unpackbits(dense, bitorder="little")
+            bits[low] = 1
+            low = np.flatnonzero(bits).astype(np.uint16)
         out.append((key[0], key[1], occ, low.size, _pack(low)))
 
     def batch_of(rows):
@@ -133,13 +144,24 @@ def merge_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if k != key:
                 if key is not None:
                     close()
-                key, occ, bits = None, 0, None
+                key, occ, sparse, held, dense = None, 0, [], 0, None
                 if nxt is not None and nxt != k:  # met once: nothing to merge
                     out.append((*k, occs[i], ns[i], raws[i]))
                     continue
-                key, occ, bits = k, 0, np.zeros(65536, bool)
+                key = k
             occ += occs[i]
-            bits[_unpack(ns[i], raws[i])] = True
+            if ns[i] > SPARSE:  # bits are united in place, offsets when enough have come together
+                part = np.frombuffer(raws[i], np.uint8)
+                dense = part.copy() if dense is None else np.bitwise_or(dense, part, out=dense)
+            else:
+                sparse.append(np.frombuffer(raws[i], "<u2"))
+                held += ns[i]
+                if held > 4 * SPARSE and len(sparse) > 1:
+                    fold()
+                    if held > SPARSE:
+                        part = np.frombuffer(_pack(sparse[0]), np.uint8)
+                        dense = part.copy() if dense is None else np.bitwise_or(dense, part, out=dense)
+                        sparse, held = [], 0
         if len(out) >= 20_000:
             yield batch_of(out)
             out = []
