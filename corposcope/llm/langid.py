@@ -2,10 +2,11 @@
 
 The network reads bytes in both directions and labels every position; it is
 trained here, in NumPy, by backpropagation through time, on a bounded sample of
-labelled documents (``PER_LANGUAGE`` documents of each language, chosen by hash of
-the id).  A position sees the word it stands in and both neighbours; a word's
-probabilities are the mean over its positions, a sentence's those of its words,
-and a document's the shares of its sentences.  Equal (word, neighbours) windows
+labelled documents (``PER_LANGUAGE`` documents of each language, the first by hash of
+the id).  A position sees the word it stands in and both neighbours; a word of more
+than ``PIECE`` bytes is read as several pieces, each with its neighbours, so every
+position is labelled.  A word's probabilities are the mean over its positions, a
+sentence's those of its words, and a document's the shares of its sentences.  Equal (word, neighbours) windows
 are computed once per task, so the cost follows the vocabulary, not the length.
 
 Only prose is labelled: fenced blocks, lines that are mostly code punctuation,
@@ -30,7 +31,8 @@ from corposcope.session import spread
 
 LANGS = ("en", "de", "fr", "es")
 PER_LANGUAGE = 400  #: labelled documents of each language that train the network
-HIDDEN, EMBED, REACH = 20, 12, 64
+HIDDEN, EMBED, PIECE = 20, 12, 22
+REACH = 3 * PIECE + 2  #: bytes of a window: a word and both neighbours
 #: Usual spellings of the four languages' labels, without region. Fixed values.
 SPELLINGS = {"en": ("en", "eng", "english", "anglais", "englisch", "ingles", "inglés"),
              "de": ("de", "deu", "ger", "german", "deutsch", "allemand", "aleman", "alemán"),
@@ -203,6 +205,16 @@ _CODE = _class(b"{}();=<>_|&[]\\")
 _SPACE = _class(b" \t\r\n")
 
 
+def _pieces(start: np.ndarray, end: np.ndarray, h: np.ndarray, doc: np.ndarray):
+    """The same words, with those of more than ``PIECE`` bytes cut into pieces of equal words and place."""
+    n = np.maximum(1, -(-(end - start) // PIECE))
+    if n.size == 0 or n.max() == 1:
+        return start, end, h, doc
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    begin = np.repeat(start, n) + k * PIECE
+    return begin, np.minimum(begin + PIECE, np.repeat(end, n)), np.where(k > 0, mix(np.repeat(h, n) + k.astype(np.uint64)), np.repeat(h, n)), np.repeat(doc, n)
+
+
 class Prose:
     """Prose words of a run of documents: positions, hashes, document and sentence numbers."""
 
@@ -236,7 +248,7 @@ class Prose:
         first_line = np.searchsorted(newline, base[:-1])
         inside = ((fences[line] - fences[first_line[np.minimum(doc, n - 1)]]) % 2 == 1) | (fence[line] == 1) if n else np.zeros(0, bool)
         ok = ~(name | inline | coded[line] | inside) & (doc < n)
-        self.start, self.end, self.hash, self.doc = start[ok], end[ok], hashes[ok], doc[ok]
+        self.start, self.end, self.hash, self.doc = _pieces(start[ok], end[ok], hashes[ok], doc[ok])
         stop = count(_STOP)
         cut = np.ones(self.start.size, bool)
         cut[1:] = (stop[self.start[1:]] > stop[self.end[:-1]]) | (self.doc[1:] != self.doc[:-1])
@@ -260,7 +272,7 @@ class Prose:
         out = np.full((rows.size, REACH), 32, np.uint8)
         sizes, begin, end = (np.zeros(rows.size, np.int64) for _ in range(3))
         at = np.zeros(rows.size, np.int64)
-        for part, most in ((prev, 20), (rows, 22), (nxt, 20)):
+        for part, most in ((prev, PIECE), (rows, PIECE), (nxt, PIECE)):
             have = np.flatnonzero(part >= 0)
             w = part[have]
             size = np.minimum(self.end[w] - self.start[w], most)
@@ -375,17 +387,22 @@ def _segment_rows(net: Tagger):
 def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", *,
         per_language: int = PER_LANGUAGE) -> Tagger:
     """Train on at most ``per_language`` documents of each language, the first by hash of their id."""
-    named = documents.select(F.col(id_col).alias("i"), label(F.col(label_col)).alias("y")).where("y is not null and i is not null")
-    picked: dict = {}
-    for y in LANGS:
-        for r in named.where(F.col("y") == y).select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(per_language).collect():
-            picked.setdefault(r["i"], y)
-    if not picked:
+    i = F.col(id_col)
+    named = documents.select(i.alias("i"), F.xxhash64(i).alias("k"), label(F.col(label_col)).alias("y"), F.col(text_col).alias("t")).where("y is not null and i is not null")
+    counts = {r["y"]: r["n"] for r in named.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
         if documents.isEmpty():
             return Tagger()
         raise ValueError("no document has a label of a known language")
-    rows = (documents.where(F.col(id_col).isin(list(picked))).groupBy(F.col(id_col).alias("i"))
-                     .agg(F.min(text_col).alias("t")).orderBy("i").collect())
+    # A threshold on the hash, a little above the share that is wanted, keeps what reaches the driver to the sample.
+    below = F.lit(False)
+    for y, n in counts.items():
+        part = min(1.0, 1.4 * per_language / n)
+        below = below | (F.col("y") == y) & (F.col("k") <= F.lit(min(2**63 - 1, round((2 * part - 1) * 2.0**63))))
+    some = named.where(below).groupBy("i").agg(F.min("k").alias("k"), F.min("y").alias("y"), F.min("t").alias("t")).collect()
+    rows = [r for y in LANGS for r in sorted((r for r in some if r["y"] == y), key=lambda r: (r["k"], r["i"]))[:per_language]]
+    rows.sort(key=lambda r: r["i"])
+    picked = {r["i"]: r["y"] for r in rows}
     texts = pa.array([r["t"] or "" for r in rows], pa.string())
     flat, off = utf8(texts)
     prose = Prose(flat, off)
