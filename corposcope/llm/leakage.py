@@ -9,8 +9,11 @@ words one to one along a stretch of the aligned run mean the same question with
 parameters; the longest such stretch counts.  Verbatim passages cannot be missed, since equal words have equal
 canonical forms.
 
-The item windows of one block (at most ``BLOCK_CHARS`` characters of item text) go
-to every task; larger item sets are compared block by block against all documents.
+Item windows are a table.  Tasks over the documents keep only windows whose hash is
+marked in a bit table of the item windows (``1 << BITS`` bits, whatever the number of
+items); these are joined with the item windows by hash, and the aligned windows of
+one document and item are judged as a stream sorted by position.  So documents are
+read once, no item text reaches the driver, and Spark picks the join by size.
 
 Edge cases: null or empty texts, and texts shorter than the window, have no
 windows; repeated items or documents give one row per pair of ids; a word is a
@@ -19,7 +22,6 @@ maximal run of letters or digits of any script, case ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corposcope.llm.textarrays import CHUNK, chunks, run_hashes, utf8, windows
-from corposcope.session import spread
+from corposcope.session import spread, staged
 
 WIDTH = 13
-BLOCK_CHARS = 8_000_000
+BITS = 26  #: the bit table has 8 MB
 #: Words that count or measure. Fixed values.
 UNITS = ("ns", "us", "ms", "s", "sec", "secs", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "b", "kb", "mb", "gb",
          "tb", "byte", "bytes", "bit", "bits", "char", "chars", "characters", "line", "lines", "row", "rows", "column", "columns", "entry", "entries", "item",
@@ -89,37 +91,49 @@ def _hashes(words: list[str]) -> np.ndarray:
     return np.unique(Words(list(words)).hash) if words else np.zeros(0, np.uint64)
 
 
-class Index:
-    """Windows of one block of items, sorted by canonical hash, with a bit table in front."""
-
-    BITS = 22
-
-    def __init__(self, ids: list[int], texts: list[str | None], template: np.ndarray, width: int):
-        self.width, self.template, self.units = width, template, _hashes(list(UNITS))
-        w = Words(texts)
-        self.words = w.hash
-        h, ok = w.windows(w.canonical(template, self.units), width)
-        exact = windows(w.hash, width)
-        at = np.flatnonzero(ok)
-        at = at[np.argsort(h[at], kind="stable")]
-        self.canon, self.exact, self.at = h[at], exact[at], at
-        self.item = np.array(ids, np.int64)[w.text[at]] if at.size else np.zeros(0, np.int64)
-        self.bits = np.zeros(1 << self.BITS, bool)
-        self.bits[self.canon >> np.uint64(64 - self.BITS)] = True
-
-    def matches(self, w: Words):
-        """(document window, index entry, verbatim) of every canonical hit."""
-        h, ok = w.windows(w.canonical(self.template, self.units), self.width)
-        hit = np.flatnonzero(self.bits[h >> np.uint64(64 - self.BITS)] & ok) if h.size else np.zeros(0, np.int64)
-        a, b = (np.searchsorted(self.canon, h[hit], side=s) for s in ("left", "right"))
-        n = b - a
-        at = np.repeat(hit, n)
-        entry = np.repeat(a, n) + np.arange(at.size) - np.repeat(np.cumsum(n) - n, n)
-        own = np.zeros(at.size, np.uint64)
-        if hit.size:
-            span = np.concatenate([windows(w.hash[i:i + self.width], self.width) for i in hit])
-            own = np.repeat(span, n)
-        return at, entry, own == self.exact[entry]
+def _at(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """[n, width] word hashes of the windows that begin at ``at``."""
+    return hashes[at[:, None] + np.arange(width)]
+
+
+def _exact(words: np.ndarray) -> np.ndarray:
+    """Hash of each row of words, as ``windows`` gives it."""
+    return windows(words.ravel(), words.shape[1])[::words.shape[1]] if words.size else np.zeros(0, np.uint64)
+
+
+WINDOW_DDL = "canon long, id long, t long, pos long, exact long, words array<long>"
+
+
+def _window_rows(template: np.ndarray, width: int, marked: np.ndarray | None):
+    """Windows (canon, id, text number, position, exact hash, words) of (id, text) rows; only those whose bit is marked."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        units = _hashes(list(UNITS))
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            _, off = utf8(batch.column(1))
+            for a, b in chunks(off, CHUNK):
+                texts = batch.column(1).slice(a, b - a).to_pylist()
+                w = Words(texts)
+                h, ok = w.windows(w.canonical(template, units), width)
+                if marked is not None and h.size:
+                    bit = h >> np.uint64(64 - BITS)
+                    ok = ok & (marked[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                at = np.flatnonzero(ok)
+                if not at.size:
+                    continue
+                text = w.text[at]
+                base = np.searchsorted(w.text, text)  # positions count from the text's first word
+                number = np.array([xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "replace")) for t in texts], np.uint64)
+                for i in range(0, at.size, 100_000):
+                    k = slice(i, i + 100_000)
+                    words = _at(w.hash, at[k], width)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(words.shape[0] + 1, dtype=np.int32) * width), pa.array(words.ravel().view(np.int64)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h[at[k]].view(np.int64)), pa.array(ids[a:b][text[k]]), pa.array(number[text[k]].view(np.int64)), pa.array(at[k] - base[k]),
+                         pa.array(_exact(words).view(np.int64)), lists], ["canon", "id", "t", "pos", "exact", "words"])
+    return run
 
 
 def _consistent(doc: np.ndarray, item: np.ndarray) -> bool:
@@ -145,45 +159,45 @@ def _longest_consistent(doc: np.ndarray, item: np.ndarray) -> int:
     return best
 
 
-def _finder(index: Index, least_run: int):
+LEAK_DDL = "doc_id long, item_id long, verbatim_windows long, template_run long"
+
+
+def _judge(width: int, least_run: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Aligned windows sorted by (document, text, item, text, shift, position) -> counts and longest consistent runs."""
+        held: tuple | None = None  # key, next position, document words, item words of the run that is open
+
+        def close(out):
+            if held is not None and len(held[2]) >= least_run:
+                n = _longest_consistent(np.array(held[2]), np.array(held[3]))
+                if n >= least_run:
+                    out.append((held[0][0], held[0][2], 0, n))
+
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            _, off = utf8(batch.column(1))
-            for a, b in chunks(off, CHUNK):
-                w = Words(batch.column(1).slice(a, b - a).to_pylist())
-                at, entry, same = index.matches(w)
-                if not at.size:
-                    continue
-                doc, item = ids[a:b][w.text[at]], index.item[entry]
-                rows: dict[tuple, list] = {}
-                for d, i in zip(doc[same].tolist(), item[same].tolist()):
-                    rows.setdefault((d, i), [0, 0])[0] += 1
-                # Aligned runs: the same distance between document and item position.
-                shift = at - index.at[entry]
-                order = np.lexsort((at, shift, item, doc))
-                d, i, s, p, e = doc[order], item[order], shift[order], at[order], entry[order]
-                new = np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (s[1:] != s[:-1]) | (p[1:] != p[:-1] + 1)]
-                starts = np.flatnonzero(new)
-                ends = np.r_[starts[1:], d.size]
-                for x, y in zip(starts, ends):
-                    size = y - x + index.width - 1
-                    if size < least_run:
-                        continue
-                    q = index.at[e[x]]
-                    run_words = _longest_consistent(w.hash[p[x]:p[x] + size], index.words[q:q + size])
-                    if run_words >= least_run:
-                        row = rows.setdefault((int(d[x]), int(i[x])), [0, 0])
-                        row[1] = max(row[1], int(run_words))
-                if rows:
-                    keys = list(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                         pa.array([rows[k][0] for k in keys], pa.int64()), pa.array([rows[k][1] for k in keys], pa.int64())],
-                        ["doc_id", "item_id", "verbatim_windows", "template_run"])
+            out: list[tuple] = []
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+            doc_words, item_words = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for k in (7, 8))
+            for i, (*key, pos, same) in enumerate(zip(*(c.tolist() for c in cols))):
+                if same:
+                    out.append((key[0], key[2], 1, 0))
+                if held is not None and held[0] == key and held[1] == pos:
+                    held[2].append(int(doc_words[i, -1])), held[3].append(int(item_words[i, -1]))
+                    held = (key, pos + 1, held[2], held[3])
+                else:
+                    close(out)
+                    held = (key, pos + 1, doc_words[i].tolist(), item_words[i].tolist())
+            yield _rows(out)
+        out = []
+        close(out)
+        yield _rows(out)
     return run
 
 
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*out)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "verbatim_windows", "template_run"])
+
+
 def template_words(items: DataFrame, share: float) -> list[str]:
     """Words that at least ``share`` of the items (and two) use; their number is bounded by item length / share."""
     n = items.count()
@@ -200,14 +214,21 @@ def leaks(documents: DataFrame, items: DataFrame, *, width: int = WIDTH, templat
     """
     items = items.where("item_id is not null and item_text is not null").select(F.col("item_id").cast("long").alias("item_id"), "item_text").distinct()
     template = _hashes(template_words(items, template_share))
-    chars = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
-    blocks = max(1, ceil(chars / BLOCK_CHARS))
+    known = staged(items.mapInArrow(_window_rows(template, width, None), WINDOW_DDL), "item-windows")
+    bit = F.shiftrightunsigned("canon", 64 - BITS)
+    marks = (known.select(F.shiftright(bit, 15).alias("block"), bit.bitwiseAND(F.lit((1 << 15) - 1).cast("long")).alias("bit")).groupBy("block")
+                  .agg(F.bitmap_construct_agg("bit").alias("bits")).collect())  # at most 2,048 rows of 4 KB
+    table = np.zeros(1 << (BITS - 3), np.uint8)
+    for r in marks:
+        table[r["block"] << 12:(r["block"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    shipped = documents.sparkSession.sparkContext.broadcast(table)
+
+    def hits(batches):
+        yield from _window_rows(template, width, shipped.value)(batches)
+
     docs = spread(documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    schema = "doc_id long, item_id long, verbatim_windows long, template_run long"
-    found = None
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "item_text").collect()
-        index = Index([r[0] for r in part], [r[1] for r in part], template, width)
-        one = docs.mapInArrow(_finder(index, least_run), schema)
-        found = one if found is None else found.unionByName(one)
-    return found.groupBy("doc_id", "item_id").agg(F.sum("verbatim_windows").alias("verbatim_windows"), F.max("template_run").alias("template_run"))
+    found = docs.mapInArrow(hits, WINDOW_DDL).join(known.select("canon", *[F.col(c).alias(f"i{c}") for c in ("id", "t", "pos", "exact", "words")]), "canon")
+    keys = ["id", "t", "iid", "it", "shift"]
+    aligned = found.select("id", "t", "iid", "it", (F.col("pos") - F.col("ipos")).alias("shift"), "pos", (F.col("exact") == F.col("iexact")).alias("same"), "words", "iwords")
+    judged = aligned.repartition(*keys).sortWithinPartitions(*keys, "pos").mapInArrow(_judge(width, least_run), LEAK_DDL)
+    return (judged.groupBy("doc_id", "item_id").agg(F.sum("verbatim_windows").alias("verbatim_windows"), F.max("template_run").alias("template_run")))

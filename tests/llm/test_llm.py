@@ -245,6 +245,20 @@ def test_term_frequencies(spark, monkeypatch):
     assert termfreq.term_frequencies(df.limit(0), "t", "x").count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 1), st.integers(0, 2), st.integers(0, 9)), max_size=9), st.integers(1, 5))
+def test_containers_merge_by_union(parts, size):
+    kinds = (lambda s: np.arange(s, s + 30), lambda s: np.arange(s, 60000, 11), lambda s: np.arange(s, 65536, 4))  # few, many, dense
+    rows = sorted(((t, b, 2, (low := kinds[k](s).astype(np.uint16)).size, termfreq._pack(low), set(low.tolist())) for t, b, k, s in parts), key=lambda r: (r[0] or "", r[1]))
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], f.type) for i, f in enumerate(termfreq.CELL)], schema=termfreq.CELL)
+    got = [tuple(x.as_py() for x in r) for b in termfreq.merge_cells(batch(rows[i:i + size]) for i in range(0, len(rows), size)) for r in zip(*b.columns)]
+    want = {}
+    for t, b, o, _, _, ids in rows:
+        was = want.get((t, b), (0, set()))
+        want[(t, b)] = (was[0] + o, was[1] | ids)
+    assert len(got) == len(want) and {(t, b): (o, set(termfreq._unpack(n, raw).tolist())) for t, b, o, n, raw in got} == want
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.sets(st.integers(0, 65535), min_size=1, max_size=50), st.booleans())
 def test_containers_round_trip(low, dense):
@@ -446,12 +460,38 @@ def test_longest_consistent_stretch(pairs):
     assert leakage._longest_consistent(d, i) == max(b - a for a in range(n) for b in range(a + 1, n + 1) if leakage._consistent(d[a:b], i[a:b]))
 
 
-def test_leaks_in_blocks(spark, monkeypatch):
+def test_leaks_do_not_depend_on_the_layout(spark):
     df = spark.createDataFrame([(i, x) for i, x, _ in ITEMS], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, item_text string, suite string")
     whole = {tuple(r) for r in leakage.leaks(df, items).collect()}
-    monkeypatch.setattr(leakage, "BLOCK_CHARS", 100)
-    assert {tuple(r) for r in leakage.leaks(df, items).collect()} == whole
+    assert whole == {tuple(r) for r in leakage.leaks(df.repartition(3), items.repartition(2)).collect()} and len(whole) >= 3
+    rows = {(r[0], r[1]): r[2:] for r in whole}
+    n = len("".join(c if c.isalnum() else " " for c in ITEMS[0][1]).split())
+    assert rows[(0, 0)] == (n - leakage.WIDTH + 1, n)
+    twice = leakage.leaks(df.union(df), items.union(items)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in twice} == set(rows)
+
+
+def test_recall_of_planted_questions(spark):
+    """Items with every slot replaced one to one, in the middle of other text: all are found, and nothing else."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(4000)]
+    name = iter(words)
+    frame = ("Consider the {} service that stores {} records of {} and returns them in {} order . Explain why the {} call fails after {} seconds and "
+             "which setting of {} has to be changed before the {} report is written again")
+    kinds = [str, int, str, str, str, int, str, str]
+    fill = lambda: [next(name) if k is str else rng.randrange(10**6) for k in kinds]
+    items = [(i, frame.format(*fill())) for i in range(40)]
+    noise = lambda: " ".join(rng.choice(words) for _ in range(60))
+    docs, truth = [], set()
+    for i in range(40):
+        docs.append((i, noise() + " " + frame.format(*fill()) + " " + noise()))
+    docs += [(100 + i, noise() + noise()) for i in range(40)]
+    found = {(r["doc_id"], r["item_id"]): r["template_run"] for r in leakage.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")).collect()}
+    # One frame under all items: each planted document leaks each of them.
+    truth = {(d, i) for d in range(40) for i in range(40)}
+    assert len(truth & set(found)) / len(truth) > 0.99 and not {d for d, _ in found} & set(range(100, 140))
 
 
 # ---- 8 mixing ----
@@ -606,6 +646,18 @@ def test_languages(spark, network):
         langid.fit(df.where("doc_id = 8"))
 
 
+def test_long_words_are_read_whole():
+    text = "ab " + "donaudampfschifffahrtselektrizit" + "ä" * 40 + "tenhauptbetriebswerk" + " cd"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    prose = langid.Prose(raw, np.array([0, raw.size]))
+    assert (prose.end - prose.start).max() == langid.PIECE and prose.chars.sum() == len(text) - 2 and np.unique(prose.hash).size == prose.start.size
+    inner = (prose.start[1:-1], prose.end[1:-1])
+    assert (inner[0][1:] == inner[1][:-1]).all() and prose.sentence.max() == 0
+    k, prev, nxt = prose.windows()
+    texts, sizes, begin, end = prose.text(np.arange(prose.start.size), prev, nxt)
+    assert b"".join(texts[i, begin[i]:end[i]].tobytes() for i in range(1, prose.start.size - 1)) == text.encode()[3:-3] and sizes.max() <= langid.REACH
+
+
 def test_words_of_a_batch_do_not_depend_on_the_batch(network):
     texts = [". ".join(TEXT["en"]), None, "", ". ".join(TEXT["de"]), "größe `a b` x_y"]
     run = langid._document_rows(network)
