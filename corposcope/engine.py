@@ -57,7 +57,7 @@ class Engine:
         return rows.orderBy("path", "line_no").limit(plans.clamped(limit, 500))
 
     def outline(self, path: str) -> DataFrame:
-        return outline.outline(self._file(path)).orderBy("line_no")
+        return outline.outline(self._file(path)).drop("lang").orderBy("line_no")
 
     def get(self, path: str, start: int = 1, end: int = 0) -> DataFrame:
         return docops.get_range(self._file(path), start, end)

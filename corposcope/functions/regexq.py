@@ -17,6 +17,7 @@ MAX_PATTERN_BYTES, MAX_NESTING = 500, 5
 #: Pattern parts known to backtrack exponentially. Fixed values.
 DANGEROUS = (r"(\w+)+", r"(.*)+", r"(.+)+", r"(\d+)+", r"(\s+)+", r"([^x]+)+", r"(\w*)*", r"(.*)*", r"(.+)*", r"(\d*)*", r"(\s*)*",
              r"(a|a)+", r"(a|aa)+", r"(.*|.*)+")
+#: A group that repeats inside and is repeated or optional itself. Fixed behaviour.
 _NESTED = re.compile(r"\([^)]*[+*][^)]*\)[+*?]")
 _REGEX_HINT = r"[\\+?{}|^$\[\]]|\.\*|\.\+"
 _BAREWORD = "A-Za-z0-9_"
@@ -40,29 +41,53 @@ def nesting(pattern: str) -> int:
 def refusal(pattern: str) -> str | None:
     """Why a pattern is unsafe or not of the supported dialect, or None."""
     if len(pattern.encode()) > MAX_PATTERN_BYTES:
-        return "pattern exceeds maximum length"
+        return f"the pattern has more than {MAX_PATTERN_BYTES} bytes"
     if nesting(pattern) > MAX_NESTING:
-        return "excessive nesting depth"
+        return f"groups are nested more than {MAX_NESTING} deep"
     low = pattern.lower()
     if any(d in low for d in DANGEROUS) or _NESTED.search(pattern):
-        return "nested quantifiers can cause exponential backtracking"
+        return "a repeated group repeats inside, which may take exponential time"
     if re.search(r"\(\?(?:[=!]|<[=!])", pattern) or re.search(r"(?<!\\)(?:\\\\)*\\[1-9]", pattern):
-        return "lookaround and backreferences are not supported"
+        return "look-around and back-references are not part of the dialect"
     return None
 
 
+def java(pattern: str) -> str:
+    """The pattern as the executing engine reads it: classes and boundaries over all of Unicode, named groups in its spelling."""
+    return "(?U)" + re.sub(r"(?<!\\)((?:\\\\)*)\(\?P<", r"\1(?<", pattern)
+
+
 def check_pattern(pattern: str) -> str:
-    """The pattern if it may run; raises InvalidPattern otherwise."""
+    """The pattern for the executing engine if it may run; raises InvalidPattern otherwise.
+
+    It is compiled by that engine, in the driver, so no pattern fails first in a task.
+    """
+    from py4j.protocol import Py4JError
+    from pyspark.errors import PySparkException
+    from pyspark.sql import SparkSession
+
     from corposcope.errors import InvalidPattern
 
     why = refusal(pattern)
     if why:
         raise InvalidPattern(why)
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("patterns are checked by the JVM of an active session")
     try:
-        re.compile(pattern)
-    except re.error as e:
-        raise InvalidPattern(str(e)) from e
-    return pattern
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(java(pattern))
+    except (Py4JError, PySparkException) as e:
+        raise InvalidPattern(str(e).strip().splitlines()[0]) from e
+    return java(pattern)
+
+
+def covers_lines(pattern: str) -> bool:
+    """Whether a pattern that matches a line also matches, with multi-line anchors, the text that holds the line.
+
+    Anchors of the whole input, flags, and repetitions that never give back may differ between both.
+    """
+    plain = re.sub(r"\[(?:\\.|[^\]\\])*\]", "x", pattern)
+    return not re.search(r"\\[AZzGQ]|\(\?(?!:|P?<[A-Za-z])|[*+?}]\+", plain)
 
 
 def literals(pattern: str, least: int = 3) -> list[str]:
@@ -156,7 +181,7 @@ def parse_query(query: str) -> tuple[str | None, list[tuple[str, bool]]]:
     terms = []
     for w in prepared_words(rest):
         prefix = w.endswith("*")
-        parts = re.findall(r"[a-z0-9]+", w.rstrip("*").lower().translate(str.maketrans(_ACCENTS)))
+        parts = re.findall(r"[^\W_]+", w.rstrip("*").lower().translate(str.maketrans(_ACCENTS)))
         terms += [(p, prefix and i == len(parts) - 1) for i, p in enumerate(parts)]
     return field, terms
 

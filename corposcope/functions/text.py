@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 #: Letters with diacritics and their plain forms, as the full-text tokenizer folds them. Fixed values.
 ACCENTED = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-TOKEN = "[a-z0-9]+"
+TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 
 
 def fold(text: Column) -> Column:
@@ -16,7 +16,7 @@ def fold(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Full-text tokens: runs of letters and digits; an underscore separates."""
+    """Full-text tokens: runs of letters and digits of any script; an underscore separates."""
     return F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0))
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from corposcope.functions.text import extension, human_bytes, numbered
 from corposcope.sources.corpus import lines
 
-MAX_CELLS = 25_000_000
+COLUMNS = 8192  #: lines of the second text that one machine word of the diff spans
 
 
 def _joined(rows: DataFrame, text: str) -> DataFrame:
@@ -40,11 +41,6 @@ def context(corpus: DataFrame, line: int, around: int = 10) -> DataFrame:
     return _joined(x.withColumn("shown", shown), "shown")
 
 
-def wrapped(content, path) -> "F.Column":
-    """Content between boundary lines."""
-    return F.concat(F.lit("--- BEGIN FILE CONTENT: "), path, F.lit(" ---\n"), content, F.lit("\n--- END FILE CONTENT: "), path, F.lit(" ---"))
-
-
 def tree(corpus: DataFrame, base: str = "", depth: int = 3) -> DataFrame:
     """(sort_key, level, is_dir, name, line): entries below ``base`` in pre-order, directories first then by name.
 
@@ -88,17 +84,36 @@ def split_lines(text: str | None) -> list[str]:
     return [r[:-1] if r.endswith("\r") else r for r in rows]
 
 
+def lcs_row(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` and every prefix of ``b``, bit-parallel (Hyyrö 2004).
+
+    ``b`` is taken in blocks of ``COLUMNS`` lines with carries between them, so memory is
+    bounded by one block and one bit for each line of ``a``.
+    """
+    out = np.zeros(len(b) + 1, np.int64)
+    carry = bytearray(len(a))
+    for at in range(0, len(b), COLUMNS):
+        part = b[at:at + COLUMNS]
+        n = len(part)
+        where: dict[str, int] = {}
+        for i, x in enumerate(part):
+            where[x] = where.get(x, 0) | 1 << i
+        full = (1 << n) - 1
+        v = full
+        for i, y in enumerate(a):
+            u = v & where.get(y, 0)
+            if u or carry[i]:
+                s = v + u + carry[i]
+                carry[i] = s >> n
+                v = (s | (v - u)) & full
+        bits = np.unpackbits(np.frombuffer(v.to_bytes((n + 7) // 8, "little"), np.uint8), count=n, bitorder="little")
+        out[at + 1:at + n + 1] = out[at] + np.cumsum(1 - bits.astype(np.int64))
+    return out
+
+
 def lcs_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, bit-parallel (Hyyrö 2004)."""
-    where: dict[str, int] = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v = full
-    for y in b:
-        u = v & where.get(y, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(a) - bin(v).count("1")
+    """Length of the longest common subsequence."""
+    return int(lcs_row(a, b)[-1])
 
 
 def alignment(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -110,39 +125,34 @@ def alignment(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
     out = [(i, i) for i in range(lo)]
-
-    def row(x, y):
-        prev = [0] * (len(y) + 1)
-        for u in x:
-            cur = [0]
-            for j, w in enumerate(y):
-                cur.append(prev[j] + 1 if u == w else max(prev[j + 1], cur[j]))
-            prev = cur
-        return prev
-
-    stack = [(lo, len(a) - hi, lo, len(b) - hi)]
+    # Lines that stand in one text only align with nothing.
+    both = set(a[lo:len(a) - hi]) & set(b[lo:len(b) - hi])
+    ia = [i for i in range(lo, len(a) - hi) if a[i] in both]
+    ib = [j for j in range(lo, len(b) - hi) if b[j] in both]
+    x, y = [a[i] for i in ia], [b[j] for j in ib]
+    stack = [(0, len(x), 0, len(y))]
     while stack:
         i0, i1, j0, j1 = stack.pop()
         if i0 >= i1 or j0 >= j1:
             continue
         if i1 - i0 == 1:
             for j in range(j0, j1):
-                if b[j] == a[i0]:
-                    out.append((i0, j))
+                if y[j] == x[i0]:
+                    out.append((ia[i0], ib[j]))
                     break
             continue
         mid = (i0 + i1) // 2
-        left, right = row(a[i0:mid], b[j0:j1]), row(a[mid:i1][::-1], b[j0:j1][::-1])
-        cut = max(range(j1 - j0 + 1), key=lambda k: left[k] + right[j1 - j0 - k])
+        left, right = lcs_row(x[i0:mid], y[j0:j1]), lcs_row(x[mid:i1][::-1], y[j0:j1][::-1])
+        cut = int(np.argmax(left + right[::-1]))
         stack += [(i0, mid, j0, j0 + cut), (mid, i1, j0 + cut, j1)]
     out += [(len(a) - k, len(b) - k) for k in range(hi, 0, -1)]
     return sorted(out)
 
 
-def hunks(a: list[str], b: list[str], around: int = 3) -> list[str]:
+def hunks(a: list[str], b: list[str], around: int = 3, pairs: list[tuple[int, int]] | None = None) -> list[str]:
     """Unified hunks with ``around`` lines of context on both sides."""
     script, i, j = [], 0, 0
-    for x, y in [*alignment(a, b), (len(a), len(b))]:
+    for x, y in [*(alignment(a, b) if pairs is None else pairs), (len(a), len(b))]:
         script += [("-", k, j, a[k]) for k in range(i, x)] + [("+", x, k, b[k]) for k in range(j, y)]
         if x < len(a):
             script.append((" ", x, y, a[x]))
@@ -164,7 +174,6 @@ def hunks(a: list[str], b: list[str], around: int = 3) -> list[str]:
 def diffs(pairs: DataFrame, around: int = 3, max_lines: int = 5000) -> DataFrame:
     """(key, additions, deletions, hunks, truncated) of rows (key, old, new); all Arrow batches, any number of pairs.
 
-    Pairs whose table would exceed ``MAX_CELLS`` get one explanation and zero stats.
     Output beyond ``max_lines`` is cut; the stats stay complete.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,11 +181,9 @@ def diffs(pairs: DataFrame, around: int = 3, max_lines: int = 5000) -> DataFrame
             rows = []
             for old, new in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 a, b = split_lines(old), split_lines(new)
-                if len(a) * len(b) > MAX_CELLS:
-                    rows.append((0, 0, [f"Files too large for a line diff ({len(a)} and {len(b)} lines); compare line ranges."], False))
-                    continue
-                same, shown, used, cut = lcs_length(a, b), [], 0, False
-                for h in hunks(a, b, around):
+                pairs = alignment(a, b)
+                same, shown, used, cut = len(pairs), [], 0, False
+                for h in hunks(a, b, around, pairs):
                     used += h.count("\n") + 1
                     if used > max_lines:
                         cut = True

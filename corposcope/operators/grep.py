@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corposcope.functions.regexq import check_pattern
+from corposcope.functions.regexq import check_pattern, covers_lines, java, literals
 from corposcope.functions.text import clamp
 from corposcope.session import spread, staged
 from corposcope.sources.corpus import line_array, lines
@@ -12,15 +12,24 @@ from corposcope.sources.corpus import line_array, lines
 SNIPPETS = 3
 
 
+def _may_match(content: Column, pattern: str) -> Column:
+    """A test of the whole text that every text with a matching line passes: the strings that each match
+    holds and, where the pattern means the same inside a longer text, the pattern itself."""
+    out = F.lit(True)
+    for text in literals(pattern):
+        out = out & F.contains(content, F.lit(text))
+    return out & content.rlike("(?m)" + java(pattern)) if covers_lines(pattern) else out
+
+
 def matches(corpus: DataFrame, pattern: str) -> DataFrame:
     """(file_id, path, line_no, line, match_start, match_end): the first match of each matching line, in characters.
 
-    Files without any match are filtered on the whole content before lines are made.
+    Files that cannot match are filtered on the whole content before lines are made.
     """
-    check_pattern(pattern)
-    hits = lines(corpus.where(F.col("content").rlike("(?m)" + pattern)), F.col("line").rlike(pattern))
-    start = F.regexp_instr("line", F.lit(pattern)) - 1
-    found = F.regexp_extract("line", f"({pattern})", 1)
+    rx = check_pattern(pattern)
+    hits = lines(corpus.where(_may_match(F.col("content"), pattern)), F.col("line").rlike(rx))
+    start = F.regexp_instr("line", F.lit(rx)) - 1
+    found = F.regexp_extract("line", f"({rx})", 1)
     return hits.select("file_id", "path", "line_no", F.regexp_replace("line", r"\s+$", "").alias("line"), start.alias("match_start"),
                        (start + F.length(found)).alias("match_end"))
 
@@ -28,16 +37,16 @@ def matches(corpus: DataFrame, pattern: str) -> DataFrame:
 def hit_array(content: Column, pattern: str) -> Column:
     """Matching lines of a text as an array of (line_no, line, match_start, match_end), without leaving the row.
 
-    Lines are only made for texts that match somewhere.
+    Lines are only made for texts that may match; others have null or an empty array.
     """
-    check_pattern(pattern)
+    rx = check_pattern(pattern)
     numbered = F.transform(line_array(content), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
-    found = F.filter(numbered, lambda s: s["line"].rlike(pattern))
-    start = lambda s: F.regexp_instr(s["line"], F.lit(pattern)) - 1
+    found = F.filter(numbered, lambda s: s["line"].rlike(rx))
+    start = lambda s: F.regexp_instr(s["line"], F.lit(rx)) - 1
     hits = F.transform(found, lambda s: F.struct(
         s["line_no"].alias("line_no"), F.regexp_replace(s["line"], r"\s+$", "").alias("line"), start(s).alias("match_start"),
-        (start(s) + F.length(F.regexp_extract(s["line"], f"({pattern})", 1))).alias("match_end")))
-    return F.when(content.rlike("(?m)" + pattern), hits)
+        (start(s) + F.length(F.regexp_extract(s["line"], f"({rx})", 1))).alias("match_end")))
+    return F.when(_may_match(content, pattern), hits)
 
 
 def scores(count: Column, max_line: Column, most_count: float, most_density: float) -> Column:

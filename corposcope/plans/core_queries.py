@@ -40,7 +40,7 @@ def query(sql: str | None = None):
 
 
 _TR = f"translate(lower({{}}), '{tx.ACCENTED}', '{tx.PLAIN}')"
-_TOK = "regexp_extract_all(" + _TR + ", '[a-z0-9]+')"
+_TOK = "regexp_extract_all(" + _TR + r", '[\p{{L}}\p{{N}}\p{{Co}}]+')"
 _EXT = "coalesce(nullif(lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+\\.([^.]+)$', 1)), ''), 'unknown')"
 _CORPUS = "corpus as (select file_id, min(path) as path, min(content) as content from files where file_id is not null group by 1)"
 _LINES = _CORPUS + """,
@@ -462,37 +462,70 @@ def ref_trim(spark: SparkSession, d: str) -> DataFrame:
     return refs.references(sources.deliveries(spark, d), SYMBOL, per_file=None).select("path", F.col("line_no").cast("long").alias("line_no"), "content")
 
 
-def _outline_sql() -> str:
-    k = " ".join(f"when lang = '{g}' and regexp_matches(body, '{rx}') then '{kind}'" for g, kind, rx in outline.RULES)
-    n = " ".join(f"when lang = '{g}' and regexp_matches(body, '{rx}') then regexp_extract(body, '{rx}', 1)" for g, _, rx in outline.RULES)
-    return f"""with {_LINES},
+_SYMBOLS = f"""with {_LINES},
 l as (select *, {_EXT} as ext, regexp_replace(line, '^[ \\t]+', '') as body from lines),
 g as (select *, case when ext in ('js', 'ts', 'jsx', 'tsx') then 'js' when ext in ('rs', 'py', 'go') then ext end as lang from l),
-s as (select file_id, case {k} end as kind, case {n} end as name, line_no, ((length(line) - length(body)) // 4)::int as level from g)
-select file_id, kind, name, line_no, level from s where kind is not null"""
-
-
-@query(_outline_sql())
+""" + r"""k as (select *, length(line) - length(body) as indent, case lang
+  when 'rs' then case
+    when regexp_matches(body, '^(pub(\([a-z]+\))? )?(async )?(unsafe )?fn [A-Za-z_]') then 'fn'
+    when regexp_matches(body, '^(pub(\([a-z]+\))? )?struct [A-Za-z_]') then 'struct'
+    when regexp_matches(body, '^(pub(\([a-z]+\))? )?enum [A-Za-z_]') then 'enum'
+    when regexp_matches(body, '^impl(<[^>]*>)? [^{<]*[^{< ]') then 'impl'
+    when regexp_matches(body, '^(pub(\([a-z]+\))? )?trait [A-Za-z_]') then 'trait'
+    when regexp_matches(body, '^(pub(\([a-z]+\))? )?mod [A-Za-z_]') then 'mod' end
+  when 'py' then case when regexp_matches(body, '^(async )?def [A-Za-z_]') then 'fn' when regexp_matches(body, '^class [A-Za-z_]') then 'class' end
+  when 'js' then case
+    when regexp_matches(body, '^(export )?(async )?function [A-Za-z_$]') then 'fn'
+    when regexp_matches(body, '^(export )?class [A-Za-z_$]') then 'class'
+    when regexp_matches(body, '^(export )?const [A-Za-z_$][A-Za-z0-9_$]*[^=]*= .*(=>|function)') then 'fn' end
+  when 'go' then case
+    when regexp_matches(body, '^func (\([^)]*\) *)?[A-Za-z_]') then 'fn'
+    when regexp_matches(body, '^type [A-Za-z_][A-Za-z0-9_]*.* struct') then 'struct'
+    when regexp_matches(body, '^type [A-Za-z_][A-Za-z0-9_]*.* interface') then 'iface' end end as kind from g where lang is not null),
+s as (select *, case when kind = 'impl' then regexp_extract(body, '^impl(<[^>]*>)? ([^{<]*[^{< ])', 2)
+  when lang = 'go' and kind = 'fn' then regexp_extract(body, '^func (\([^)]*\) *)?([A-Za-z_][A-Za-z0-9_]*)', 2)
+  when lang = 'js' then regexp_extract(body, '^(export )?(async )?(function|class|const) ([A-Za-z_$][A-Za-z0-9_$]*)', 4)
+  else regexp_extract(body, '(^|[ )])(fn|struct|enum|trait|mod|def|class|type) ([A-Za-z_][A-Za-z0-9_]*)', 3) end as name from k where kind is not null)"""
+_BRACES = _SYMBOLS + """,
+sign as (select file_id, line_no, unnest(list_append(regexp_extract_all(line, '[{}]'), 'end')) as c, generate_subscripts(list_append(regexp_extract_all(line, '[{}]'), 'end'), 1) as i
+         from k where lang <> 'py'),
+walk as (select *, row_number() over w as seq, sum(case c when '{' then 1 when '}' then -1 else 0 end) over w as depth from sign window w as (partition by file_id order by line_no, i)),
+base as (select s.file_id, s.line_no, min(seq) as first, arg_min(depth - case c when '{' then 1 when '}' then -1 else 0 end, seq) as d0
+         from s join walk w on w.file_id = s.file_id and w.line_no = s.line_no group by 1, 2),
+opened as (select b.file_id, b.line_no, any_value(d0) as d0, min(seq) as o from base b join walk w on w.file_id = b.file_id and seq >= first and c = '{' group by 1, 2),
+brace as (select o.file_id, o.line_no, min(w.line_no) as end_line from opened o join walk w on w.file_id = o.file_id and seq >= o and depth = d0 and c <> '{' group by 1, 2)"""
+_INDENTS = _BRACES + """,
+nb as (select file_id, line_no, indent, lag(line_no) over (partition by file_id order by line_no) as above,
+       max(line_no) over (partition by file_id) as last from k where lang = 'py' and regexp_matches(line, '\\S')),
+py as (select s.file_id, s.line_no, nb.indent as base, nb.last from s join nb on nb.file_id = s.file_id and nb.line_no = s.line_no),
+indents as (select py.file_id, py.line_no, coalesce(arg_min(nb.above, nb.line_no), any_value(py.last)) as end_line
+       from py left join nb on nb.file_id = py.file_id and nb.line_no > py.line_no and nb.indent <= py.base group by 1, 2)"""
+
+
+@query(_SYMBOLS + " select file_id, kind, name, line_no, (indent // 4)::int as level from s")
 def outline_symbols(spark: SparkSession, d: str) -> DataFrame:
     return outline.symbols(sources.deliveries(spark, d)).select("file_id", "kind", "name", F.col("line_no").cast("long").alias("line_no"), "level").dropDuplicates(["file_id", "line_no"])
 
 
-@query()
+def _longs(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+@query(_BRACES + " select * from brace")
 def outline_brace_end(spark: SparkSession, d: str) -> DataFrame:
-    c = sources.files(spark, d)
-    return outline.brace_ends(c, outline.symbols(c))
+    return _longs(outline.brace_ends(sources.deliveries(spark, d)).dropDuplicates(["file_id", "line_no"]), "line_no", "end_line")
 
 
-@query(_outline_sql().replace("select file_id, kind, name, line_no, level from s where kind is not null", """
-, nb as (select file_id, line_no, length(line) - length(body) as indent, lag(line_no) over (partition by file_id order by line_no) as above,
-         max(line_no) over (partition by file_id) as last from g where lang = 'py' and trim(line) <> ''),
-py as (select s.file_id, s.line_no, nb.indent as base, nb.last from s join nb on nb.file_id = s.file_id and nb.line_no = s.line_no where s.kind is not null)
-select py.file_id, py.line_no, coalesce(arg_min(nb.above, nb.line_no), any_value(py.last)) as end_line
-from py left join nb on nb.file_id = py.file_id and nb.line_no > py.line_no and nb.indent <= py.base group by 1, 2""").replace("\n\n,", "\n,").replace("from g)\n, nb", "from g),\n nb").replace("from g)\n\n, nb", "from g),\n nb"))
+@query(_INDENTS + " select * from indents")
 def outline_indent_end(spark: SparkSession, d: str) -> DataFrame:
-    c = sources.files(spark, d)
-    e = outline.indent_ends(c, outline.symbols(c))
-    return e.select("file_id", F.col("line_no").cast("long").alias("line_no"), F.col("end_line").cast("long").alias("end_line"))
+    return _longs(outline.indent_ends(sources.deliveries(spark, d)).dropDuplicates(["file_id", "line_no"]), "line_no", "end_line")
+
+
+@query(_INDENTS + """ select s.file_id, s.kind, s.name, s.line_no, coalesce(e.end_line, 0) as end_line from s left join (select * from brace union all select * from indents) e on e.file_id = s.file_id and e.line_no = s.line_no""")
+def outline_full(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols with the ends of their blocks, 0 where a block never closes."""
+    rows = outline.outline(sources.deliveries(spark, d)).dropDuplicates(["file_id", "line_no"])
+    return _longs(rows.withColumn("end_line", F.coalesce("end_line", F.lit(0))), "line_no", "end_line").select("file_id", "kind", "name", "line_no", "end_line")
 
 
 # ---- documents ---------------------------------------------------------------------------------------------------
@@ -537,11 +570,12 @@ def diff_stats(spark: SparkSession, d: str) -> DataFrame:
     """Line diff of each file with the next file of the same name in another directory."""
     c = sources.files(spark, d).withColumn("name", tx.filename(F.col("path")))
     nxt = running_sums(c.select("name", "file_id"), ["name"], [F.col("file_id").asc()], {"k": F.lit(1)}, "names")
-    a = nxt.select("name", "k", F.col("file_id").alias("a"))
-    b = nxt.select("name", (F.col("k") - 1).alias("k"), F.col("file_id").alias("b"))
-    pairs = a.join(b, ["name", "k"]).select("a", "b")
-    old, new = c.select(F.col("file_id").alias("a"), F.col("content").alias("old")), c.select(F.col("file_id").alias("b"), F.col("content").alias("new"))
-    rows = pairs.join(old, "a").join(new, "b").select(F.concat_ws(":", "a", "b").alias("key"), "old", "new")
+    # Each file goes to its pair as the old and to the pair before as the new text: one exchange of text for all pairs.
+    sides = F.explode(F.array(F.struct(F.col("k").alias("pair"), F.lit(True).alias("first")), F.struct((F.col("k") - 1).alias("pair"), F.lit(False).alias("first"))))
+    x = c.join(nxt.select("file_id", "k"), "file_id").select("name", "file_id", "content", sides.alias("s")).where("s.pair > 0")
+    pick = lambda col, first: F.max(F.when(F.col("s.first") == first, F.col(col)))
+    rows = x.groupBy("name", "s.pair").agg(pick("file_id", True).alias("a"), pick("file_id", False).alias("b"), pick("content", True).alias("old"), pick("content", False).alias("new"))
+    rows = rows.where("a is not null and b is not null").select(F.concat_ws(":", "a", "b").alias("key"), "old", "new")
     return docops.diffs(rows).select("key", "additions", "deletions", F.size("hunks").alias("n_hunks"))
 
 

@@ -115,13 +115,29 @@ def test_lcs_and_hunks(a, b):
     assert sum(x[0] == "+" for x in body) == len(b) - len(pairs) and sum(x[0] == "-" for x in body) == len(a) - len(pairs)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=20), st.lists(st.sampled_from("abcd"), max_size=20), st.integers(1, 7))
+def test_lcs_in_blocks(a, b, columns):
+    whole, was = docops.lcs_row(a, b).tolist(), docops.COLUMNS
+    docops.COLUMNS = columns
+    try:
+        assert docops.lcs_row(a, b).tolist() == whole
+    finally:
+        docops.COLUMNS = was
+
+
+def test_long_diffs():
+    a, b = [f"line {i}" for i in range(30000)], [f"line {i}" for i in range(30000) if i % 100] + ["x"] * 50
+    assert len(docops.alignment(a, b)) == 29700
+
+
 def test_diffs_in_spark(spark):
     rows = spark.createDataFrame([("k", "a\nb\nc\n", "a\nx\nc\n"), ("same", "a\r\n", "a\n"), ("null", None, "x"), ("big", "x\n" * 6000, "y\n" * 6000)],
                                  "key string, old string, new string")
     out = {r["key"]: r for r in docops.diffs(rows).collect()}
     assert (out["k"]["additions"], out["k"]["deletions"], out["k"]["hunks"]) == (1, 1, ["@@ -1,3 +1,3 @@\n a\n-b\n+x\n c"])
     assert out["same"]["hunks"] == [] and out["null"]["additions"] == 1
-    assert out["big"]["additions"] == 0 and "too large" in out["big"]["hunks"][0]
+    assert (out["big"]["additions"], out["big"]["deletions"]) == (6000, 6000)
     cut = docops.diffs(rows.where("key = 'k'"), max_lines=2).first()
     assert cut["truncated"] and cut["additions"] == 1
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from corposcope import formatting, metrics
 from corposcope.engine import Engine
 from corposcope.errors import FileNotIndexed, InvalidPattern, ToolError
+from corposcope.functions import regexq as rq
 from corposcope.operators import docops, fts, grep, indexing, merkle, ngram_index, outline, refs
 from corposcope.operators.pending import pending_paths
 from corposcope.operators.prefix import ranks, running_sums
@@ -61,6 +62,28 @@ def test_grep_forms_agree(corpus):
         grep.matches(corpus, "(a+)+")
 
 
+def test_prefilter_loses_no_line(spark):
+    """Hits equal those of the lines alone, whatever anchors, flags or repetitions the pattern has."""
+    texts = ["use a\nfn b\n", "fn b", "x\r\nfn b\r\ny", "a  \nb", "a b", "", "\n\n", "été nu\nпривет мир\n", "a\n\nb", "FN b\nfn", None, "q{\n}"]
+    c = spark.createDataFrame([(i, f"/p{i}", t) for i, t in enumerate(texts)], "file_id long, path string, content string")
+    for pattern in (r"\Afn", r"fn b\Z", r"\Afn b\z", r"^fn", r"b$", r"(?i)fn", r"(?s)a.*b", r"(?m)^fn", r"a\s*+b", r"a\s+b", r"\w+", r"\bмир\b", r"\p{L}+ м", r"^$", r"(?P<n>fn) b", r"[^a]b", r"\{$"):
+        rx = rq.check_pattern(pattern)
+        plain = {(r["file_id"], r["line_no"]) for r in sources.lines(c).where(F.col("line").rlike(rx)).collect()}
+        assert {(r["file_id"], r["line_no"]) for r in grep.matches(c, pattern).collect()} == plain, pattern
+        hits = c.select("file_id", F.explode(grep.hit_array(F.col("content"), pattern)).alias("h")).collect()
+        assert {(r["file_id"], r["h"]["line_no"]) for r in hits} == plain, pattern
+    assert grep.matches(c, r"\bмир\b").count() == 1 and grep.matches(c, r"\Afn").count() == 4
+    for bad in ("(", "(?P=n)", r"\p{Nothing}", "[z-a]"):
+        with pytest.raises(InvalidPattern):
+            grep.matches(c, bad)
+
+
+def test_tokens_of_any_script(spark):
+    c = spark.createDataFrame([(1, "a.txt", "Привет, мир"), (2, "b.txt", "die Straße"), (3, "c.txt", "検索 エンジン v2")], "file_id long, path string, content string")
+    found = lambda q: {r["file_id"] for r in fts.search(c, q).collect()}
+    assert found("мир") == {1} and found("ПРИВЕТ") == {1} and found("straße") == {2} and found("検索") == {3} and found("str") == set() and found("エンジン v2") == {3}
+
+
 def test_filtered_scan_equals_unfiltered(corpus):
     from corposcope.functions import ngram
 
@@ -133,37 +156,27 @@ def test_brace_ends_against_brute_force(spark):
         body = "\n".join(rng.choice(["fn a() {", "}", "x { y }", "} else {", "fn b() { }", "z", "mod q;", "{ {", "} }"]) for _ in range(30))
         rows.append((i, f"/f{i}.rs", body))
     c = spark.createDataFrame(rows, "file_id long, path string, content string")
-    found = outline.symbols(c)
-    got = {(r["file_id"], r["line_no"]): r["end_line"] for r in outline.brace_ends(c, found).collect()}
+    got = {(r["file_id"], r["line_no"]): r["end_line"] for r in outline.brace_ends(c).collect()}
     for i, _, body in rows:
         ls = body.split("\n")
         for n, line in enumerate(ls, 1):
-            if not line.startswith(("fn ", "mod ")):
-                continue
-            depth, seen, want = 0, False, None
-            for k in range(n, len(ls) + 1):
-                for ch in ls[k - 1]:
-                    if ch == "{":
-                        depth, seen = depth + 1, True
-                    elif ch == "}" and (seen or depth):
-                        depth -= 1
-                        if seen and depth <= 0:
-                            want = k
-                            break
-                    elif ch == "}":
-                        depth -= 1
-                if want:
-                    break
-            if all(x >= 0 for x in _depths(ls[n - 1:])):  # files whose braces never close more than was opened
-                assert got.get((i, n)) == want
-
-
-def _depths(ls):
-    d = 0
-    for line in ls:
-        for ch in line:
-            d += (ch == "{") - (ch == "}")
-            yield d
+            if line.startswith(("fn ", "mod ")):
+                assert got.get((i, n)) == _closes(ls, n)
+
+
+def _closes(ls, n):
+    depth, seen = 0, False
+    for k in range(n, len(ls) + 1):
+        for ch in ls[k - 1] + "\n":
+            depth += (ch == "{") - (ch == "}")
+            seen = seen or ch == "{"
+            if ch in "}\n" and seen and depth == 0:
+                return k
+
+
+def test_indent_ends():
+    raw = b"def a():\n    x\n\n    def b():\n        y\n\t\n# c\nclass D:\n  z\n\n"
+    assert outline.indent_end(raw, [1, 4, 8]) == [5, 5, 9] and outline.indent_end(b"def a(): pass", [1]) == [1] and outline.brace_end(b"", [1]) == [None]
 
 
 def test_references(corpus):
