@@ -58,8 +58,9 @@ def run(engine, a: argparse.Namespace) -> tuple[str, int]:
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
     shown = lambda found, text: formatting.pretty(found) if a.json else text(found)
     if a.command == "search":
-        found = rows(engine.search(a.query, a.limit + 1, a.mode))
-        return shown(found[:a.limit], lambda f: formatting.search(f, len(found) > a.limit)), int(not found)
+        found = rows(engine.search(a.query, a.limit, a.mode))
+        more = bool(found and found[0]["has_more"])
+        return shown(found, lambda f: formatting.search(f, more) if f else formatting.no_results(a.mode)), int(not found)
     if a.command == "refs":
         found = rows(engine.refs(a.symbol, a.limit))
         return shown(found, formatting.references), int(not found)

@@ -5,19 +5,26 @@ needs as constants.
 """
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corposcope.errors import FileNotIndexed, StaleIndex, ToolError
+from corposcope.functions import ngram
 from corposcope.operators import docops, outline, refs, security
+from corposcope.operators.fusion import SearchConfig
 from corposcope.operators.indexing import IndexStore
 from corposcope.plans import search as plans
+from corposcope.session import staged
 from corposcope.sources import corpus as sources
+from corposcope.sources import vcs
+from corposcope.sources.corpus import IndexConfig
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, index_path: str, root: str = ""):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, index_path: str, root: str = "", config: SearchConfig = SearchConfig()):
+        self.spark, self.root, self.config = spark, root, config
         self.store = IndexStore(spark, index_path)
 
     @classmethod
@@ -28,19 +35,48 @@ class Engine:
             engine.index()
         return engine
 
-    def index(self, *, force: bool = False, files: DataFrame | None = None, commit: str | None = None) -> dict[str, int]:
-        """Index the workspace, or the given (path, content); returns the run's counters."""
-        rows = files if files is not None else sources.walk(self.spark, self.root)
-        rows = security.visible(rows.select("path", "content")).withColumn("hash", F.xxhash64("content"))
-        return self.store.write(rows, commit, force=force)
+    def index(self, *, force: bool = False, files: DataFrame | None = None, commit: str | None = None, config: IndexConfig = IndexConfig()) -> dict[str, int]:
+        """Index the workspace, or the given (path, content); returns the run's counters.
+
+        Below version control a run reads only the paths that changed since the indexed
+        commit, and those that were uncommitted then; without a usable cursor, and with
+        ``force``, it walks all files but the ignored ones.
+        """
+        text = lambda rows: security.visible(rows.select("path", "content")).withColumn("hash", F.xxhash64("content"))
+        options = {"include_hidden": config.include_hidden, "max_bytes": config.max_file_size, "extensions": config.extensions}
+        if files is not None:
+            return self.store.write(text(files), commit, force=force)
+        head = vcs.head_or_none(self.root)
+        if head is None:
+            return self.store.write(text(sources.walk(self.spark, self.root, **options)), commit, force=force)
+        before = self.store.metadata()
+        since = before.get("last_indexed_commit")
+        told = vcs.changes(self.root, since if since and vcs.is_ancestor(self.root, since) else None)
+        dirty = sorted({p for i, _, p in told if i > 0})
+        if force or not self.store.usable() or not since or not vcs.is_ancestor(self.root, since):
+            rows = sources.walk(self.spark, self.root, ignored=vcs.ignored(self.root), **options)
+            return self.store.write(text(rows), commit or head, force=force, dirty=dirty)
+        paths = sorted({p for _, _, p in told} | set(before.get("dirty", [])))
+        there = [p for p in paths if os.path.isfile(os.path.join(self.root, p))]
+        rows = text(sources.walk(self.spark, self.root, load=there, **options)) if there else self._nothing()
+        whole = [(f"{self.root}/{p}",) for p in paths]
+        gone = self.spark.createDataFrame(whole, "path string") if whole else self._nothing().select("path")
+        # A changed path that is not read any more (gone, grown too large, not text) leaves the index.
+        rows = staged(rows, "changed-files")
+        return self.store.update(rows, gone.join(rows.select("path"), "path", "left_anti"), commit or head, dirty=dirty)
+
+    def _nothing(self) -> DataFrame:
+        return self.spark.createDataFrame([], "path string, content string, hash long")
 
     def corpus(self) -> DataFrame:
-        rows = self.store.read("files")
-        if rows is None:
+        return self._live().read("files").select("file_id", "path", "content")
+
+    def _live(self) -> IndexStore:
+        if not self.store.manifest():
             raise ToolError("The index is empty. Run index first.")
         if not self.store.usable():
             raise StaleIndex("The index has another schema version. Run index again.")
-        return rows.select("file_id", "path", "content")
+        return self.store
 
     def _file(self, path: str) -> DataFrame:
         whole = security.readable(self.root, path) if self.root else path
@@ -50,7 +86,8 @@ class Engine:
         return found
 
     def search(self, query: str, limit: int = 20, mode: str = "combined") -> DataFrame:
-        return plans.search(self.corpus(), query, limit, mode)
+        """The best files, with ``has_more`` if others follow."""
+        return plans.search_index(self._live(), query, limit, mode, self.config)
 
     def refs(self, symbol: str, limit: int = 50) -> DataFrame:
         rows = refs.references(security.visible(self.corpus()), symbol)
@@ -75,9 +112,17 @@ class Engine:
         return docops.diffs(old.join(new, "key"), around, max_lines)
 
     def stats(self) -> DataFrame:
-        grams = self.store.read("ngrams")
-        n = grams.select("ngram").distinct().count() if grams is not None else 0
-        return docops.index_stats(self.corpus().count(), n, self.spark)
+        n = self._live().read("ngrams").select("ngram").distinct().count()
+        return docops.index_stats(self.store.metadata()["files"], n, self.spark)
+
+    def paths(self, ids: list[int]) -> DataFrame:
+        """(file_id, path) of the given ids; unknown ids give no row."""
+        return self._live().read("files", where=F.col("file_id").isin(ids)).select("file_id", "path")
+
+    def ids(self, paths: list[str]) -> DataFrame:
+        """(path, file_id) of the given paths below the root; unknown paths give no row."""
+        whole = [f"{self.root}/{p}" if self.root and not p.startswith("/") else p for p in paths]
+        return self._live().read("files", where=F.col("path").isin(whole)).select("path", "file_id")
 
     def by_type(self) -> DataFrame:
         return docops.by_type(self.corpus())
@@ -86,7 +131,8 @@ class Engine:
         """Files that may match a pattern, from the stored n-gram index."""
         from corposcope.operators.ngram_index import candidates, pattern_ngrams
 
-        return candidates(self.store.read("ngrams"), pattern_ngrams(pattern))
+        grams = pattern_ngrams(pattern)
+        return candidates(self._live().read("ngrams", where=F.col("ngram").isin([ngram.key(g) for g in grams])), grams)
 
     def compacted_ngrams(self) -> DataFrame:
         from corposcope.operators.ngram_index import compact

@@ -35,7 +35,13 @@ def search(rows, has_more: bool = False) -> str:
     for r in rows:
         out.append(f"{r['path']}  ({r['score']:.2f} · {'+'.join(SOURCES[c] for c in r['sources'])})")
         out += [f"  {s['line_no']:>5}│ {s['line']}" for s in r["snippets"] or []]
-    return "\n".join([*out, *["... more results available"] * has_more])
+    return "\n".join([*out, *["(more files match)"] * has_more])
+
+
+def no_results(mode: str) -> str:
+    """What to try next, by search mode."""
+    other = {"grep": "words are found by mode fts, both together by mode combined", "fts": "patterns are found by mode grep, both together by mode combined"}
+    return "Nothing found: " + other.get(mode, "use fewer or other words, or see with stats what is indexed") + "."
 
 
 def references(rows) -> str:

@@ -1,11 +1,16 @@
 """Full-text search: tokens, postings, BM25 with field weights, prefixes, phrases and field filters.
 
 Terms of a query are counted inside each row's token arrays, so only files that
-hold every term leave the scan; corpus statistics are a handful of numbers.  An
-index for repeated queries is ``postings``, written sorted by term.
+hold every term leave the scan; corpus statistics are a handful of numbers.  The
+index for repeated queries holds ``posting_rows``, written sorted by stem.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +48,50 @@ def doc_lengths(corpus: DataFrame) -> DataFrame:
     return tokenized(corpus).select("file_id", sum((F.size(f"t_{f}") for f in FIELD_WEIGHTS), F.lit(0)).alias("length"))
 
 
+POSTING_DDL = "stem string, term string, file_id long, path_tf int, filename_tf int, content_tf int, length int"
+
+
+def _posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Token arrays of each file -> one row for each of its terms, and one without a term that has its length."""
+    from corposcope.functions.stem import stem
+
+    stems: dict[str, str] = {}
+    for batch in batches:
+        n = batch.num_rows
+        lists = [batch.column(c) for c in (1, 2, 3)]
+        size = sum(pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
+        coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+        owner = np.concatenate([pc.list_parent_indices(x).to_numpy(zero_copy_only=False) for x in lists]).astype(np.int64)
+        field = np.repeat(np.arange(3), [len(x.flatten()) for x in lists])
+        words = len(coded.dictionary)
+        key, at = np.unique(owner * words + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+        tf = np.bincount(at * 3 + field, minlength=3 * key.size).reshape(-1, 3).astype(np.int32)
+        if len(stems) > 2_000_000:
+            stems.clear()
+        named = []
+        for w in coded.dictionary.to_pylist():
+            s = stems.get(w)
+            if s is None:
+                s = stems[w] = stem(w)
+            named.append(s)
+        row, code = (pa.array(x) for x in np.divmod(key, max(words, 1)))
+        ids = batch.column(0)
+        length = pa.array(size.astype(np.int32))
+        if key.size:
+            yield pa.RecordBatch.from_arrays([pa.array(named, pa.string()).take(code), coded.dictionary.take(code), ids.take(row), *(pa.array(tf[:, j]) for j in range(3)), length.take(row)],
+                                             ["stem", "term", "file_id", "path_tf", "filename_tf", "content_tf", "length"])
+        none, zero = pa.nulls(n, pa.string()), pa.array(np.zeros(n, np.int32))
+        yield pa.RecordBatch.from_arrays([none, none, ids, zero, zero, zero, length], ["stem", "term", "file_id", "path_tf", "filename_tf", "content_tf", "length"])
+
+
+def posting_rows(corpus: DataFrame) -> DataFrame:
+    """(stem, term, file_id, tf of each field, length) of a corpus with one row per file; the row without a term has a file's length.
+
+    Terms are counted and stemmed inside the row, so nothing is shuffled before the index is written.
+    """
+    return tokenized(spread(corpus.select("file_id", "path", "content"))).select("file_id", "t_path", "t_filename", "t_content").mapInArrow(_posting_rows, POSTING_DDL)
+
+
 def term_df(corpus: DataFrame) -> DataFrame:
     """(term, df): number of files with the term in any field."""
     all_tokens = F.array_distinct(F.concat("t_path", "t_filename", "t_content"))
@@ -98,35 +147,6 @@ def search(corpus: DataFrame, query: str) -> DataFrame:
     return found.select("file_id", "path", clamp(F.col("bm25") / SCALE).alias("fts_score"))
 
 
-def stemmed(terms: list[tuple[str, bool]], vocabulary: DataFrame) -> list[tuple[tuple, bool]]:
-    """Query terms as the words of ``vocabulary(term)`` that share (or, for prefixes, start with) their stem.
-
-    Stems are computed once for each distinct word, in Arrow batches; only words of
-    the asked stems reach the driver.
-    """
-    import pyarrow as pa
-
-    from corposcope.functions.stem import stem
-
-    asked = [(stem(t), p) for t, p in terms]
-
-    def run(batches):
-        for b in batches:
-            words = b.column(0).to_pylist()
-            kept = [(w, i) for w in words for i, (s, p) in enumerate(asked) if (stem(w).startswith(s) if p else stem(w) == s)]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.string()), pa.array([k[1] for k in kept], pa.int32())], ["term", "i"])
-
-    found = vocabulary.select("term").distinct().mapInArrow(run, "term string, i int").collect()
-    return [(tuple(sorted({r["term"] for r in found if r["i"] == i}) or [t]), False) for i, (t, _) in enumerate(terms)]
-
-
-def stemmed_search(corpus: DataFrame, query: str, vocabulary: DataFrame) -> DataFrame:
-    """``search`` on stems; ``vocabulary`` is the term column of stored postings or of ``term_df``."""
-    field, terms = parse_query(query)
-    found = bm25(corpus, stemmed(terms, vocabulary), (field,) if field else tuple(FIELD_WEIGHTS))
-    return found.select("file_id", "path", clamp(F.col("bm25") / SCALE).alias("fts_score"))
-
-
 def phrase(corpus: DataFrame, words: str) -> DataFrame:
     """(file_id, path, hits): files whose content has the words next to each other, quotes ignored."""
     _, terms = parse_query(words.replace('"', " "))

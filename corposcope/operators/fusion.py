@@ -1,6 +1,8 @@
 """Fusion of full-text, grep and n-gram evidence into one ranked list."""
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,29 +16,21 @@ SNIPPETS = "array<struct<line_no:int,line:string,match_start:int,match_end:int>>
 DEFINITION_STARTS = ("fn ", "pub fn ", "struct ", "class ", "def ", "function ")
 
 
+@dataclass(frozen=True)
+class SearchConfig:
+    """Weights of the sources for queries that are neither regular expressions nor natural language, and the bonus for several sources."""
+
+    fts_weight: float = DEFAULT["fts"]
+    grep_weight: float = DEFAULT["grep"]
+    ngram_weight: float = DEFAULT["ngram"]
+    multi_source_bonus: float = BONUS
+
+    def weights(self, intent: str) -> dict[str, float]:
+        return WEIGHTS.get(intent, {"fts": self.fts_weight, "grep": self.grep_weight, "ngram": self.ngram_weight})
+
+
 def weights(intent: str) -> dict[str, float]:
-    return WEIGHTS.get(intent, DEFAULT)
-
-
-def evidence(fts: DataFrame | None, grep: DataFrame | None) -> DataFrame:
-    """(file_id, path, fts, grep, snippets): both result sets as one, by union and one aggregation."""
-    parts = []
-    if fts is not None:
-        parts.append(fts.select("file_id", "path", F.col("fts_score").alias("fts"), F.lit(None).cast("double").alias("grep"),
-                                F.lit(None).cast(SNIPPETS).alias("snippets")))
-    if grep is not None:
-        parts.append(grep.select("file_id", "path", F.lit(None).cast("double").alias("fts"), F.col("grep_score").alias("grep"),
-                                 F.col("snippets").cast(SNIPPETS).alias("snippets")))
-    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return every.groupBy("file_id").agg(F.min("path").alias("path"), F.max("fts").alias("fts"), F.max("grep").alias("grep"),
-                                        F.first("snippets", ignorenulls=True).alias("snippets"))
-
-
-def with_ngram(rows: DataFrame, found: DataFrame | None, score: float) -> DataFrame:
-    """Adds the n-gram source to rows whose file is a candidate; never adds rows."""
-    if found is None:
-        return rows.withColumn("ngram", F.lit(None).cast("double"))
-    return rows.join(found.select("file_id", F.lit(score).alias("ngram")), "file_id", "left")
+    return SearchConfig().weights(intent)
 
 
 def fused(rows: DataFrame, w: dict[str, float], bonus: float = BONUS) -> DataFrame:

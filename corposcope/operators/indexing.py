@@ -1,18 +1,17 @@
-"""Incremental index maintenance: change sets, merge with stable ids, derived tables, versions, metadata."""
+"""Incremental index maintenance: change sets, stable ids, and an index that grows by segments."""
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corposcope.functions import ngram
 from corposcope.operators import fts
 from corposcope.operators.prefix import running_sums
+from corposcope.operators.segments import MOST_SEGMENTS, Segments
+from corposcope.session import staged
 from corposcope.sources.corpus import indexable
 
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 4
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -66,64 +65,89 @@ def with_ids(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(known, "path").unionByName(fresh.select(*new.columns, "file_id"))
 
 
-def merged(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The index after a run: rows of ``new`` (path, content, hash) with stable ids; vanished paths are gone."""
-    return with_ids(old, new.where(indexable(F.col("path"))))
-
-
-def refreshed(derived: DataFrame, changed_ids: DataFrame, rebuilt: DataFrame) -> DataFrame:
-    """A derived table (postings, n-grams) with the rows of changed or deleted files replaced."""
-    return derived.join(changed_ids, "file_id", "left_anti").unionByName(rebuilt)
+class IndexStore(Segments):
+    """The index of a corpus: files, postings by stem, n-grams and lengths, in segments with one pointer.
 
-
-class IndexStore:
-    """Versions of (files, postings, ngrams, lengths) below one directory, with a pointer to the current one.
-
-    A version is complete before the pointer moves; a schema version other than
-    the current one means that the index is rebuilt.
+    The manifest also holds the number of live files and tokens and the largest id, so
+    no search counts the corpus.  A schema version other than the current one means that
+    the index is rebuilt.
     """
 
     TABLES = ("files", "postings", "ngrams", "lengths")
 
-    def __init__(self, spark: SparkSession, path: str):
-        from corposcope.operators.merkle import Store
+    def read(self, table: str, where=None) -> DataFrame | None:
+        return self.live(table, ["file_id"], where=where)
 
-        self.spark, self.path = spark, path.rstrip("/")
-        self._pointer = Store(spark, path)
+    def metadata(self) -> dict:
+        """Version, commit cursor and counts of the published index; empty before the first run."""
+        return {k: v for k, v in self.manifest().items() if k != "segments"}
 
-    def read(self, table: str) -> DataFrame | None:
-        v = self._pointer.current()
-        return self.spark.read.parquet(f"{self.path}/{v}/{table}") if v else None
+    def usable(self) -> bool:
+        return self.manifest().get("version") == SCHEMA_VERSION
 
-    def metadata(self) -> dict[str, str]:
-        v = self._pointer.current()
-        if not v:
-            return {}
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/{v}/metadata").collect()))
+    def write(self, files: DataFrame, last_commit: str | None = None, *, force: bool = False, given_ids: bool = False, dirty: list[str] = ()) -> dict[str, int]:
+        """Index all of ``files(path, content, hash)``; paths that it lacks are removed, and only changed files are tokenised unless ``force``.
 
-    def usable(self) -> bool:
-        return self.metadata().get("version") == str(SCHEMA_VERSION)
-
-    def write(self, files: DataFrame, last_commit: str | None = None, *, force: bool = False) -> dict[str, int]:
-        """Index ``files(path, content, hash)``; only changed files are tokenised again unless ``force``."""
-        old = None if force or not self.usable() else self.read("files")
-        empty = self.spark.createDataFrame([], "file_id long, path string, hash long")
-        before = old.select("file_id", "path", "hash") if old is not None else empty
-        change = changes(before, files)
+        ``given_ids`` takes the ids from a column ``file_id`` instead of numbering new paths.
+        """
+        was = self.manifest() if self.usable() and not force else {}
+        files = files.where(indexable(F.col("path"))) if not given_ids else files
+        before = self._known(was)
+        change = staged(changes(before, files), "change")
         counters = run_counters(change).first().asDict()
-        version = f"v-{uuid.uuid4().hex}"
-        base = f"{self.path}/{version}"
-        merged(before, files).select("file_id", "path", "content", "hash").write.parquet(f"{base}/files")
-        now = self.spark.read.parquet(f"{base}/files")
-        touched = change.where("status != 'unchanged'").select("path")
-        todo = now.join(touched, "path", "left_semi")
-        gone = before.join(touched, "path", "left_semi").select("file_id")
-        for name, build in (("postings", fts.postings), ("ngrams", ngram.index), ("lengths", fts.doc_lengths)):
-            kept = self.read(name) if old is not None else None
-            rows = build(todo) if kept is None else refreshed(kept, gone, build(todo))
-            order = {"postings": "term", "ngrams": "ngram", "lengths": "file_id"}[name]
-            rows.repartitionByRange(order).sortWithinPartitions(order).write.parquet(f"{base}/{name}")
-        meta = json.dumps({"version": str(SCHEMA_VERSION), "last_indexed_commit": last_commit})
-        self.spark.createDataFrame([(meta,)], "value string").coalesce(1).write.text(f"{base}/metadata")
-        self._pointer.point(version)
+        touched = change.where("status in ('added', 'changed')").select("path")
+        self._apply(was, files.join(touched, "path", "left_semi") if was else files, before.join(change.where("status in ('changed', 'deleted')"), "path", "left_semi"),
+                    {"last_indexed_commit": last_commit, "dirty": list(dirty)}, given_ids)
         return counters
+
+    def update(self, files: DataFrame, deleted: DataFrame, last_commit: str | None = None, *, dirty: list[str] = ()) -> dict[str, int]:
+        """Index ``files(path, content, hash)`` and remove ``deleted(path)``; every other path stays as it is."""
+        was = self.manifest() if self.usable() else {}
+        files = staged(files.where(indexable(F.col("path"))), "delta")
+        named = files.select("path").union(deleted.select("path")).distinct()
+        before = self._known(was).join(named, "path", "left_semi")
+        change = staged(changes(before, files), "change")
+        counters = run_counters(change).first().asDict()
+        self._apply(was, files.join(change.where("status in ('added', 'changed')").select("path"), "path", "left_semi"),
+                    before.join(change.where("status in ('changed', 'deleted')"), "path", "left_semi"),
+                    {"last_indexed_commit": last_commit if last_commit is not None else was.get("last_indexed_commit"), "dirty": list(dirty)}, False)
+        return counters
+
+    def _known(self, was: dict) -> DataFrame:
+        known = self.live("files", ["file_id"], was) if was else None
+        return known.select("file_id", "path", "hash") if known is not None else self.spark.createDataFrame([], "file_id long, path string, hash long")
+
+    def _apply(self, was: dict, rows: DataFrame, replaced: DataFrame, state: dict, given_ids: bool) -> None:
+        """Write one segment with ``rows``, and the ids of ``replaced(file_id, path)`` as gone; then publish."""
+        replaced = staged(replaced.select("file_id", "path"), "replaced")
+        if not given_ids:
+            rows = self._numbered(rows, replaced, was.get("last_id", 0))
+        # Ids follow the order of paths in the input, so sorting inside tasks is enough for a scan to skip other ids.
+        entry = self.add({"files": rows.select("file_id", "path", "content", "hash").sortWithinPartitions("file_id")},
+                         replaced.select("file_id") if was and not replaced.isEmpty() else None)
+        now = self.part(entry, "files")
+        posts = staged(fts.posting_rows(now), "postings")
+        lengths = posts.where("term is null").select("file_id", "length")
+        entry = self.add({"postings": self.ordered("postings", posts.where("term is not null")), "lengths": lengths,
+                          "ngrams": self.ordered("ngrams", staged(ngram.index(now), "ngrams"))}, to=entry)
+        count = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("t"), F.max("file_id").alias("m")).first()
+        new = count(lengths)
+        old = count(self.live("lengths", ["file_id"], was).join(replaced, "file_id", "left_semi")) if was else {"n": 0, "t": 0}
+        made = {"version": SCHEMA_VERSION, **state, "segments": [*was.get("segments", []), entry], "files": was.get("files", 0) + new["n"] - old["n"],
+                "tokens": was.get("tokens", 0) + (new["t"] or 0) - (old["t"] or 0), "last_id": max(was.get("last_id", 0), new["m"] or 0), "dead": was.get("dead", 0) + old["n"]}
+        if len(made["segments"]) > MOST_SEGMENTS or made["dead"] > made["files"] / 4 + 1000:
+            made = self.compacted(made, ["file_id"]) | {"dead": 0}
+        self.publish(made)
+
+    def ordered(self, table: str, rows: DataFrame) -> DataFrame:
+        """Postings by stem and n-grams by key, both split inside long lists, so that a search skips other row groups."""
+        if table == "postings":
+            return rows.repartitionByRange("stem", "file_id").sortWithinPartitions("stem", "term", "file_id")
+        return rows.repartitionByRange("ngram", "file_id").sortWithinPartitions("ngram") if table == "ngrams" else rows.sortWithinPartitions("file_id")
+
+    def _numbered(self, rows: DataFrame, replaced: DataFrame, top: int) -> DataFrame:
+        """``rows`` with ids: kept for known paths, then counted on from the largest ever given, in order of path."""
+        fresh = rows.select("path").join(replaced, "path", "left_anti").withColumn("all", F.lit(0))
+        fresh = running_sums(fresh, ["all"], [F.col("path").asc()], {"file_id": F.lit(1)}, "ids")
+        ids = replaced.unionByName(fresh.select((F.col("file_id") + F.lit(top)).alias("file_id"), "path"))
+        return rows.join(ids, "path")

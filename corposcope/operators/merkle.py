@@ -6,17 +6,16 @@ record digests below it, so it is order-free and merges map-side.  Two trees
 are compared level by level and only children of differing nodes are visited;
 records are read only from leaves that differ.  The tree of the published state
 is stored beside the output and both become current by one atomic rename of a
-pointer file, so a crashed run leaves the earlier pair untouched.
+pointer file (``segments``), so a crashed run leaves the earlier state untouched.
 """
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corposcope.operators.segments import MOST_SEGMENTS, Segments
 from corposcope.session import staged
 
 LEVELS, BITS = 2, 6  #: 64 children a node, 64**2 leaves for each partition
@@ -62,18 +61,17 @@ def differing_leaves(current: DataFrame, saved: DataFrame, levels: int = LEVELS)
     return pair.where(differ("d") | differ("n")).select("part", "leaf")
 
 
-def changed_records(current: DataFrame, saved: DataFrame, levels: int = LEVELS, *,
-                    current_tree: DataFrame | None = None, saved_tree: DataFrame | None = None) -> DataFrame:
+def changed_records(current: DataFrame, saved: DataFrame, levels: int = LEVELS, *, leaf: DataFrame | None = None) -> DataFrame:
     """(part, key, status, value): 'added', 'changed' or 'removed' records.
 
-    Leaf tables that exist already can be given, so that state is only read in leaves that differ.
+    Differing leaves that are known already can be given.
 
     Both inputs are ``records()`` with one row per (part, key).  Null values are
     compared null-safe; null keys are records too.  Rows are joined only inside
     differing leaves.
     """
-    leaf = differing_leaves(leaves(current, levels) if current_tree is None else current_tree,
-                            leaves(saved, levels) if saved_tree is None else saved_tree, levels)
+    if leaf is None:
+        leaf = differing_leaves(leaves(current, levels), leaves(saved, levels), levels)
     pick = lambda r: r.withColumn("leaf", node(levels)).join(leaf, ["part", "leaf"], "left_semi")
     a = pick(current).select("part", F.col("key").alias("ka"), F.col("value").alias("va"),
                              F.lit(True).alias("ina"))
@@ -88,75 +86,43 @@ def changed_records(current: DataFrame, saved: DataFrame, levels: int = LEVELS,
                 .where("status is not null"))
 
 
-class Store:
-    """Output and tree published together under one directory.
-
-    ``publish`` writes both below a fresh version folder and then renames a
-    pointer file over ``CURRENT``; readers see the old pair or the new pair.
-    A run that dies earlier leaves an unreferenced folder and nothing else, so
-    its records are found again by the next run: none skipped, none repeated.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def current(self) -> str | None:
-        jvm, fs = self._fs()
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        if not fs.exists(at):
-            return None
-        return json.loads(self.spark.read.text(f"{self.path}/CURRENT").first()[0])["version"]
-
-    def read(self, what: str) -> DataFrame | None:
-        v = self.current()
-        return self.spark.read.parquet(f"{self.path}/{v}/{what}") if v else None
-
-    def publish(self, output: DataFrame, leaf_table: DataFrame, recs: DataFrame | None = None) -> str:
-        version = f"v-{uuid.uuid4().hex}"
-        output.write.parquet(f"{self.path}/{version}/output")
-        leaf_table.write.parquet(f"{self.path}/{version}/tree")
-        if recs is not None:
-            recs.write.parquet(f"{self.path}/{version}/records")
-        self.point(version)
-        return version
-
-    def point(self, version: str) -> None:
-        """Make a complete version current: one atomic rename over the pointer."""
-        jvm, fs = self._fs()
-        new = jvm.org.apache.hadoop.fs.Path(f"{self.path}/.next-{version}")
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps({"version": version}) + "\n", "utf-8"))
-        out.close()
-        ctx = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        opts = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        opts[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        ctx.rename(new, jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT"), opts)
-
-
-def incremental_run(store: Store, current: DataFrame, process: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def incremental_run(store: Segments, current: DataFrame, process: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One run over ``records()``: only records added or changed since the last published run reach ``process``.
 
     ``process`` gets (part, key, status, value) and returns rows with ``part`` and
-    ``key``.  Rows of changed and removed records are replaced in the published
-    output; output, records and tree become current together, so a run that fails
-    anywhere leaves the last state, and the next run finds the same records again.
-    Returns the changes of this run.
+    ``key``.  The run writes one segment: the output and the records of what changed,
+    the keys that it replaces, and the leaf digests of the leaves that differ.  All
+    become current together, so a run that fails anywhere leaves the last state, and the
+    next run finds the same records again.  ``current`` is read once.  Returns the changes.
     """
-    tree = staged(leaves(current), "tree")
-    saved, saved_tree = store.read("records"), store.read("tree")
+    current = staged(current, "current")
+    tree, was = leaves(current), store.manifest()
+    saved, saved_tree = store.live("records", ["part", "key"], was), latest_tree(store, was)
     if saved is None:
         saved, saved_tree = current.limit(0), tree.limit(0)
-    changed = staged(changed_records(current, saved, current_tree=tree, saved_tree=saved_tree), "changed")
+    tree = staged(tree, "tree")
+    leaf = staged(differing_leaves(tree, saved_tree), "differing")
+    changed = staged(changed_records(current, saved, leaf=leaf), "changed")
     fresh = process(changed.where("status != 'removed'"))
-    old = store.read("output")
-    if old is not None:
-        c = changed.select(F.col("part").alias("__p"), F.col("key").alias("__k"))
-        kept = old.join(c, F.col("part").eqNullSafe(F.col("__p")) & F.col("key").eqNullSafe(F.col("__k")), "left_anti")
-        fresh = kept.unionByName(fresh)
-    store.publish(fresh, tree, current)
+    recs = current.join(changed.where("status != 'removed'").select(F.col("part").alias("__p"), F.col("key").alias("__k")),
+                        F.col("part").eqNullSafe(F.col("__p")) & F.col("key").eqNullSafe(F.col("__k")), "left_semi")
+    digests = leaf.join(tree, ["part", "leaf"], "left").select("part", "leaf", "digest", F.coalesce("n", F.lit(0)).alias("n"))
+    entry = store.add({"output": fresh, "records": recs, "tree": digests}, changed.where("status != 'added'").select("part", "key") if was else None)
+    now = was | {"segments": [*was.get("segments", []), entry]}
+    if len(now["segments"]) > MOST_SEGMENTS:
+        now |= {"segments": [store.add({"output": store.live("output", ["part", "key"], now), "records": store.live("records", ["part", "key"], now),
+                                        "tree": latest_tree(store, now)})]}
+    store.publish(now)
     return changed
+
+
+def latest_tree(store: Segments, manifest: dict | None = None) -> DataFrame | None:
+    """(part, leaf, digest, n) of the published state: the newest digest of each leaf; emptied leaves have none."""
+    rows = None
+    for i, entry in enumerate((manifest or store.manifest()).get("segments", [])):
+        one = store.part(entry, "tree").withColumn("seg", F.lit(i))
+        rows = one if rows is None else rows.unionByName(one)
+    if rows is None:
+        return None
+    return (rows.groupBy("part", "leaf").agg(F.max_by(F.struct("digest", "n"), "seg").alias("d"))
+                .select("part", "leaf", "d.digest", "d.n").where("n > 0"))

@@ -61,6 +61,35 @@ toks as (select file_id, path, {_TOK.format('path')} as tp, {_TOK.format("regexp
                 {_TOK.format("coalesce(content, '')")} as tc from corpus)"""
 
 
+#: The published stemming algorithm in SQL, over voc(term). A 'y' that is a vowel stands as 'Y' between the steps.
+_STEMS = r"""
+s0 as (select term, regexp_replace(regexp_replace(term, '^yy', 'yY'), '([^aeiouy])y', '\1Y', 'g') as w from voc where regexp_full_match(term, '[a-z]{3,}')),
+s1 as (select term, case when ends_with(w, 'sses') or ends_with(w, 'ies') then w[:-3] when ends_with(w, 'ss') then w when ends_with(w, 's') then w[:-2] else w end as w from s0),
+s2 as (select term, w, case when ends_with(w, 'eed') then null when ends_with(w, 'ed') then w[:-3] when ends_with(w, 'ing') then w[:-4] end as x from s1),
+s3 as (select term, case when ends_with(w, 'eed') then case when regexp_matches(w[:-4], '^[^aeiouY]*[aeiouY]+[^aeiouY]') then w[:-2] else w end
+        when x is null or not regexp_matches(x, '[aeiouY]') then w
+        when regexp_matches(x, '(at|bl|iz)$') then x || 'e'
+        when regexp_matches(x, '[^aeiouY]{2}$') and x[-1] = x[-2] and x[-1] not in ('l', 's', 'z') then x[:-2]
+        when regexp_matches(x, '[^aeiouY]{2}$') and x[-1] = x[-2] then x
+        when regexp_full_match(x, '[^aeiouY]*[aeiouY]+[^aeiouY]+[aeiouY]*') and regexp_matches(x, '[^aeiouY][aeiouY][^aeiouYwxy]$') then x || 'e' else x end as w from s2),
+s4 as (select term, case when regexp_matches(w, '[yY]$') and regexp_matches(w[:-2], '[aeiouY]') then w[:-2] || 'i' else w end as w from s3),
+s5 as (select term, w, regexp_extract(w, '(ational|tional|enci|anci|izer|abli|alli|entli|eli|ousli|ization|ation|ator|alism|iveness|fulness|ousness|aliti|iviti|biliti)$') as e from s4),
+s6 as (select term, case when e <> '' and regexp_matches(w[:len(w) - len(e)], '^[^aeiouY]*[aeiouY]+[^aeiouY]') then w[:len(w) - len(e)] || case e
+        when 'ational' then 'ate' when 'tional' then 'tion' when 'enci' then 'ence' when 'anci' then 'ance' when 'izer' then 'ize' when 'abli' then 'able' when 'alli' then 'al'
+        when 'entli' then 'ent' when 'eli' then 'e' when 'ousli' then 'ous' when 'ization' then 'ize' when 'ation' then 'ate' when 'ator' then 'ate' when 'alism' then 'al'
+        when 'iveness' then 'ive' when 'fulness' then 'ful' when 'ousness' then 'ous' when 'aliti' then 'al' when 'iviti' then 'ive' when 'biliti' then 'ble' end else w end as w from s5),
+s7 as (select term, w, regexp_extract(w, '(icate|ative|alize|iciti|ical|ful|ness)$') as e from s6),
+s8 as (select term, case when e <> '' and regexp_matches(w[:len(w) - len(e)], '^[^aeiouY]*[aeiouY]+[^aeiouY]') then w[:len(w) - len(e)] || case e
+        when 'icate' then 'ic' when 'alize' then 'al' when 'iciti' then 'ic' when 'ical' then 'ic' else '' end else w end as w from s7),
+s9 as (select term, w, regexp_extract(w, '(al|ance|ence|er|ic|able|ible|ant|ement|ment|ent|ion|ou|ism|ate|iti|ous|ive|ize)$') as e from s8),
+s10 as (select term, case when e <> '' and regexp_matches(w[:len(w) - len(e)], '^[^aeiouY]*[aeiouY]+[^aeiouY]+[aeiouY]+[^aeiouY]')
+        and (e <> 'ion' or regexp_matches(w, '[st]ion$')) then w[:len(w) - len(e)] else w end as w from s9),
+s11 as (select term, case when ends_with(w, 'e') and (regexp_matches(w[:-2], '^[^aeiouY]*[aeiouY]+[^aeiouY]+[aeiouY]+[^aeiouY]')
+        or regexp_matches(w[:-2], '^[^aeiouY]*[aeiouY]+[^aeiouY]') and not regexp_matches(w[:-2], '[^aeiouY][aeiouY][^aeiouYwxy]$')) then w[:-2] else w end as w from s10),
+s12 as (select term, case when ends_with(w, 'll') and regexp_matches(w, '^[^aeiouY]*[aeiouY]+[^aeiouY]+[aeiouY]+[^aeiouY]') then w[:-2] else w end as w from s11),
+stems as (select term, lower(w) as stem from s12 union all select term, term from voc where not regexp_full_match(term, '[a-z]{3,}'))"""
+
+
 def _bm25(terms, fields=("path", "filename", "content"), weighted: bool = True, name: str = "bm") -> str:
     col = {"path": ("tp", 5.0), "filename": ("tf", 10.0), "content": ("tc", 1.0)}
     same = lambda t, p: f"starts_with(x, '{t}')" if p else f"x = '{t}'"
@@ -394,44 +423,65 @@ def position_boost(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_EX + _FINAL)
 def search_combined(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(plans.search(sources.deliveries(spark, d), EXACT_QUERY, TOP))
+    return _flat(plans.search_index(plans.table_index(spark, d), EXACT_QUERY, TOP))
 
 
 @query(_search_sql(REGEX_QUERY, None, fusion.weights("regex"), "impl ").replace(_holds_sql("impl "), " and ".join(
     f"contains(content, '{g.decode()}')" for g in ngram_index.pattern_ngrams(REGEX_QUERY))) + _FINAL)
 def search_regex(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(plans.search(sources.deliveries(spark, d), REGEX_QUERY, TOP))
+    return _flat(plans.search_index(plans.table_index(spark, d), REGEX_QUERY, TOP))
 
 
 @query(_NL + _FINAL)
 def search_nl(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(plans.search(sources.deliveries(spark, d), NL_QUERY, TOP))
+    return _flat(plans.search_index(plans.table_index(spark, d), NL_QUERY, TOP))
+
+
+_VISIBLE_TOKENS = _TOKENS.replace("from corpus)", f"from (select *, regexp_extract(path, '[^/]*$') as name from corpus) where {_sensitive_sql()} is null)")
+_POSTS = """
+x as (select file_id, 5.0::double as fw, unnest(tp) as term from toks union all select file_id, 10.0, unnest(tf) from toks union all select file_id, 1.0, unnest(tc) from toks),
+len as (select file_id, (len(tp) + len(tf) + len(tc))::double as len from toks), st as (select count(*)::double as n, avg(len) as avg from len)"""
+_GAIN = "greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6::double) * f * 2.2::double / (f + 1.2::double * (0.25::double + 0.75::double * len / avg))"
 
 
-@query(f"""with {_TOKENS},
+@query(f"with {_TOKENS}, voc as (select distinct unnest(list_concat(tp, tf, tc)) as term from toks), {_STEMS} select * from stems")
+def fts_stems(spark: SparkSession, d: str) -> DataFrame:
+    """Stem of every distinct word of the corpus."""
+    return plans.stemmed(fts.tokenized(sources.deliveries(spark, d)).select(F.explode(F.array_distinct(F.concat("t_path", "t_filename", "t_content"))).alias("term")))
+
+
+@query(f"""with {_VISIBLE_TOKENS},{_POSTS}, voc as (select distinct term from x), {_STEMS},
+per as (select s.k, file_id, sum(fw) as f from x join stems using (term) join (values (1, 'harbor'), (2, 'magnet')) s(k, w) on starts_with(stem, w) group by 1, 2),
+df as (select k, count(*)::double as df from per group by 1),
+r as (select file_id, round(least(sum({_GAIN}) / 15, 1), 6) as score from per join df using (k) join len using (file_id), st group by 1 having count(*) = 2)
+select file_id, path, score from r join corpus using (file_id) order by score desc, path limit {TOP}""")
+def fts_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """Full-text search on the stored index: other forms of the words find the same files."""
+    return plans.search_index(plans.table_index(spark, d), "harboring magnets", TOP, "fts").select("file_id", "path", "score")
+
+
+@query(f"""with {_VISIBLE_TOKENS},{_POSTS},
 q as (select query_id, list_distinct(list_filter(string_split_regex(regexp_replace(query_text, '[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x5e\\x60\\x7b-\\x7f]+', ' ', 'g'), '\\s+'),
       lambda x: x <> '' and x not in ('AND', 'OR', 'NOT', 'NEAR'))) as ws from searches
       where not regexp_matches(trim(query_text), '[\\\\+?{{}}|^$\\[\\]]|\\.\\*|\\.\\+')),
 w1 as (select query_id, unnest(ws) as w from q),
 w2 as (select query_id, w, {_TOK.format('w')} as parts from w1),
 w3 as (select query_id, w, unnest(parts) as term, generate_subscripts(parts, 1) as i, len(parts) as n from w2),
-words as (select distinct query_id, term as word, strlen(w) >= 4 and i = n as prefix from w3),
+voc as (select distinct term from x union select term from w3), {_STEMS},
+words as (select distinct query_id, stem as word, strlen(w) >= 4 and i = n as prefix from w3 join stems using (term)),
 needs as (select query_id, count(*) as needs from words group by 1),
-x as (select file_id, 5.0::double as fw, unnest(tp) as term from toks union all select file_id, 10.0, unnest(tf) from toks union all select file_id, 1.0, unnest(tc) from toks),
-posts as (select term, file_id, sum(fw) as f from x group by 1, 2),
+posts as (select stem, file_id, sum(fw) as f from x join stems using (term) group by 1, 2),
 asked as (select distinct word, prefix from words),
-res as (select word, prefix, term from asked join (select distinct term from posts) v on case when prefix then starts_with(term, word) else term = word end),
-per as (select word, prefix, file_id, sum(f) as f from res join posts using (term) group by 1, 2, 3),
+res as (select word, prefix, stem from asked join (select distinct stem from posts) v on case when prefix then starts_with(stem, word) else stem = word end),
+per as (select word, prefix, file_id, sum(f) as f from res join posts using (stem) group by 1, 2, 3),
 df as (select word, prefix, count(*)::double as df from per group by 1, 2),
-len as (select file_id, (len(tp) + len(tf) + len(tc))::double as len from toks), st as (select count(*)::double as n, avg(len) as avg from len),
-g as (select word, prefix, file_id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6::double) * f * 2.2::double / (f + 1.2::double * (0.25::double + 0.75::double * len / avg)) as gain
-      from per join df using (word, prefix) join len using (file_id), st),
+g as (select word, prefix, file_id, {_GAIN} as gain from per join df using (word, prefix) join len using (file_id), st),
 tot as (select query_id, file_id, sum(gain) as bm25, count(*) as got from words join g using (word, prefix) group by 1, 2),
 r as (select query_id, file_id, round(least(bm25 / 15, 1), 6) as fts_score from tot join needs using (query_id) where got = needs),
 k as (select *, row_number() over (partition by query_id order by fts_score desc, file_id) as rank from r)
 select query_id, file_id, fts_score, rank from k where rank <= {TOP}""")
 def batch_search(spark: SparkSession, d: str) -> DataFrame:
-    return plans.batch_search(sources.files(spark, d), table(spark, d, "searches"), k=TOP)
+    return plans.batch_search(plans.table_index(spark, d), table(spark, d, "searches"), k=TOP)
 
 
 # ---- references and outlines -------------------------------------------------------------------------------------

@@ -5,6 +5,8 @@ one file id are delivered again, not other files, and collapse.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,15 @@ EXTENSIONS = (
 )
 
 
+@dataclass(frozen=True)
+class IndexConfig:
+    """Which files a walk delivers."""
+
+    include_hidden: bool = False
+    max_file_size: int = MAX_FILE_BYTES
+    extensions: tuple[str, ...] = EXTENSIONS
+
+
 def indexable(path: Column, extensions=EXTENSIONS) -> Column:
     """Whether the extension or the whole file name is on the list, case ignored."""
     name = F.lower(filename(path))
@@ -45,14 +56,16 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def walk(spark: SparkSession, root: str, *, include_hidden: bool = False, max_bytes: int = MAX_FILE_BYTES,
-         extensions=EXTENSIONS, ignored: tuple[str, ...] = ()) -> DataFrame:
+         extensions=EXTENSIONS, ignored: tuple[str, ...] = (), load: list[str] | None = None) -> DataFrame:
     """(path, content) of the readable UTF-8 files below a directory.
 
     Hidden files, files over the size limit, other extensions and paths matching one
     of the ``ignored`` SQL LIKE patterns are left out before their content is read;
-    content that is not UTF-8 is dropped.
+    content that is not UTF-8 is dropped.  ``load`` names the paths below ``root`` that are read instead of all.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if load is not None:
+        load = ["".join("\\" + c if c in "*?[]{}\\," else c for c in f"{root.rstrip('/')}/{p}") for p in load]
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root if load is None else load)
     path = F.regexp_replace("path", r"^file:(//)?", "")
     rows = raw.where(F.col("length") <= max_bytes).withColumn("path", path).where(indexable(F.col("path"), extensions))
     if not include_hidden:

@@ -18,6 +18,15 @@ def head(root: str) -> str:
     return _git(root, "rev-parse", "HEAD").strip()
 
 
+def head_or_none(root: str) -> str | None:
+    """The head commit if ``root`` lies below version control and has one."""
+    try:
+        done = subprocess.run(["git", "-C", root, "rev-parse", "--verify", "-q", "HEAD"], capture_output=True, text=True, timeout=120)
+    except OSError:
+        return None
+    return done.stdout.strip() or None if not done.returncode else None
+
+
 def is_ancestor(root: str, commit: str) -> bool:
     """Whether a commit is in the history of the current head; an unknown commit is not."""
     return subprocess.run(["git", "-C", root, "merge-base", "--is-ancestor", commit, "HEAD"], capture_output=True).returncode == 0

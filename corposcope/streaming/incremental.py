@@ -1,8 +1,8 @@
 """Incremental indexing from a stream of file versions.
 
 Each micro-batch holds (path, content, deleted, at) rows.  The newest row of a path
-wins inside a batch; the batch is merged with the current index and published as
-one version, so a batch that is replayed after a failure gives the same index.
+wins inside a batch; the batch becomes one segment of the index, whose size follows
+the batch.  A batch that is replayed after a failure finds its rows unchanged.
 """
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from corposcope.operators.indexing import IndexStore
+from corposcope.session import staged
 
 
 def newest(batch: DataFrame) -> DataFrame:
@@ -22,12 +23,9 @@ def newest(batch: DataFrame) -> DataFrame:
 
 def apply_batch(store: IndexStore, batch: DataFrame) -> dict[str, int]:
     """Merge one batch into the index and publish it."""
-    now = newest(batch)
-    old = store.read("files")
-    rows = now.where("not deleted and content is not null").select("path", "content")
-    if old is not None:
-        rows = old.select("path", "content").join(now, "path", "left_anti").unionByName(rows)
-    return store.write(rows.withColumn("hash", F.xxhash64("content")))
+    now = staged(newest(batch), "batch")
+    kept = "not deleted and content is not null"
+    return store.update(now.where(kept).select("path", "content", F.xxhash64("content").alias("hash")), now.where(f"not ({kept})").select("path"))
 
 
 def run(stream: DataFrame, store: IndexStore, checkpoint: str) -> StreamingQuery:

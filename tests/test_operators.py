@@ -5,9 +5,10 @@ from corposcope import formatting, metrics
 from corposcope.engine import Engine
 from corposcope.errors import FileNotIndexed, InvalidPattern, ToolError
 from corposcope.functions import regexq as rq
-from corposcope.operators import docops, fts, grep, indexing, merkle, ngram_index, outline, refs
+from corposcope.operators import docops, fts, grep, indexing, merkle, ngram_index, outline, refs, security
 from corposcope.operators.pending import pending_paths
 from corposcope.operators.prefix import ranks, running_sums
+from corposcope.operators.segments import Segments
 from corposcope.plans import search as plans
 from corposcope.sources import corpus as sources
 
@@ -126,16 +127,35 @@ def test_search_modes(corpus):
     assert plans.clamped(0) == 50 and plans.clamped(900) == 200
 
 
-def test_batch_equals_single(spark, corpus):
+@pytest.fixture(scope="module")
+def store(spark, corpus, tmp_path_factory):
+    made = indexing.IndexStore(spark, f"file://{tmp_path_factory.mktemp('index')}/i")
+    made.write(security.visible(corpus).withColumn("hash", F.xxhash64("content")), given_ids=True)
+    return made
+
+
+def test_indexed_search_equals_scan(corpus, store):
+    for q in ("Ledger", "self rows", r"fn \w+", "zzzz", "ledger two", r"Box\(\)", "is", "sum"):
+        scan = [(r["file_id"], r["score"], r["sources"]) for r in plans.search(corpus, q, 50).collect()]
+        assert [(r["file_id"], r["score"], r["sources"]) for r in plans.search_index(store, q, 50).collect()] == scan, q
+    assert [r["file_id"] for r in plans.search_index(store, "Ledger", 10, "grep").collect()] == [r["file_id"] for r in plans.search(corpus, "Ledger", 10, "grep").collect()]
+    assert plans.search_index(store, "(a+)+", 5).count() == 0
+    with pytest.raises(InvalidPattern):
+        plans.search_index(store, "(a+)+", 5, "grep")
+    with pytest.raises(ToolError):
+        plans.search_index(store, "x", 5, "other")
+
+
+def test_batch_equals_single(spark, corpus, store):
     queries = ["ledger", "self rows", "box", "a.*b", "", "open"]
     q = spark.createDataFrame(list(enumerate(queries)), "query_id long, query_text string")
-    got = plans.batch_search(corpus, q).collect()
+    got = plans.batch_search(store, q).collect()
     for i, text in enumerate(queries):
         mine = {r["file_id"]: r["fts_score"] for r in got if r["query_id"] == i}
         if text in ("a.*b", ""):
             assert mine == {}
         else:
-            one = {r["file_id"]: round(r["fts_score"], 6) for r in fts.search(corpus, text).collect()}
+            one = {r["file_id"]: r["score"] for r in plans.search_index(store, text, 50, "fts").collect()}
             assert mine == pytest.approx(one)
 
 
@@ -239,19 +259,23 @@ def test_merkle_changes(spark):
 
 
 def test_store_survives_a_crash(spark, tmp_path):
-    store = merkle.Store(spark, "file://" + str(tmp_path / "s"))
-    assert store.current() is None and store.read("output") is None
-    df = spark.createDataFrame([("r", "a", 1)], "root string, path string, hash long")
-    tree = merkle.leaves(merkle.records(df, "root", "path", "hash"))
-    first = store.publish(df, tree)
-    df.write.parquet(f"file://{tmp_path}/s/v-dead/output")  # a run that died before its pointer moved
-    assert store.current() == first and store.read("output").count() == 1
-    second = store.publish(df.union(df), tree)
-    assert store.current() == second != first and store.read("output").count() == 2 and store.read("tree").count() == 1
+    store = Segments(spark, "file://" + str(tmp_path / "s"))
+    assert store.manifest() == {} and store.live("t", ["k"]) is None
+    df = lambda *rows: spark.createDataFrame(rows, "k string, v int")
+    first = store.add({"t": df(("a", 1), ("b", 2), (None, 3))})
+    store.publish({"segments": [first]})
+    store.add({"t": df(("a", 9))})  # a run that died before its pointer moved
+    rows = lambda: {tuple(r) for r in store.live("t", ["k"]).collect()}
+    assert rows() == {("a", 1), ("b", 2), (None, 3)}
+    second = store.add({"t": df((None, 4), ("c", 5))}, df((None, 0), ("a", 0)).select("k"))
+    store.publish({"segments": [first, second]})
+    assert rows() == {("b", 2), (None, 4), ("c", 5)} and len(store.vacuum()) == 1 and rows() == {("b", 2), (None, 4), ("c", 5)}
+    store.publish(store.compacted(store.manifest(), ["k"]))
+    assert rows() == {("b", 2), (None, 4), ("c", 5)} and len(store.manifest()["segments"]) == 1
 
 
 def test_incremental_runs(spark, tmp_path):
-    store = merkle.Store(spark, "file://" + str(tmp_path / "inc"))
+    store = Segments(spark, "file://" + str(tmp_path / "inc"))
     frame = lambda rows: merkle.records(spark.createDataFrame(rows, "root string, path string, hash long"), "root", "path", "hash")
     calls = []
 
@@ -259,7 +283,7 @@ def test_incremental_runs(spark, tmp_path):
         calls.append({r["key"] for r in rows.collect()})
         return rows.select("part", "key", (F.col("value") * 10).alias("out"))
 
-    state = lambda: {(r["key"], r["out"]) for r in store.read("output").collect()}
+    state = lambda: {(r["key"], r["out"]) for r in store.live("output", ["part", "key"]).collect()}
     first = [("r", f"p{i}", i) for i in range(300)]
     merkle.incremental_run(store, frame(first), process)
     assert len(calls[-1]) == 300 and state() == {(f"p{i}", 10 * i) for i in range(300)}
@@ -276,6 +300,12 @@ def test_incremental_runs(spark, tmp_path):
     assert state() == {(k, 10 * v) for _, k, v in second}
     merkle.incremental_run(store, frame(second), process)
     assert calls[-1] == set() and state() == {(k, 10 * v) for _, k, v in second}
+    for i in range(14):  # more runs than segments may stand beside each other
+        merkle.incremental_run(store, frame(second + [("q", "grow", i)]), process)
+        assert calls[-1] == {"grow"}
+    assert state() == {(k, 10 * v) for _, k, v in second} | {("grow", 130)} and len(store.manifest()["segments"]) < 13
+    tree = merkle.leaves(frame(second + [("q", "grow", 13)]))
+    assert {tuple(r) for r in merkle.latest_tree(store).collect()} == {tuple(r) for r in tree.select("part", "leaf", "digest", "n").collect()}
 
 
 def _pending(spark, files, scan, diffs, runs):
@@ -325,7 +355,7 @@ def test_engine_life_cycle(spark, tmp_path):
     with pytest.raises(ToolError):
         e.corpus()
     assert e.index(commit="c1") == {"processed": 2, "indexed": 2, "unchanged": 0, "deleted": 0}
-    assert e.store.metadata() == {"version": "3", "last_indexed_commit": "c1"}
+    assert e.store.metadata() == {"version": indexing.SCHEMA_VERSION, "last_indexed_commit": "c1", "dirty": [], "files": 2, "tokens": e.store.read("lengths").agg(F.sum("length")).first()[0], "last_id": 2, "dead": 0}
     ids = {r["path"]: r["file_id"] for r in e.corpus().collect()}
     (root / "src/a.rs").write_text("fn alpha() {\n    gamma();\n}\n")
     (root / "src/c.go").write_text("package c\n")
@@ -333,7 +363,7 @@ def test_engine_life_cycle(spark, tmp_path):
     assert e.index() == {"processed": 2, "indexed": 2, "unchanged": 0, "deleted": 1}
     now = {r["path"]: r["file_id"] for r in e.corpus().collect()}
     assert now[f"{root}/src/a.rs"] == ids[f"{root}/src/a.rs"] and f"{root}/src/b.py" not in now and now[f"{root}/src/c.go"] > max(ids.values())
-    fresh = fts.postings(e.corpus())
+    fresh = fts.posting_rows(e.corpus()).where("term is not null")
     kept = e.store.read("postings").select(*fresh.columns)
     assert fresh.exceptAll(kept).count() == 0 and kept.exceptAll(fresh).count() == 0
     assert [r["path"] for r in e.search("gamma").collect()] == [f"{root}/src/a.rs"]
@@ -371,6 +401,6 @@ def test_metrics_and_formats(spark):
     row = metrics.output_metrics(spark.range(1), F.lit(1022), F.lit(4), F.lit(2)).first()
     assert row["tokens"] == 256 and row["density"] == pytest.approx(7.8125) and row["per_kb"] == pytest.approx(4 / 1022 * 1024)
     assert formatting.truncated("abc") == "abc" and formatting.truncated("ab,cd", 4).startswith("ab\n")
-    assert formatting.search([{"path": "p", "score": 0.5, "sources": "fg", "snippets": [{"line_no": 3, "line": "x"}]}], True) == "p  (0.50 · fts+grep)\n      3│ x\n... more results available"
+    assert formatting.search([{"path": "p", "score": 0.5, "sources": "fg", "snippets": [{"line_no": 3, "line": "x"}]}], True) == "p  (0.50 · fts+grep)\n      3│ x\n(more files match)"
     assert "definition" in formatting.references([{"path": "p", "ref_type": "definition", "line_no": 1, "content": "c"}])
     assert formatting.to_json(spark.createDataFrame([(1, None)], "a int, b string")).first()[0] == '{"a":1}'
