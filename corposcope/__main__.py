@@ -10,10 +10,10 @@ from corposcope import formatting
 from corposcope.errors import EngineError
 
 
-def default_index(root: str) -> str:
-    """Index location of a workspace: the user's cache directory and a hash of the root."""
+def default_index(root: str, shared: str | None = None) -> str:
+    """Index location of a workspace: a hash of the root below the folder that the cluster shares, else below the user's cache."""
     base = os.environ.get("XDG_CACHE_HOME") or os.path.expanduser("~/.cache")
-    return f"file://{base}/corposcope/{hashlib.sha256(os.path.realpath(root).encode()).hexdigest()[:16]}"
+    return f"{shared.rstrip('/') if shared else f'file://{base}'}/corposcope/{hashlib.sha256(os.path.realpath(root).encode()).hexdigest()[:16]}"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -94,7 +94,7 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("corposcope").getOrCreate()
     try:
         with measured(a.command) as notes:
-            text, code = run(Engine(spark, a.index or default_index(root), root), a)
+            text, code = run(Engine(spark, a.index or default_index(root, spark.conf.get("spark.checkpoint.dir", None)), root), a)
             notes["bytes"] = len(text.encode())
     except EngineError as e:
         print(f"{e.code}: {e}", file=sys.stderr)

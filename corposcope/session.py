@@ -51,10 +51,23 @@ def purge(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(_stage_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _kept.clear()
 
 
 def _stage_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/stage-{spark.sparkContext.applicationId}"
+    """Folder of the application's staged tables; the file system client deletes it when the driver ends."""
+    path = f"{shared_dir(spark)}/stage-{spark.sparkContext.applicationId}"
+    if path not in _kept:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _kept.add(path)
+    return path
+
+
+_kept: set[str] = set()
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -64,7 +77,11 @@ def parallelism(spark: SparkSession) -> int:
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin an input of fewer scan tasks than cores, for work that costs more than moving the rows.
 
-    Only inputs of a few blocks have so few tasks; a large input is left where it is.
+    Only inputs of a few blocks have so few tasks; a large input is left where it is, and
+    so is one that comes from an exchange, whose tasks are Spark's to choose.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "AdaptiveSparkPlan" in plan:  # counting its tasks could run its stages
+        return df
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
