@@ -129,7 +129,11 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
-    return np.frombuffer(column.cast(pa.large_binary()).buffers()[2], np.uint8)[column.offset * width:][:n * width].reshape(n, width) if n else np.zeros((0, width), np.uint8)
+    if not n:
+        return np.zeros((0, width), np.uint8)
+    wide = column.cast(pa.large_binary())
+    at = int(np.frombuffer(wide.buffers()[1], np.int64)[wide.offset])
+    return np.frombuffer(wide.buffers()[2], np.uint8)[at:at + n * width].reshape(n, width)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:

@@ -646,6 +646,25 @@ def test_languages(spark, network):
         langid.fit(df.where("doc_id = 8"))
 
 
+def test_segment_borders(spark, network):
+    """Borders between sentences of two languages: at least nine tenths are found, and few others."""
+    rng = random.Random(9)
+    docs, truth = [], set()
+    for i in range(60):
+        text, at, last = "", 0, None
+        for _ in range(6):
+            y = rng.choice(list(TEXT))
+            t = rng.choice(TEXT[y]) + ". "
+            if last not in (None, y):
+                truth.add((i, len(text.encode())))
+            last = y
+            text += t
+        docs.append((i, text))
+    rows = langid.segments(spark.createDataFrame(docs, "doc_id long, text string"), network).collect()
+    found = {(r["doc_id"], r["begin"]) for r in rows if r["segment"] > 0}
+    assert len(found & truth) >= 0.9 * len(truth) and len(found & truth) >= 0.9 * len(found)
+
+
 def test_long_words_are_read_whole():
     text = "ab " + "donaudampfschifffahrtselektrizit" + "ä" * 40 + "tenhauptbetriebswerk" + " cd"
     raw = np.frombuffer(text.encode(), np.uint8)
