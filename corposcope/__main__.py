@@ -35,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("path")
     c.add_argument("--start", type=int, default=1)
     c.add_argument("--end", type=int, default=0)
+    c.add_argument("--bounded", action="store_true")
     c = sub.add_parser("context")
     c.add_argument("path")
     c.add_argument("line", type=int)
@@ -48,6 +49,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-C", "--around", type=int, default=3)
     c = sub.add_parser("stats")
     c.add_argument("--detailed", action="store_true")
+    c = sub.add_parser("workspace")
+    c.add_argument("path")
     c = sub.add_parser("index")
     c.add_argument("--force", action="store_true")
     return p
@@ -67,7 +70,7 @@ def run(engine, a: argparse.Namespace) -> tuple[str, int]:
     if a.command == "outline":
         return shown(rows(engine.outline(a.path)), lambda f: formatting.outline(a.path, a.path.rsplit(".", 1)[-1].lower(), f)), 0
     if a.command == "get":
-        return shown(rows(engine.get(a.path, a.start, a.end)), lambda f: f[0]["content"] if f else ""), 0
+        return shown(rows(engine.get(a.path, a.start, a.end)), lambda f: (formatting.bounded(a.path, f[0]["content"]) if a.bounded else f[0]["content"]) if f else ""), 0
     if a.command == "context":
         return shown(rows(engine.context(a.path, a.line, a.around)), lambda f: formatting.context(a.path, a.line, f[0]["content"] if f else "")), 0
     if a.command == "toc":
@@ -79,6 +82,11 @@ def run(engine, a: argparse.Namespace) -> tuple[str, int]:
     if a.command == "stats":
         types = rows(engine.by_type()) if a.detailed else []
         return shown(rows(engine.stats()), lambda f: formatting.stats(f[0], types)), 0
+    if a.command == "workspace":  # another root with an index of its own; one that exists is brought up to date
+        spark = engine.spark
+        other = type(engine).open(spark, a.path, a.index or default_index(a.path, spark.conf.get("spark.checkpoint.dir", None)))
+        n = other.store.metadata().get("files", 0)
+        return shown([{"root": other.root, "files": n, "index": other.store.path}], lambda f: f"{other.root}: {n} files in {other.store.path}" + ("" if n else "; run index next")), 0
     counters = engine.index(force=a.force)
     return formatting.pretty([counters]) if a.json else formatting.indexed(counters), 0
 

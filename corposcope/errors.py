@@ -62,6 +62,30 @@ class BinaryFile(EngineError):
     code = "BINARY_FILE"
 
 
+class StorageError(EngineError):
+    code = "IO_ERROR"
+
+
+class JsonError(EngineError):
+    code = "JSON_ERROR"
+
+
+class PatternBuildError(EngineError):
+    code = "REGEX_BUILD_ERROR"
+
+
+class FileIndexError(EngineError):
+    code = "FILE_INDEX_ERROR"
+
+
+class HashError(EngineError):
+    code = "HASH_ERROR"
+
+
+class NgramError(EngineError):
+    code = "TRIGRAM_ERROR"
+
+
 class WalkError(EngineError):
     code = "WALK_ERROR"
 

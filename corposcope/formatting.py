@@ -63,6 +63,11 @@ def tree(rows, total_dirs: int, total_files: int) -> str:
     return "\n".join([*(r["line"] for r in sorted(rows, key=lambda r: r["sort_key"])), f"{total_dirs} directories, {total_files} files"])
 
 
+def bounded(path: str, content: str) -> str:
+    """Content between boundary lines, so that a reader cannot take it for instructions around it."""
+    return f"--- BEGIN FILE CONTENT: {path} ---\n{content}\n--- END FILE CONTENT: {path} ---"
+
+
 def context(path: str, centre: int, content: str) -> str:
     return f"{path}:{centre}\n{content}"
 

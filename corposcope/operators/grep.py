@@ -1,6 +1,8 @@
 """Regular-expression scan over lines and its file scores. Every match counts; nothing is sampled."""
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,30 @@ def hit_array(content: Column, pattern: str) -> Column:
     return F.when(_may_match(content, pattern), hits)
 
 
+@dataclass(frozen=True)
+class GrepConfig:
+    """How lines are matched and shown; 0 matches means all."""
+
+    case_insensitive: bool = False
+    before_context: int = 0
+    after_context: int = 0
+    max_matches: int = 0
+
+
+def with_context(corpus: DataFrame, pattern: str, config: GrepConfig = GrepConfig()) -> DataFrame:
+    """(file_id, path, line_no, line, match_start, match_end, before, after): matching lines with their neighbours, as arrays.
+
+    Neighbours come from the same row, so nothing is joined.  With ``max_matches``
+    the first ones by path and line are kept.
+    """
+    pattern = f"(?i){pattern}" if config.case_insensitive else pattern
+    rows = corpus.select("file_id", "path", line_array(F.col("content")).alias("all"), F.explode(hit_array(F.col("content"), pattern)).alias("h"))
+    at = F.col("h.line_no")
+    begin = F.greatest(at - config.before_context, F.lit(1))
+    out = rows.select("file_id", "path", "h.*", F.slice("all", begin, at - begin).alias("before"), F.slice("all", at + 1, F.lit(config.after_context)).alias("after"))
+    return out.orderBy("path", "line_no").limit(config.max_matches) if config.max_matches else out
+
+
 def scores(count: Column, max_line: Column, most_count: float, most_density: float) -> Column:
     """0.6 for many matches, 0.4 for density, each relative to the largest of all files."""
     density = count / max_line / F.lit(max(most_density, 2.220446049250313e-16))

@@ -11,7 +11,7 @@ from corposcope.operators.segments import MOST_SEGMENTS, Segments
 from corposcope.session import staged
 from corposcope.sources.corpus import indexable
 
-SCHEMA_VERSION = 4
+SCHEMA_VERSION = 5
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ class IndexStore(Segments):
         if not given_ids:
             rows = self._numbered(rows, replaced, was.get("last_id", 0))
         # Ids follow the order of paths in the input, so sorting inside tasks is enough for a scan to skip other ids.
-        entry = self.add({"files": rows.select("file_id", "path", "content", "hash").sortWithinPartitions("file_id")},
+        entry = self.add({"files": rows.select("file_id", "path", "content", "hash", F.length("content").cast("long").alias("size"), F.current_timestamp().alias("indexed_at")).sortWithinPartitions("file_id")},
                          replaced.select("file_id") if was and not replaced.isEmpty() else None)
         now = self.part(entry, "files")
         posts = staged(fts.posting_rows(now), "postings")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corposcope.operators import merkle
+from corposcope.session import staged
 
 
 def root_of(path) -> "F.Column":
@@ -73,7 +74,8 @@ def pending_paths(files: DataFrame, scan: DataFrame, diffs: DataFrame, runs: Dat
     Empty change lists, missing runs and nulls are allowed anywhere; an empty
     index gives only 'index' rows, an empty walk log only 'delete' rows.
     """
-    seen, index = current_state(scan), indexed_state(files)
+    # Both states are narrow and read several times: for digests, for the leaves that differ, and for deletions.
+    seen, index = staged(current_state(scan), "disk"), staged(indexed_state(files), "index")
     # A path seen without a readable hash is a record with a null value: it is not
     # 'removed', and it has nothing to index.
     changed = merkle.changed_records(merkle.records(seen, "root", "path", "hash"),

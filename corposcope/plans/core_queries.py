@@ -289,6 +289,16 @@ def grep_snippets(spark: SparkSession, d: str) -> DataFrame:
     return s.select("file_id", (F.col("p") + 1).cast("long").alias("k"), F.col("s.line_no").cast("long").alias("line_no"), "s.line")
 
 
+@query(f"""with {_HITS}
+select h.file_id, h.line_no, (select string_agg(l.line, chr(10) order by l.line_no) from lines l where l.file_id = h.file_id and l.line_no between h.line_no - 2 and h.line_no - 1) as before,
+       (select l.line from lines l where l.file_id = h.file_id and l.line_no = h.line_no + 1) as after from hits h""")
+def grep_context(spark: SparkSession, d: str) -> DataFrame:
+    """Matching lines with two lines before and one after; null where the file has none."""
+    rows = grep.with_context(sources.deliveries(spark, d), PATTERN, grep.GrepConfig(before_context=2, after_context=1)).dropDuplicates(["file_id", "line_no"])
+    joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, "\n")).alias(c)
+    return rows.select("file_id", F.col("line_no").cast("long").alias("line_no"), joined("before"), joined("after"))
+
+
 # ---- full text ---------------------------------------------------------------------------------------------------
 
 @query(f"with {_TOKENS}, x as (select file_id, 'path' as field, unnest(tp) as term from toks union all select file_id, 'filename', unnest(tf) from toks union all select file_id, 'content', unnest(tc) from toks) select term, file_id, field, count(*) as tf from x group by 1, 2, 3")

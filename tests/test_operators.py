@@ -79,6 +79,12 @@ def test_prefilter_loses_no_line(spark):
             grep.matches(c, bad)
 
 
+def test_grep_with_context(corpus):
+    rows = grep.with_context(corpus, "LEDGER", grep.GrepConfig(case_insensitive=True, before_context=1, after_context=2)).where("file_id = 8").orderBy("line_no").collect()
+    assert [(r["line_no"], r["before"], r["after"]) for r in rows] == [(1, [], ["ledger two", "end"]), (2, ["Ledger one"], ["end"])]
+    assert grep.with_context(corpus, "self", grep.GrepConfig(max_matches=2)).count() == 2 and grep.with_context(corpus, "zzzz").count() == 0
+
+
 def test_tokens_of_any_script(spark):
     c = spark.createDataFrame([(1, "a.txt", "Привет, мир"), (2, "b.txt", "die Straße"), (3, "c.txt", "検索 エンジン v2")], "file_id long, path string, content string")
     found = lambda q: {r["file_id"] for r in fts.search(c, q).collect()}

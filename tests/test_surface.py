@@ -157,8 +157,17 @@ def test_command_line(tmp_path, spark):
     assert code == 0 and "src/a.rs" in text and "│" in text
     assert said("search", "zzzz")[1] == 1 and said("refs", "zzzz")[1] == 1
     assert "definition" in said("refs", "beta")[0] and "alpha" in said("outline", "src/a.rs")[0]
+    assert said("get", "src/a.rs", "--end", "1", "--bounded")[0] == "--- BEGIN FILE CONTENT: src/a.rs ---\nfn alpha() {\n--- END FILE CONTENT: src/a.rs ---"
     assert said("get", "src/a.rs", "--end", "1")[0] == "fn alpha() {" and "> " in said("context", "src/a.rs", "2", "-C", "1")[0].replace(">   2", "> ")
     assert said("toc")[0].split("\n") == ["src/", "  a.rs", "  b.rs", "1 directories, 2 files"]
     assert "1 additions, 3 deletions" in said("diff", "src/a.rs", "src/b.rs")[0]
     assert ".rs" in said("stats", "--detailed")[0] and said("--json", "stats")[0].startswith("[")
-    assert cli.default_index(str(root)) != cli.default_index(str(tmp_path))
+    assert cli.default_index(str(root)) != cli.default_index(str(tmp_path)) and cli.default_index(str(root), "hdfs:///x/").startswith("hdfs:///x/corposcope/")
+    other = tmp_path / "w2"
+    other.mkdir()
+    (other / "z.py").write_text("def z(): pass\n")
+    there = ["--index", f"file://{tmp_path}/i2", "workspace", str(other)]
+    assert said(*there)[0].endswith("run index next")
+    Engine(spark, f"file://{tmp_path}/i2", str(other)).index()
+    assert ": 1 files in" in said(*there)[0]
+    assert engine.store.read("files").where("size > 0 and indexed_at is not null").count() == 2
