@@ -27,6 +27,7 @@ from corposcope.session import staged
 
 SPARSE = 4096  #: offsets beyond this many take more room than the bits
 FLUSH = 2_000_000  #: ids a task holds before it emits containers
+OPEN = 1000  #: rows of an unfinished group that are held, at most 8 KB each
 CELL = pa.schema([("term", pa.string()), ("block", pa.int64()), ("occ", pa.int64()),
                   ("n", pa.int32()), ("bits", pa.binary())])
 CELL_DDL = "term string, block long, occ long, n int, bits binary"
@@ -40,6 +41,14 @@ def _pack(low: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def _packed(low: np.ndarray, start: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Containers of the ranges [start, ends) of ``low``, which follow each other; offsets stay where they lie."""
+    if start.size and (ends - start).max() <= SPARSE and low.size < 1 << 30:
+        edge = np.r_[start, ends[-1]].astype(np.int32) * 2
+        return pa.Array.from_buffers(pa.binary(), start.size, [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(low, "<u2"))])
+    return pa.array([_pack(low[a:b]) for a, b in zip(start, ends)], pa.binary())
+
+
 def _unpack(n: int, raw: bytes) -> np.ndarray:
     if n <= SPARSE:
         return np.frombuffer(raw, "<u2")
@@ -61,11 +70,10 @@ def _cells(codes: np.ndarray, ids: np.ndarray, names: list) -> Iterator[pa.Recor
     ends = np.r_[start[1:], codes.size]
     low = (ids & 0xFFFF).astype("<u2")
     occ = np.add.reduceat(times, start)
-    raw = [_pack(low[a:b]) for a, b in zip(start, ends)]
-    term = [None if c < 0 else names[c] for c in codes[start]]
+    code = codes[start]
+    term = pa.array(names, pa.string()).take(pa.array(np.maximum(code, 0), mask=code < 0)) if names else pa.nulls(start.size, pa.string())
     cells = pa.RecordBatch.from_arrays(
-        [pa.array(term, pa.string()), pa.array(block[start]), pa.array(occ),
-         pa.array((ends - start).astype(np.int32)), pa.array(raw, pa.binary())], schema=CELL)
+        [term, pa.array(block[start]), pa.array(occ), pa.array((ends - start).astype(np.int32)), _packed(low, start, ends)], schema=CELL)
     for i in range(0, cells.num_rows, 20_000):
         yield cells.slice(i, 20_000)
 
@@ -111,64 +119,82 @@ def build_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _union(rows: pa.Table) -> pa.RecordBatch:
+    """Complete groups of equal (term, block), neighbours of each other -> one container for each."""
+    rows = rows.combine_chunks()
+    term, block, occ, n, raw = (rows.column(k).combine_chunks() if rows.column(k).num_chunks != 1 else rows.column(k).chunk(0) for k in range(5))
+    begin = np.flatnonzero(_first_of_group(term, block))
+    count = n.to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.r_[begin[1:], count.size]
+    group = np.repeat(np.arange(begin.size), ends - begin)
+    total = np.add.reduceat(occ.to_numpy(zero_copy_only=False), begin)
+    dense = np.zeros(begin.size, bool)
+    dense[group[count > SPARSE]] = True
+    # Offsets of all other groups at once: sorted without repeats by group and offset.
+    few = np.flatnonzero(~dense[group])
+    part = raw.take(pa.array(few)).cast(pa.large_binary())
+    edge = np.frombuffer(part.buffers()[1], np.int64)[part.offset:part.offset + few.size + 1] if few.size else np.zeros(1, np.int64)
+    data = np.frombuffer(part.buffers()[2], "<u2")[edge[0] // 2:edge[-1] // 2] if few.size and edge[-1] > edge[0] else np.zeros(0, "<u2")
+    both = np.unique(np.repeat(group[few].astype(np.int64), count[few]) << 16 | data)
+    size = np.bincount(both >> 16, minlength=begin.size)
+    low = (both & 0xFFFF).astype("<u2")
+    at = np.cumsum(size) - size
+    if not dense.any():
+        cells = _packed(low, at, at + size)
+    else:
+        parts = []
+        for g in range(begin.size):
+            if not dense[g]:
+                parts.append(_pack(low[at[g]:at[g] + size[g]]))
+                continue
+            bits = np.zeros(8192, np.uint8)
+            for i in range(begin[g], ends[g]):
+                if count[i] > SPARSE:
+                    bits |= np.frombuffer(raw[i].as_py(), np.uint8)
+                else:
+                    one = np.unpackbits(bits, bitorder="little")
+                    one[np.frombuffer(raw[i].as_py(), "<u2")] = 1
+                    bits = np.packbits(one, bitorder="little")
+            found = np.flatnonzero(np.unpackbits(bits, bitorder="little"))
+            size[g] = found.size
+            parts.append(_pack(found.astype(np.uint16)))
+        cells = pa.array(parts, pa.binary())
+    first = pa.array(begin)
+    return pa.RecordBatch.from_arrays([term.take(first), block.take(first), pa.array(total), pa.array(size.astype(np.int32)), cells], schema=CELL)
+
+
+def _first_of_group(term: pa.Array, block: pa.Array) -> np.ndarray:
+    code = term.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    b = block.to_numpy(zero_copy_only=False)
+    return np.r_[True, (code[1:] != code[:-1]) | (b[1:] != b[:-1])]
+
+
 def merge_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union of containers that arrive sorted by (term, block); one container is open at a time."""
-    key, occ, sparse, held, dense = None, 0, [], 0, None
-    out: list[tuple] = []
-
-    def fold():
-        nonlocal sparse, held
-        sparse = [np.unique(np.concatenate(sparse))]
-        held = sparse[0].size
-
-    def close():
-        if len(sparse) > 1:
-            fold()
-        low = sparse[0] if sparse else np.zeros(0, "<u2")
-        if dense is not None:
-            bits = np.unpackbits(dense, bitorder="little")
-            bits[low] = 1
-            low = np.flatnonzero(bits).astype(np.uint16)
-        out.append((key[0], key[1], occ, low.size, _pack(low)))
-
-    def batch_of(rows):
-        cols = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, CELL)], schema=CELL)
+    """Union of containers that arrive sorted by (term, block).
+
+    Complete groups of a batch are united together; the last group stays open, and what it
+    holds is united whenever it has grown to ``OPEN`` rows, so its size does not follow its length.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def key(batch, i):
+        return batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
 
     for batch in batches:
-        terms, blocks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        occs, ns, raws = (batch.column(k).to_pylist() for k in (2, 3, 4))
-        for i in range(len(terms)):
-            k = (terms[i], blocks[i])
-            nxt = (terms[i + 1], blocks[i + 1]) if i + 1 < len(terms) else None
-            if k != key:
-                if key is not None:
-                    close()
-                key, occ, sparse, held, dense = None, 0, [], 0, None
-                if nxt is not None and nxt != k:  # met once: nothing to merge
-                    out.append((*k, occs[i], ns[i], raws[i]))
-                    continue
-                key = k
-            occ += occs[i]
-            if ns[i] > SPARSE:  # bits are united in place, offsets when enough have come together
-                part = np.frombuffer(raws[i], np.uint8)
-                dense = part.copy() if dense is None else np.bitwise_or(dense, part, out=dense)
-            else:
-                sparse.append(np.frombuffer(raws[i], "<u2"))
-                held += ns[i]
-                if held > 4 * SPARSE and len(sparse) > 1:
-                    fold()
-                    if held > SPARSE:
-                        part = np.frombuffer(_pack(sparse[0]), np.uint8)
-                        dense = part.copy() if dense is None else np.bitwise_or(dense, part, out=dense)
-                        sparse, held = [], 0
-        if len(out) >= 20_000:
-            yield batch_of(out)
-            out = []
-    if key is not None:
-        close()
-    if out:
-        yield batch_of(out)
+        if not batch.num_rows:
+            continue
+        if held and key(held[0], 0) != key(batch, 0):
+            yield _union(pa.Table.from_batches(held))
+            held = []
+        last = int(np.flatnonzero(_first_of_group(batch.column(0), batch.column(1)))[-1])
+        if last:
+            yield _union(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = []
+        held.append(batch.slice(last))
+        if sum(b.num_rows for b in held) > OPEN:
+            held = [_union(pa.Table.from_batches(held))]
+    if held:
+        yield _union(pa.Table.from_batches(held))
 
 
 def merged_cells(rows: DataFrame, term: str, ids: str) -> DataFrame:

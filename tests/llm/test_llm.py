@@ -251,7 +251,10 @@ def test_containers_merge_by_union(parts, size):
     kinds = (lambda s: np.arange(s, s + 30), lambda s: np.arange(s, 60000, 11), lambda s: np.arange(s, 65536, 4))  # few, many, dense
     rows = sorted(((t, b, 2, (low := kinds[k](s).astype(np.uint16)).size, termfreq._pack(low), set(low.tolist())) for t, b, k, s in parts), key=lambda r: (r[0] or "", r[1]))
     batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], f.type) for i, f in enumerate(termfreq.CELL)], schema=termfreq.CELL)
+    monkeypatch = pytest.MonkeyPatch()
+    monkeypatch.setattr(termfreq, "OPEN", 2)
     got = [tuple(x.as_py() for x in r) for b in termfreq.merge_cells(batch(rows[i:i + size]) for i in range(0, len(rows), size)) for r in zip(*b.columns)]
+    monkeypatch.undo()
     want = {}
     for t, b, o, _, _, ids in rows:
         was = want.get((t, b), (0, set()))
