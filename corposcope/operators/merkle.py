@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from corposcope.operators.segments import MOST_SEGMENTS, Segments
 from corposcope.session import staged
 
-LEVELS, BITS = 2, 6  #: 64 children a node, 64**2 leaves for each partition
+LEVELS, BITS = 3, 6  #: 64 children a node, 64**3 leaves for each partition
 
 
 def records(df: DataFrame, partition: str, key: str, value: str) -> DataFrame:
