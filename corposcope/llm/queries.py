@@ -179,11 +179,19 @@ def p7_planted(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(spark.createDataFrame(PLANTED_DOCS, "doc_id long, text string"), spark.createDataFrame(PLANTED_ITEMS, "item_id long, item_text string"))
 
 
+def p8_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of three sources of known size, one of which cannot reach its share."""
+    docs = [(i, s, "hello world") for i, s in enumerate(["alpha"] * 40 + ["beta"] * 50 + ["gamma"] * 10)]
+    targets = spark.createDataFrame([("alpha", 0.5, 2), ("beta", 0.3, 4), ("gamma", 0.2, 1)], "source string, target_share double, max_repeats int")
+    rows = mixing.report(*mixing.prepare(spark.createDataFrame(docs, "doc_id long, source string, text string"), targets))
+    return rows.select("source", "tokens", F.round("rate", 5).alias("rate"), F.round("expected_share", 5).alias("share"), "out_of_reach")
+
+
 QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p1_subtrees": p1_subtrees, "p1_planted": p1_planted, "p2_found": p2_found, "p2_redacted": p2_redacted, "p2_key_paths": p2_key_paths, "p2_planted": p2_planted,
            "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p5_found": p5_found, "p5_ranking": p5_ranking,
            "p6_found": p6_found, "p6_classes": p6_classes,
            "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_planted": p7_planted,
-           "p8_found": p8_found, "p8_report": p8_report, "p8_mixture": p8_mixture, "p8_actual_shares": p8_actual_shares,
+           "p8_found": p8_found, "p8_report": p8_report, "p8_planted": p8_planted, "p8_mixture": p8_mixture, "p8_actual_shares": p8_actual_shares,
            "p9_found": p9_found, "p9_documents": p9_documents, "p9_segments": p9_segments}
 
 _DF = """
@@ -233,6 +241,9 @@ p as (select a, b from c join n x on x.file_id = a join n y on y.file_id = b whe
 
 ORACLE = {
     "p1_subtrees": _subtrees_sql(),
+    # Of 200 tokens gamma gives its 20 once; the other 180 are shared in proportion to 0.5 and 0.3.
+    "p8_planted": """select source, tokens::bigint as tokens, rate::double as rate, share::double as share, out_of_reach from (values
+ ('alpha', 80, 1.40625, 0.5625, false), ('beta', 100, 0.675, 0.3375, false), ('gamma', 20, 1.0, 0.1, true)) as t(source, tokens, rate, share, out_of_reach)""",
     "p1_planted": """select file_id::bigint as file_id, reason from (values (1, 'vendored'), (2, 'vendored'), (3, 'vendored'), (4, 'vendored'), (11, 'vendored'), (12, 'vendored'), (13, 'vendored'), (14, 'vendored'),
  (30, 'header'), (31, 'minified'), (32, 'lock'), (33, 'data')) as t(file_id, reason)""",
     "p2_planted": """select file_id::bigint as file_id, line_no::bigint as line_no from (values (1, 1), (2, 3), (3, 2), (3, 3), (4, 6), (5, 2), (6, 2), (7, 1), (8, 1), (9, 2)) as t(file_id, line_no)""",
