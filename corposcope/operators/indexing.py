@@ -92,12 +92,14 @@ class IndexStore(Segments):
         """
         was = self.manifest() if self.usable() and not force else {}
         files = files.where(indexable(F.col("path"))) if not given_ids else files
-        before = self._known(was)
+        before, state = self._known(was), {"last_indexed_commit": last_commit, "dirty": list(dirty)}
+        if not was:  # nothing to compare with, so the text is not read for that
+            n = self._apply(was, files, before, state, given_ids)
+            return {"processed": n, "indexed": n, "unchanged": 0, "deleted": 0}
         change = staged(changes(before, files), "change")
         counters = run_counters(change).first().asDict()
         touched = change.where("status in ('added', 'changed')").select("path")
-        self._apply(was, files.join(touched, "path", "left_semi") if was else files, before.join(change.where("status in ('changed', 'deleted')"), "path", "left_semi"),
-                    {"last_indexed_commit": last_commit, "dirty": list(dirty)}, given_ids)
+        self._apply(was, files.join(touched, "path", "left_semi"), before.join(change.where("status in ('changed', 'deleted')"), "path", "left_semi"), state, given_ids)
         return counters
 
     def update(self, files: DataFrame, deleted: DataFrame, last_commit: str | None = None, *, dirty: list[str] = ()) -> dict[str, int]:
@@ -117,8 +119,8 @@ class IndexStore(Segments):
         known = self.live("files", ["file_id"], was) if was else None
         return known.select("file_id", "path", "hash") if known is not None else self.spark.createDataFrame([], "file_id long, path string, hash long")
 
-    def _apply(self, was: dict, rows: DataFrame, replaced: DataFrame, state: dict, given_ids: bool) -> None:
-        """Write one segment with ``rows``, and the ids of ``replaced(file_id, path)`` as gone; then publish."""
+    def _apply(self, was: dict, rows: DataFrame, replaced: DataFrame, state: dict, given_ids: bool) -> int:
+        """Write one segment with ``rows``, and the ids of ``replaced(file_id, path)`` as gone; then publish. Returns the number of rows."""
         replaced = staged(replaced.select("file_id", "path"), "replaced")
         if not given_ids:
             rows = self._numbered(rows, replaced, was.get("last_id", 0))
@@ -138,6 +140,7 @@ class IndexStore(Segments):
         if len(made["segments"]) > MOST_SEGMENTS or made["dead"] > made["files"] / 4 + 1000:
             made = self.compacted(made, ["file_id"]) | {"dead": 0}
         self.publish(made)
+        return new["n"]
 
     def ordered(self, table: str, rows: DataFrame) -> DataFrame:
         """Postings by stem and n-grams by key, both split inside long lists, so that a search skips other row groups."""
