@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corposcope.llm import handwritten, langid, leakage, mixing, neardup, outrank, secrets, termfreq
-from corposcope.session import table
+from corposcope.session import staged, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,10 +18,11 @@ def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_subtrees(spark: SparkSession, d: str) -> DataFrame:
     """(root, dir, files, roots): every directory, and in how many roots a directory with equal files below it stands."""
-    files = table(spark, d, "files").where("file_id is not null").groupBy("file_id").agg(F.min("path").alias("path"), F.min("content").alias("content")).where("path is not null")
+    one = table(spark, d, "files").where("file_id is not null and path is not null").select("file_id", "path", F.xxhash64("content").alias("node"))
+    files = one.groupBy("file_id").agg(F.min("path").alias("path"), F.min("node").alias("node"))
     parts = F.split("path", "/")
     inner = F.slice(parts, 4, F.greatest(F.size(parts) - 4, F.lit(0)))
-    rows = files.select(F.array_join(F.slice(parts, 1, 3), "/").alias("root"), F.array_join(inner, "/").alias("dir"), F.size(inner).alias("depth"), F.xxhash64("content").alias("node"))
+    rows = staged(files.select(F.array_join(F.slice(parts, 1, 3), "/").alias("root"), F.array_join(inner, "/").alias("dir"), F.size(inner).alias("depth"), "node"), "nodes")
     nodes = handwritten.merkle_directories(rows)
     roots = nodes.groupBy("node", "files").agg(F.countDistinct("root").alias("roots"))
     return nodes.join(roots, ["node", "files"]).select("root", "dir", "files", "roots")
