@@ -32,7 +32,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corposcope.session import spread, staged
@@ -187,19 +187,70 @@ def merkle_directories(files: DataFrame) -> DataFrame:
 
 
 def shared_nodes(nodes: DataFrame) -> DataFrame:
-    """``nodes`` that have an equal node in another root, with ``partner``: the first other root that has one."""
+    """``nodes`` that have an equal node in another root; of its roots, the first and the last tell whether there is another."""
     by = nodes.where("node is not null").groupBy("node", "files").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
-    return nodes.join(by, ["node", "files"]).withColumn("partner", F.when(F.col("root") == F.col("r1"), F.col("r2")).otherwise(F.col("r1"))).drop("r1", "r2")
+    return nodes.join(by.drop("r1", "r2"), ["node", "files"])
 
 
-def shared_subtrees(files: DataFrame, directories: DataFrame) -> DataFrame:
-    """(root, dir, partner): directories of at least two shared files whose children to at least ``SHARE`` have equal nodes in ``partner``."""
+def _elsewhere(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` has in ``pairs`` a partner other than their root."""
+    ends = pairs.groupBy(key).agg(F.min("partner").alias("r1"), F.max("partner").alias("r2"))
+    return rows.join(ends, key).where("r1 != root or r2 != root").drop("r1", "r2")
+
+
+def shared_subtrees(files: DataFrame, directories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(root, dir, kind) of the directories of at least two shared files whose children to at least ``SHARE`` have equal
+    nodes in one other root, and (kind, partner): every root that has them, the directories' own ones among them.
+
+    Directories with the same shared children are of one kind, whose children are counted
+    once in every root: a library that stands in very many roots is one kind, not a row
+    for each two roots.  A root that has ``need`` children of a kind also has one of those
+    that remain when the most frequent ones, fewer than ``need``, are left out.  So
+    only the rarer children look for roots, and a file that all projects have joins nothing.
+    """
     up = F.regexp_replace("dir", "/?[^/]*$", "")
     children = (files.where("depth > 0").select("root", "dir", "node", F.lit(1).cast("long").alias("files"))
                      .unionByName(directories.where("depth > 1").select("root", up.alias("dir"), "node", "files")))
     size = children.groupBy("root", "dir").agg(F.count(F.lit(1)).alias("children"))
-    met = shared_nodes(children).groupBy("root", "dir", "partner").agg(F.count(F.lit(1)).alias("equal"), F.sum("files").alias("files")).where("files > 1")
-    return met.join(size, ["root", "dir"]).where(F.col("equal") >= SHARE * F.col("children")).select("root", "dir", "partner")
+    met = staged(shared_nodes(children), "met")
+    held = staged(met.select("node", "files", F.col("root").alias("partner")).distinct(), "held")
+    often = held.groupBy("node", "files").agg(F.count(F.lit(1)).alias("roots"))
+    one = F.xxhash64("node", "files").cast("decimal(20,0)")
+    # Two files are two children unless a directory is among them.
+    need = F.greatest(F.ceil(SHARE * F.col("children")), F.when(F.col("most") == 1, 2).otherwise(1).cast("long"))
+    alike = (met.groupBy("root", "dir").agg(F.count(F.lit(1)).alias("equal"), F.max("files").alias("most"), F.sum(one).cast("string").alias("sum"))
+                .join(size, ["root", "dir"]).withColumn("need", need).where("equal >= need"))
+    alike = staged(alike.select("root", "dir", F.xxhash64("sum", "equal", "need").alias("kind"), "need"), "alike")
+    first = alike.groupBy("kind", "need").agg(F.min(F.struct("root", "dir")).alias("at")).select("kind", "need", "at.root", "at.dir")
+    parts = met.join(first, ["root", "dir"]).groupBy("kind", "need", "node", "files").agg(F.count(F.lit(1)).alias("times"))
+    parts = staged(parts.join(often, ["node", "files"]), "parts")
+    # Children by the number of their roots: a few rows for each kind, however large the directory.
+    fewer = Window.partitionBy("kind").orderBy(F.desc("roots"))
+    levels = parts.groupBy("kind", "need", "roots").agg(F.sum("times").alias("times")).withColumn("from_here", F.sum("times").over(fewer))
+    rare = levels.where("from_here >= need").groupBy("kind").agg(F.max("roots").alias("most"))
+    near = parts.join(rare, "kind").where("roots <= most").join(held, ["node", "files"]).select("kind", "partner").distinct()
+    counted = (near.join(parts, "kind").join(held, ["node", "files", "partner"], "left_semi").groupBy("kind", "partner", "need")
+                   .agg(F.sum("times").alias("equal"), F.sum(F.col("times") * F.col("files")).alias("files")))
+    partners = staged(counted.where("equal >= need and files > 1").select("kind", "partner"), "partners")
+    return _elsewhere(alike.drop("need"), partners, "kind").select("root", "dir", "kind"), partners
+
+
+def _confirmed(inside: DataFrame, sure: DataFrame, partners: DataFrame) -> DataFrame:
+    """(root, d): subtrees not in ``sure`` that hold a file equal to one in a sure subtree of some partner.
+
+    Subtrees of one kind that hold the same such files are looked up once.
+    """
+    theirs = staged(inside.join(sure, ["root", "d"], "left_semi").where("node is not null").select(F.col("root").alias("partner"), "node").distinct(), "theirs")
+    rest = inside.join(sure, ["root", "d"], "left_anti").join(theirs, "node", "left_semi").select("root", "d", "kind", "node").distinct()
+    rest = staged(rest, "rest")
+    total = F.sum(F.xxhash64("node").cast("decimal(20,0)")).cast("string")
+    same = rest.groupBy("root", "d", "kind").agg(total.alias("sum"), F.count(F.lit(1)).alias("n"))
+    same = staged(same.select("root", "d", "kind", F.xxhash64("kind", "sum", "n").alias("bundle")), "same")
+    first = same.groupBy("bundle").agg(F.min(F.struct("root", "d")).alias("at")).select("bundle", "at.root", "at.d")
+    nodes = rest.join(first, ["root", "d"]).select("bundle", "kind", "node")
+    pairs = (partners.join(theirs, "partner", "left_semi").join(nodes, "kind").join(theirs, ["partner", "node"], "left_semi")
+                     .select("bundle", "partner").distinct())
+    return _elsewhere(same, pairs, "bundle").select("root", "d")
 
 
 def judged(files: DataFrame, *, places: tuple[str, ...] = THIRD_PARTY) -> DataFrame:
@@ -211,18 +262,18 @@ def judged(files: DataFrame, *, places: tuple[str, ...] = THIRD_PARTY) -> DataFr
     rows = files.where("file_id is not null").select(F.col("file_id").cast("long").alias("file_id"), "path", "content")
     s = staged(spread(rows).mapInArrow(_scanner(places), SCHEMA).dropDuplicates(["file_id", "h"]), "scan")
     directories = merkle_directories(s)
-    trees = staged(shared_subtrees(s, directories), "shared")
+    trees, partners = shared_subtrees(s, directories)
     # Files of shared subtrees, at any depth below them.
     steps = F.split("dir", "/")
     above = F.explode(F.transform(F.sequence(F.lit(1), F.col("depth")), lambda k: F.array_join(F.slice(steps, 1, k), "/")))
     inside = s.where("depth > 0").select("file_id", "root", "node", "third", "foreign", above.alias("d")).join(trees.withColumnRenamed("dir", "d"), ["root", "d"])
     inside = staged(inside, "inside")
-    # A subtree is confirmed by its own places or by those of a subtree in the other root that holds an equal file.
-    known = inside.where("third or foreign") if places else inside
-    sure = known.select("root", "d", "partner").distinct()
-    theirs = inside.join(sure, ["root", "d", "partner"], "left_semi").where("node is not null").select(F.col("root").alias("partner"), "node").distinct()
-    twin = inside.join(theirs, ["partner", "node"], "left_semi").select("root", "d", "partner")
-    vendored = inside.join(sure.union(twin).distinct(), ["root", "d", "partner"], "left_semi").select("file_id")
+    # A subtree is confirmed by its own places or by those of a subtree in any other root it is shared with that holds an equal file.
+    sure = (inside.where("third or foreign") if places else inside).select("root", "d").distinct()
+    if places:
+        sure = staged(sure, "sure")
+        sure = sure.unionByName(_confirmed(inside, sure, partners))
+    vendored = inside.join(sure, ["root", "d"], "left_semi").select("file_id")
     single = shared_nodes(s.where("node is not null").select("file_id", "root", "third", "foreign", "own", "node", F.lit(1).alias("files")))
     marks = single.where("third or foreign") if places else single
     marked = marks.groupBy("node").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))

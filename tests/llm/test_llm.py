@@ -72,6 +72,42 @@ def test_merkle_marks_copied_directories(spark):
     assert {r["file_id"] for r in handwritten.judged(df, places=()).collect()} == {*range(4), *range(10, 14), *range(30, 34), *range(40, 44)}
 
 
+def test_merkle_partners_are_all_roots(spark):
+    # b is neither the first nor the last root of its library; of d's copy every file also stands in one other root before e.
+    edit = lambda k: lambda i, text: text.replace("harbor", f"haven{k}") if i == 3 else text
+    rows = [x for k, where in enumerate(("a/lib/zip", "b/third_party/zip", "c/lib/zip")) for x in _tree(10 * k, "/ws/" + where, edit(k))]
+    rows += [x for k, where in ((3, "m/lib/pack"), (4, "n/third_party/pack")) for x in _tree(10 * k, "/ws/" + where, edit(k), word="p")]
+    rows += [(50 + i, f"/ws/{r}/src/own.py", _tree(0, "", word="p")[i][2], 1, "", "", "") for i, r in enumerate("def")]
+    got = _judge(spark, rows)
+    assert got == {**{10 * k + i: "vendored" for k in range(5) for i in range(4)}, 50: "copied", 51: "copied", 52: "copied"}
+
+
+def test_shared_subtrees_equal_a_count_over_all_pairs_of_roots(spark):
+    draw, rows = random.Random(5), []
+    for r in range(24):  # one file that all roots have, libraries of some roots, directories of nothing else than common files
+        for k in range(draw.randrange(1, 5)):
+            lib, place = draw.randrange(5), f"lib{k}" + "/src" * draw.randrange(3)
+            names = {draw.randrange(lib * 6, lib * 6 + 7) for _ in range(draw.randrange(1, 9))}
+            nodes = [*names, *[1000] * draw.randrange(3), *[None] * draw.randrange(2), *[2000 + 10 * r + k] * draw.randrange(2)]
+            rows += [(f"/ws/r{r}", place, place.count("/") + 1, node) for node in nodes]
+    files = spark.createDataFrame(rows, "root string, dir string, depth int, node long")
+    directories = handwritten.merkle_directories(files)
+    trees, partners = handwritten.shared_subtrees(files, directories)
+    got = {(t["root"], t["dir"], t["partner"]) for t in trees.join(partners, "kind").where("root != partner").collect()}
+    children = {}
+    for root, place, _, node in rows:
+        children.setdefault((root, place), []).append((node, 1))
+    for d in directories.where("depth > 1").collect():
+        children.setdefault((d["root"], d["dir"].rpartition("/")[0]), []).append((d["node"], d["files"]))
+    held = {}
+    for (root, _), nodes in children.items():
+        held.setdefault(root, set()).update(x for x in nodes if x[0] is not None)
+    equal = {(root, place, other): [x for x in nodes if x in held[other]] for (root, place), nodes in children.items() for other in held if other != root}
+    want = {k for k, met in equal.items() if len(met) >= handwritten.SHARE * len(children[k[:2]]) and sum(n for _, n in met) > 1}
+    assert got == want and len(want) > 100
+    assert {(t["root"], t["dir"]) for t in trees.collect()} == {k[:2] for k in want}
+
+
 def test_merkle_nodes_are_built_from_their_children(spark):
     rows = [("/ws/a", "x/y", 2, 1), ("/ws/a", "x/y", 2, 2), ("/ws/a", "x", 1, 3), ("/ws/b", "q/w/y", 3, 2), ("/ws/b", "q/w/y", 3, 1), ("/ws/b", "q/w", 2, 3), ("/ws/b", "q", 1, None)]
     nodes = {(r["root"], r["dir"]): (r["node"], r["files"]) for r in handwritten.merkle_directories(spark.createDataFrame(rows, "root string, dir string, depth int, node long")).collect()}
