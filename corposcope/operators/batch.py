@@ -22,7 +22,8 @@ UNIT = 1_000_000  #: scores are whole multiples of 1 / UNIT
 BLOCK = 4096  #: files of a block, at most
 FIRST = 256  #: files of a task's first block, which gives the first bounds
 CELLS = 4_000_000  #: gains of a block as a table of words and files, about as many at most
-PIECE = 2_000_000  #: pairs of queries and files at a time
+PIECE = 120_000  #: pairs of queries and files at a time, few enough for a core's cache
+NEW = 1_000_000  #: rows found, at least, before they are merged with the best so far
 _SMALL = 1e-9  #: above the rounding errors of a sum of gains
 
 
@@ -106,7 +107,7 @@ def best_files(batches: Iterator[pa.RecordBatch], asked: Asked, k: int) -> Itera
     new: list[tuple] = []
     for block in _blocks(batches, int(np.clip(CELLS // asked.words.size, 64, BLOCK))):
         new += _answers(block, asked, k, least)
-        if sum(x[0].size for x in new) > max(PIECE // 2, best[0].size):
+        if sum(x[0].size for x in new) > max(NEW, best[0].size):
             best, new = _merged([best, *new], k, least), []
     q, score, file = _merged([best, *new], k, least)
     for i in range(0, q.size, 100_000):
@@ -156,40 +157,42 @@ def _answers(block: pa.RecordBatch, asked: Asked, k: int, least: np.ndarray) ->
     mine = asked.words[word] == w
     owner, length, word, f = owner[mine], length[mine], word[mine], f[mine]
     gain = asked.idf[word] * f * (fts.K1 + 1) / (f + fts.K1 * (1 - fts.B + fts.B * length / asked.average))
-    # Entries by word and file, and as a table of the words that the block has.
-    by = np.argsort(word * n + owner)
-    owner, gain, word = owner[by], gain[by], word[by]
+    # Entries by word and falling gain, and as a table of the words that the block has.
+    top = gain.max(initial=_SMALL)
+    fall = 2.0 * word + (1.0 - gain / top)
+    by = np.argsort(fall)
+    owner, gain, word, fall = owner[by], gain[by], word[by], fall[by]
     held = np.bincount(word, minlength=asked.words.size)
     begin = np.cumsum(held) - held
     row = np.cumsum(held > 0) - 1
-    cells = np.zeros((int((held > 0).sum()), n))
-    cells[row[word], owner] = gain
     most = np.zeros(asked.words.size)
-    most[held > 0] = cells.max(axis=1, initial=0.0)
-    cells = cells.ravel()
+    most[held > 0] = np.maximum.reduceat(gain, begin[held > 0]) if gain.size else 0.0
+    cells, lacks = np.zeros(int((held > 0).sum()) * n), np.full(int((held > 0).sum()) * n, -np.inf)
+    lack = gain - most[word]  # what a file has less than the word's most; without the word it is out
+    cells[row[word] * n + owner], lacks[row[word] * n + owner] = gain, lack
     for rows, words in asked.groups:
         need = (least[rows] - 0.5) * (fts.SCALE / UNIT) - _SMALL
-        on = np.flatnonzero((held[words] > 0).all(axis=1) & (most[words].sum(axis=1) >= need))
-        words = np.take_along_axis(words[on], np.argsort(held[words[on]], axis=1, kind="stable"), axis=1)
-        count, rows = held[words[:, 0]], rows[on]
+        total = most[words].sum(axis=1)
+        on = np.flatnonzero((held[words] > 0).all(axis=1) & (total >= need))
+        rows, words, need, total = rows[on], words[on], need[on], total[on]
+        # Of each word the files whose gain is enough if all others give their most; a query starts from the shortest such list.
+        enough = (need - total)[:, None] + most[words]
+        count = np.searchsorted(fall, 2.0 * words + np.clip(1.0 - enough / top + 1e-6, 0.0, 1.5), "right") - begin[words]
+        order = np.argsort(count, axis=1, kind="stable")
+        words, count = np.take_along_axis(words, order, axis=1), np.take_along_axis(count, order, axis=1)[:, 0]
         cuts = np.flatnonzero(np.diff(np.cumsum(count) // PIECE)) + 1
         for piece in np.split(np.arange(rows.size), cuts):
-            # Bounds again, since earlier pieces and blocks may have raised them.
-            need = (least[rows[piece]] - 0.5) * (fts.SCALE / UNIT) - _SMALL
             ws, c = words[piece], count[piece]
-            rest = np.cumsum(most[ws][:, ::-1], axis=1)[:, ::-1]  # the most that a word and those behind it add
-            q = np.repeat(np.arange(piece.size), c)
+            at_row = row[ws] * n
             at = np.repeat(begin[ws[:, 0]], c) + _inside(c)
-            at_file, total = owner[at], gain[at]
+            q, at_file = np.repeat(np.arange(piece.size), c), owner[at]
+            spare = np.repeat(total[piece] - need[piece], c) + lack[at]  # what other words may lack
             for j in range(1, ws.shape[1]):
-                able = np.flatnonzero(total >= (need - rest[:, j])[q])
-                q, at_file, total = q[able], at_file[able], total[able]
-                more = cells[(row[ws[:, j]] * n)[q] + at_file]
-                able = np.flatnonzero(more)
-                q, at_file, total = q[able], at_file[able], total[able] + more[able]
-            able = np.flatnonzero(total >= need[q])
-            q, at_file, total = q[able], at_file[able], total[able]
-            score = np.floor(np.minimum(total / fts.SCALE, 1.0) * UNIT + 0.5).astype(np.int64)
+                spare += lacks[at_row[:, j][q] + at_file]
+                able = np.flatnonzero(spare >= 0)
+                q, at_file, spare = q[able], at_file[able], spare[able]
+            total_of = sum((cells[at_row[:, j][q] + at_file] for j in range(ws.shape[1])), np.zeros(q.size))
+            score = np.floor(np.minimum(total_of / fts.SCALE, 1.0) * UNIT + 0.5).astype(np.int64)
             key = np.sort(((q << 20) + (UNIT - score) << 13) + at_file)  # UNIT < 2 ** 20, BLOCK < 2 ** 13
             q, score, at_file = key >> 33, UNIT - ((key >> 13) & (2**20 - 1)), key & (2**13 - 1)
             q = rows[piece][q]
